@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyline.operators.features import calendar_features, margin_features
 from tallyline.schema import CANONICAL_NAMES
 from tallyline.session import shared_folder
+from tallyline.sources.files import load_processed
 from tallyline.sources.star import ALL_COLUMNS, order_lines
 
 
@@ -28,6 +29,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/tallyline/{name}-{uuid.uuid4().hex}"
 
 
+def stored_lines(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """Lines with features, joined once and written, for queries that read them several times."""
+    path = scratch_path(spark, "lines")
+    return load_processed(spark, path, lambda: lines(spark, folder, *columns))
+
+
 def discount_stress(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     """Every line twice: with its discount and with ten times its discount, so that every band occurs."""
     df = order_lines(spark, folder, ("Discount", *columns))

@@ -25,6 +25,7 @@ from .inputs import (
     null_keys,
     raw_orders,
     scratch_path,
+    stored_lines,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -126,15 +127,15 @@ def _row_counts(results: dict[str, DataFrame], name: str) -> DataFrame:
 
 @query("s7_catalogue_row_counts")
 def s7(spark, folder):
-    relation.publish(lines(spark, folder))
-    results, _ = run_all_business_queries(spark, {**BUSINESS_QUERIES, "broken": "SELECT nothing FROM orders"})
+    relation.publish(stored_lines(spark, folder))
+    results, _ = run_all_business_queries(spark)
     return _row_counts(results, "query")
 
 
 @query("s8_saved_report")
 def s8(spark, folder):
     path = scratch_path(spark, "report")
-    context = jobs.insight_context_by(lines(spark, folder, *_FACETS, "Discount"), ["Region"])
+    context = jobs.insight_context_by(stored_lines(spark, folder, *_FACETS, "Discount"), ["Region"])
     files.save_report(insights.report_text(context, ["Region"]), path)
     return spark.read.text(path)
 
@@ -465,7 +466,7 @@ def a10_stress(spark, folder):
 
 @query("a11_run_all_eda")
 def a11(spark, folder):
-    return _row_counts(jobs.run_all_eda(lines(spark, folder)), "result")
+    return _row_counts(jobs.run_all_eda(stored_lines(spark, folder)), "result")
 
 
 @query("a11_subcategories_from_rollup")
@@ -566,7 +567,7 @@ def k9_rfm(spark, folder):
 
 @query("k10_customer_kpis")
 def k10(spark, folder):
-    df = lines(spark, folder, *_CUSTOMERS, "Order_Date")
+    df = stored_lines(spark, folder, *_CUSTOMERS, "Order_Date")
     found = customers.customer_kpis(customers.customer_revenue_table(df), customers.compute_rfm(df))
     return _rounded(found, 2, "avg_revenue", "avg_orders")
 
@@ -738,22 +739,22 @@ def _flat(context: DataFrame) -> DataFrame:
 
 @query("i1_context")
 def i1(spark, folder):
-    return _flat(jobs.insight_context(lines(spark, folder), forest=False))
+    return _flat(jobs.insight_context(stored_lines(spark, folder), forest=False))
 
 
 @query("i1_context_by_state")
 def i1_by_state(spark, folder):
-    return jobs.insight_context_by(lines(spark, folder, *_FACETS, "State", "Discount"), ["State"]).drop("rfm_segments")
+    return jobs.insight_context_by(stored_lines(spark, folder, *_FACETS, "State", "Discount"), ["State"]).drop("rfm_segments")
 
 
 @query("i2_i3_insights")
 def i2(spark, folder):
-    return insights.generate_insights(jobs.insight_context(lines(spark, folder)))
+    return insights.generate_insights(jobs.insight_context(stored_lines(spark, folder)))
 
 
 @query("i2_report_by_state")
 def i2_by_state(spark, folder):
-    context = jobs.insight_context_by(lines(spark, folder, *_FACETS, "State", "Discount"), ["State"])
+    context = jobs.insight_context_by(stored_lines(spark, folder, *_FACETS, "State", "Discount"), ["State"])
     return insights.report_text(context, ["State"])
 
 
@@ -764,5 +765,5 @@ def o1(spark, folder):
 
 @query("o2_customer_analysis")
 def o2(spark, folder):
-    found = jobs.run_customer_analysis(lines(spark, folder, *_CUSTOMERS, "Order_Date"))
+    found = jobs.run_customer_analysis(stored_lines(spark, folder, *_CUSTOMERS, "Order_Date"))
     return _row_counts(found, "result")

@@ -10,7 +10,7 @@ _MICROS_PER_DAY = 86_400_000_000
 
 def month_key(moment: Column) -> Column:
     """``yyyy-MM``; sorts in time order."""
-    return F.date_format(moment, "yyyy-MM")
+    return F.substring(moment.cast("date").cast("string"), 1, 7)
 
 
 def quarter_key(moment: Column) -> Column:

@@ -11,7 +11,7 @@ from ..functions.calendar import whole_days
 from ..functions.labels import SEGMENT_ORDER, customer_segment, segment_position
 from ..functions.money import double, ratio, total
 from ..functions.ranks import ONE_BUFFER_VALUES, exact_quantiles, rows_at_positions
-from ..schema import CUSTOMER, require
+from ..schema import CUSTOMER, known, require
 from ..session import cut_lineage
 from .profiling import histogram
 
@@ -22,7 +22,7 @@ def customer_revenue_table(df: DataFrame) -> DataFrame:
     """One row per customer, largest revenue first."""
     require(df, *CUSTOMER, "Order_ID", "Sales", "Profit", "Quantity")
     totals = (
-        df.dropna(subset=list(CUSTOMER))
+        known(df, *CUSTOMER)
         .groupBy(*CUSTOMER)
         .agg(
             total("Sales").alias("s"),
@@ -57,7 +57,7 @@ def rfm_base(df: DataFrame) -> DataFrame:
         )
     )
     snapshot = per_customer.agg(F.max("last_order") + F.expr("INTERVAL 1 DAY")).scalar()
-    return per_customer.dropna(subset=list(CUSTOMER)).select(
+    return known(per_customer, *CUSTOMER).select(
         *CUSTOMER,
         whole_days(F.col("last_order"), snapshot).alias("Recency"),
         "Frequency",

@@ -12,11 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import discount_band, discount_band_index, is_negative
 from ..functions.money import double, mean, ratio, rounded, total
-from ..schema import require
-
-
-def _known(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.dropna(subset=list(keys)) if keys else df
+from ..schema import known, require
 
 
 def sales_summary(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -24,7 +20,7 @@ def sales_summary(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     require(df, "Order_ID", "Customer_ID", "Sales", "Profit", *keys)
     in_an_order = F.when(F.col("Order_ID").isNotNull(), F.col("Sales"))
     sums = (
-        _known(df, keys)
+        known(df, *keys)
         .groupBy(*keys)
         .agg(
             total("Sales").alias("sales"),
@@ -68,7 +64,7 @@ def _totals(
         shown.append("Orders")
     if margin:
         shown.append(ratio("p", "s").alias("Profit_Margin"))
-    return _known(df, keys).groupBy(*keys).agg(*sums).select(*shown)
+    return known(df, *keys).groupBy(*keys).agg(*sums).select(*shown)
 
 
 def sales_by_year(df: DataFrame) -> DataFrame:
@@ -126,7 +122,7 @@ def discount_profit_analysis(df: DataFrame, keys: Sequence[str] = ()) -> DataFra
         discount_band(F.col("Discount")).alias("Discount_Bin"),
     )
     return (
-        banded.dropna(subset=[*keys, "bin_idx"])
+        known(banded, *keys, "bin_idx")
         .groupBy(*keys, "bin_idx", "Discount_Bin")
         .agg(
             F.avg("Profit_Margin").alias("Avg_Profit_Margin"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Money is summed exactly, so that the result does not depend on the order of the rows.
@@ -46,3 +47,10 @@ def require(df: DataFrame, *columns: str) -> None:
     missing = [c for c in columns if c not in df.columns]
     if missing:
         raise ValueError(f"order lines lack {', '.join(missing)}")
+
+
+def known(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows with a value in every one of these columns."""
+    for name in columns:
+        df = df.filter(F.col(name).isNotNull())
+    return df
