@@ -177,7 +177,8 @@ def customer_kpis(customers: DataFrame, rfm: DataFrame) -> DataFrame:
 
 
 def revenue_histogram(customers: DataFrame, bins: int = 40) -> DataFrame:
-    return histogram(customers, "Total_Sales", bins)
+    """Range and counts are two passes, so the revenues are computed once before them."""
+    return histogram(cut_lineage(customers.select("Total_Sales")), "Total_Sales", bins)
 
 
 def score_histogram(rfm: DataFrame) -> DataFrame:

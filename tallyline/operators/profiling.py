@@ -135,18 +135,13 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     value = F.col(column).cast("double")
     present = df.select(value.alias("x")).filter(F.col("x").isNotNull() & ~F.isnan("x"))
     same = F.min("x") == F.max("x")
-    ends = present.agg(
-        F.struct(
-            F.when(same, F.min("x") - 0.5).otherwise(F.min("x")).alias("lo"),
-            F.when(same, F.max("x") + 0.5).otherwise(F.max("x")).alias("hi"),
-        ).alias("ends")
-    )
-    spark = df.sparkSession
-    lo, hi = ends.select("ends.lo").scalar(), ends.select("ends.hi").scalar()
-    step = (hi - lo) / F.lit(float(bins))
+    low = F.when(same, F.min("x") - 0.5).otherwise(F.min("x"))
+    high = F.when(same, F.max("x") + 0.5).otherwise(F.max("x"))
+    edges = present.agg(F.struct(low.alias("lo"), ((high - low) / F.lit(float(bins))).alias("step")).alias("edges"))
+    lo, step = F.col("edges.lo"), F.col("edges.step")
 
     guess = F.least(F.floor((F.col("x") - lo) / step), F.lit(bins - 1).cast("long"))
-    placed = present.select("x", guess.alias("guess"))
+    placed = present.select("x", edges.scalar().alias("edges")).select("x", "edges", guess.alias("guess"))
     # Rounding can put a value one bin off; the edges decide.
     bin_index = (
         F.when(F.col("x") < lo + F.col("guess") * step, F.col("guess") - 1)
@@ -154,7 +149,7 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
         .otherwise(F.col("guess"))
     )
     counts = placed.groupBy(bin_index.alias("bin")).agg(F.count("*").alias("found"))
-    every_bin = spark.range(bins).withColumnRenamed("id", "bin")
+    every_bin = df.sparkSession.range(bins).select(F.col("id").alias("bin"), edges.scalar().alias("edges"))
     return every_bin.join(counts, "bin", "left").select(
         F.col("bin").cast("int").alias("bin"),
         (lo + F.col("bin") * step).alias("lower"),
