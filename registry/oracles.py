@@ -342,7 +342,7 @@ def _context(kpis: str, cat: str, reg: str, metrics: str, disc: str, key: str =
         )
         segments = "rfm_segments, champions_count, at_risk_count,"
     else:
-        segments = "CAST(NULL AS DOUBLE) AS champions_count, CAST(NULL AS DOUBLE) AS at_risk_count,"
+        segments = "CAST(NULL AS BIGINT) AS champions_count, CAST(NULL AS BIGINT) AS at_risk_count,"
     body = f"""SELECT {lead}total_sales, total_profit, total_orders, unique_customers, avg_order_value,
        overall_profit_margin_pct AS overall_margin_pct, top_category_by_sales, top_category_sales,
        worst_margin_category, worst_margin_pct, top_region, top_region_sales, worst_margin_region,
