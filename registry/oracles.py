@@ -255,7 +255,8 @@ def _money(column: str) -> str:
 
 _S, _P = _money("Sales"), _money("Profit")
 _O, _C = "count(DISTINCT Order_ID)", "count(DISTINCT Customer_ID)"
-_M = "round(CAST(sum(Profit) AS DOUBLE) / NULLIF(CAST(sum(Sales) AS DOUBLE), 0) * 100, 2)"
+# Adding zero turns a negative zero into zero.
+_M = "round(CAST(sum(Profit) AS DOUBLE) / NULLIF(CAST(sum(Sales) AS DOUBLE), 0) * 100, 2) + 0"
 _KPIS = f"""{_S} AS total_sales, {_P} AS total_profit, {_O} AS total_orders, {_C} AS unique_customers,
        round(CAST(sum(Sales) AS DOUBLE) / {_O}, 2) AS avg_order_value,
        coalesce({_M}, 0) AS overall_profit_margin_pct"""
@@ -317,7 +318,7 @@ def _context(kpis: str, cat: str, reg: str, metrics: str, disc: str, key: str =
         return f"""{alias} AS (SELECT {lead}arg_min({name}, (-Sales, {name})) AS {labels[0]},
        round(arg_min(Sales, (-Sales, {name})), 2) AS {labels[1]},
        arg_min({name}, (Profit_Margin, {name})) AS {labels[2]},
-       round(arg_min(Profit_Margin, (Profit_Margin, {name})) * 100, 2) AS {labels[3]} FROM ({source}) {group})"""
+       round(arg_min(Profit_Margin, (Profit_Margin, {name})) * 100, 2) + 0 AS {labels[3]} FROM ({source}) {group})"""
 
     ctes = [
         f"x_kpi AS ({kpis})",
@@ -430,11 +431,11 @@ _RESULT_NAMES = {
 _RFM_OUT = """Customer_ID, Customer_Name, Segment, Recency, Frequency, Monetary, R_Score, F_Score, M_Score, RFM_Score,
        RFM_Segment"""
 _SCORED = "SELECT *, R_Score + F_Score + M_Score AS RFM_Score FROM tied_scores"
-_BANDED = "round(Avg_Profit_Margin, 6) AS Avg_Profit_Margin"
+_BANDED = "round(Avg_Profit_Margin, 6) + 0 AS Avg_Profit_Margin"
 _FILTER = "Year IN (1996, 1998) AND Region IN ('ASIA', 'EUROPE') AND Segment = 'FURNITURE'"
 _FACET = """SELECT 'Year' AS facet, CAST(Year AS VARCHAR) AS value FROM f UNION SELECT 'Region', Region FROM f
 UNION SELECT 'Category', Category FROM f UNION SELECT 'Segment', Segment FROM f"""
-_SUB_TABLE = """SELECT Category, Sub_Category, Sales, Profit, round(Profit_Margin * 100, 1) AS "Margin_%", Quantity FROM sub"""
+_SUB_TABLE = """SELECT Category, Sub_Category, Sales, Profit, round(Profit_Margin * 100, 1) + 0 AS "Margin_%", Quantity FROM sub"""
 
 _STATEMENTS = {
     # sources and sinks

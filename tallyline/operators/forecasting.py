@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.money import double, total
 from ..schema import known, require
+from ..session import cut_lineage
 
 TEST_MONTHS = 12
 MIN_TRAIN_MONTHS = 6
@@ -72,7 +73,8 @@ def linear_trend(flagged: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def random_forest(flagged: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """A forest on the month index; several series share one forest, told apart by their indexed keys."""
     features = ["time_idx"]
-    prepared = flagged
+    # Training reads the series several times; the lines behind it are read once.
+    prepared = flagged = cut_lineage(flagged)
     for key in keys:
         indexed = StringIndexer(inputCol=key, outputCol=f"_{key}", stringOrderType="alphabetAsc", handleInvalid="keep")
         prepared = indexed.fit(prepared).transform(prepared)
