@@ -10,13 +10,10 @@ from pyspark.sql import functions as F
 from tallyline.operators.features import calendar_features, margin_features
 from tallyline.schema import CANONICAL_NAMES
 from tallyline.session import shared_folder
-from tallyline.sources.files import load_processed
 from tallyline.sources.star import ALL_COLUMNS, order_lines
 
 
-def lines(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
-    """Order lines with the features that the chosen columns allow."""
-    df = order_lines(spark, folder, columns or ALL_COLUMNS)
+def _featured(df: DataFrame) -> DataFrame:
     if "Order_Date" in df.columns:
         df = calendar_features(df)
     if {"Sales", "Profit", "Quantity"} <= set(df.columns):
@@ -24,15 +21,21 @@ def lines(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     return df
 
 
+def lines(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """Order lines with the features that the chosen columns allow."""
+    return _featured(order_lines(spark, folder, columns or ALL_COLUMNS))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh place in the shared folder for a table a query writes and reads back."""
     return f"{shared_folder(spark).rstrip('/')}/tallyline/{name}-{uuid.uuid4().hex}"
 
 
 def stored_lines(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
-    """Lines with features, joined once and written, for queries that read them several times."""
+    """The same, for queries that read them many times: joined once and written, features added on reading."""
     path = scratch_path(spark, "lines")
-    return load_processed(spark, path, lambda: lines(spark, folder, *columns))
+    order_lines(spark, folder, columns or ALL_COLUMNS).write.parquet(path)
+    return _featured(spark.read.parquet(path))
 
 
 def discount_stress(spark: SparkSession, folder: str, *columns: str) -> DataFrame:

@@ -15,7 +15,7 @@ SELECT l_orderkey AS Order_ID, o_orderdate AS Order_Date, l_shipdate AS Ship_Dat
        o_custkey AS Customer_ID, c_name AS Customer_Name, c_mktsegment AS Segment, n_name AS State, r_name AS Region,
        p_type AS Category, p_brand AS Sub_Category, l_partkey AS Product_ID, p_name AS Product_Name,
        CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(4,2))) AS DECIMAL(18,4)) AS Sales,
-       l_quantity AS Quantity, CAST(l_discount AS DECIMAL(4,2)) AS Discount,
+       CAST(l_quantity AS BIGINT) AS Quantity, CAST(l_discount AS DECIMAL(4,2)) AS Discount,
        CAST(CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(4,2))) AS DECIMAL(18,4))
             - 2 * CAST(p_retailprice AS DECIMAL(18,2)) * CAST(l_quantity AS DECIMAL(10,0)) AS DECIMAL(18,4)) AS Profit
 FROM lineitem

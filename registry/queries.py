@@ -39,6 +39,8 @@ _CATEGORY = ("Order_ID", "Category", *_MONEY)
 _REGION = ("Order_ID", "Region", *_MONEY)
 _SUBCATEGORY = ("Category", "Sub_Category", *_MONEY, "Quantity")
 _MONTHLY = ("Order_Date", "Sales")
+_INSIGHT = (*_RFM, "Profit", "Category", "Region", "Discount")
+_EDA = (*_KPI, "Order_Date", "Category", "Sub_Category", "Region", "State", "Discount", "Quantity")
 _FACETS = ("Order_ID", "Customer_ID", "Order_Date", "Region", "Category", "Segment", *_MONEY)
 
 
@@ -466,7 +468,7 @@ def a10_stress(spark, folder):
 
 @query("a11_run_all_eda")
 def a11(spark, folder):
-    return _row_counts(jobs.run_all_eda(stored_lines(spark, folder)), "result")
+    return _row_counts(jobs.run_all_eda(stored_lines(spark, folder, *_EDA)), "result")
 
 
 @query("a11_subcategories_from_rollup")
@@ -567,7 +569,7 @@ def k9_rfm(spark, folder):
 
 @query("k10_customer_kpis")
 def k10(spark, folder):
-    df = stored_lines(spark, folder, *_CUSTOMERS, "Order_Date")
+    df = lines(spark, folder, *_CUSTOMERS, "Order_Date")
     found = customers.customer_kpis(customers.customer_revenue_table(df), customers.compute_rfm(df))
     return _rounded(found, 2, "avg_revenue", "avg_orders")
 
@@ -739,7 +741,7 @@ def _flat(context: DataFrame) -> DataFrame:
 
 @query("i1_context")
 def i1(spark, folder):
-    return _flat(jobs.insight_context(stored_lines(spark, folder), forest=False))
+    return _flat(jobs.insight_context(stored_lines(spark, folder, *_INSIGHT), forest=False))
 
 
 @query("i1_context_by_state")
@@ -749,7 +751,7 @@ def i1_by_state(spark, folder):
 
 @query("i2_i3_insights")
 def i2(spark, folder):
-    return insights.generate_insights(jobs.insight_context(stored_lines(spark, folder)))
+    return insights.generate_insights(jobs.insight_context(stored_lines(spark, folder, *_INSIGHT)))
 
 
 @query("i2_report_by_state")
@@ -765,5 +767,5 @@ def o1(spark, folder):
 
 @query("o2_customer_analysis")
 def o2(spark, folder):
-    found = jobs.run_customer_analysis(stored_lines(spark, folder, *_CUSTOMERS, "Order_Date"))
+    found = jobs.run_customer_analysis(lines(spark, folder, *_CUSTOMERS, "Order_Date"))
     return _row_counts(found, "result")

@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..schema import MONEY
+from ..schema import WIDE_MONEY
 
 
 def _column(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def exact(df: DataFrame, name: str) -> Column:
+    """A measure in a form whose sums are exact. Decimals (also sums of earlier sums) and integers stay as they are."""
+    kind = df.schema[name].dataType
+    return F.col(name).cast(WIDE_MONEY) if isinstance(kind, (T.DoubleType, T.FloatType)) else F.col(name)
+
+
 def total(value: Column | str) -> Column:
-    """Exact sum; an empty input sums to zero."""
-    return F.coalesce(F.sum(_column(value).cast(MONEY)), F.lit(0).cast(MONEY))
+    """Sum; an empty input sums to zero."""
+    return F.coalesce(F.sum(_column(value)), F.lit(0))
 
 
 def double(value: Column | str) -> Column:
@@ -32,5 +39,5 @@ def ratio(part: Column | str, whole: Column | str) -> Column:
 
 
 def mean(value: Column | str) -> Column:
-    """Mean of the present values, from the exact sum."""
-    return ratio(F.sum(_column(value).cast(MONEY)), F.count(_column(value)))
+    """Mean of the present values, from their sum."""
+    return ratio(F.sum(_column(value)), F.count(_column(value)))

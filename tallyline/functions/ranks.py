@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 # Up to this many distinct values one aggregate buffer holds them all; above it the values stay spread.
-ONE_BUFFER_VALUES = 1_000_000
+ONE_BUFFER_VALUES = 200_000
 
 
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import whole_days
 from ..functions.labels import SEGMENT_ORDER, customer_segment, segment_position
-from ..functions.money import double, ratio, total
+from ..functions.money import double, exact, mean, ratio, total
 from ..functions.ranks import ONE_BUFFER_VALUES, exact_quantiles, rows_at_positions
 from ..schema import CUSTOMER, known, require
 from ..session import cut_lineage
@@ -25,10 +25,10 @@ def customer_revenue_table(df: DataFrame) -> DataFrame:
         known(df, *CUSTOMER)
         .groupBy(*CUSTOMER)
         .agg(
-            total("Sales").alias("s"),
-            total("Profit").alias("p"),
+            total(exact(df, "Sales")).alias("s"),
+            total(exact(df, "Profit")).alias("p"),
             F.count_distinct("Order_ID").alias("Total_Orders"),
-            total("Quantity").alias("q"),
+            total(exact(df, "Quantity")).alias("q"),
         )
     )
     return totals.select(
@@ -53,7 +53,7 @@ def rfm_base(df: DataFrame) -> DataFrame:
         df.groupBy(*CUSTOMER).agg(
             F.max("Order_Date").cast("timestamp_ntz").alias("last_order"),
             F.count_distinct("Order_ID").alias("Frequency"),
-            total("Sales").alias("revenue"),
+            total(exact(df, "Sales")).alias("revenue"),
         )
     )
     snapshot = per_customer.agg(F.max("last_order") + F.expr("INTERVAL 1 DAY")).scalar()
@@ -146,7 +146,7 @@ def segment_counts(rfm: DataFrame) -> DataFrame:
 
 
 def segment_revenue(rfm: DataFrame) -> DataFrame:
-    sums = rfm.groupBy("RFM_Segment").agg(double(total("Monetary")).alias("Monetary"))
+    sums = rfm.groupBy("RFM_Segment").agg(double(total(exact(rfm, "Monetary"))).alias("Monetary"))
     return sums.orderBy(F.desc("Monetary"), "RFM_Segment")
 
 
@@ -158,7 +158,7 @@ def customer_kpis(customers: DataFrame, rfm: DataFrame) -> DataFrame:
     """One row of headline figures over the customer table and its segmentation."""
     from_table = customers.agg(
         F.count("*").alias("customers"),
-        ratio(total("Total_Sales"), F.count("Total_Sales")).alias("avg_revenue"),
+        mean(exact(customers, "Total_Sales")).alias("avg_revenue"),
         F.coalesce(F.max("Total_Sales"), F.lit(0.0)).alias("top_revenue"),
         F.avg("Total_Orders").alias("avg_orders"),
     )

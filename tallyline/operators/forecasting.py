@@ -13,7 +13,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.money import double, total
+from ..functions.money import double, exact, total
 from ..schema import known, require
 from ..session import cut_lineage
 
@@ -30,7 +30,7 @@ def prepare_monthly_series(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame
     """Sales per month with a positional index; months without sales leave no gap in it."""
     require(df, "Year_Month", "Sales", *keys)
     by = [*keys, "Year_Month"]
-    monthly = known(df, *by).groupBy(*by).agg(double(total("Sales")).alias("Sales"))
+    monthly = known(df, *by).groupBy(*by).agg(double(total(exact(df, "Sales"))).alias("Sales"))
     in_time = Window.partitionBy(*keys).orderBy("Year_Month")
     return monthly.withColumn("time_idx", F.row_number().over(in_time) - 1)
 

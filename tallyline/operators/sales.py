@@ -11,25 +11,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import discount_band, discount_band_index, is_negative
-from ..functions.money import double, mean, ratio, rounded, total
+from ..functions.money import double, exact, mean, ratio, rounded, total
 from ..schema import known, require
 
 
 def sales_summary(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Headline figures, over everything or per ``keys``."""
     require(df, "Order_ID", "Customer_ID", "Sales", "Profit", *keys)
-    in_an_order = F.when(F.col("Order_ID").isNotNull(), F.col("Sales"))
-    sums = (
+    # One row per order and customer first: two distinct counts multiply their input rows, so these
+    # should be the orders and not the lines.
+    per_order = (
         known(df, *keys)
-        .groupBy(*keys)
-        .agg(
-            total("Sales").alias("sales"),
-            total("Profit").alias("profit"),
-            # The mean of the order totals is their sum over their number: no per-order pass is needed.
-            total(in_an_order).alias("sales_in_orders"),
-            F.count_distinct("Order_ID").alias("total_orders"),
-            F.count_distinct("Customer_ID").alias("unique_customers"),
-        )
+        .groupBy(*keys, "Order_ID", "Customer_ID")
+        .agg(total(exact(df, "Sales")).alias("s"), total(exact(df, "Profit")).alias("p"))
+    )
+    sums = per_order.groupBy(*keys).agg(
+        total("s").alias("sales"),
+        total("p").alias("profit"),
+        # The mean of the order totals is their sum over their number.
+        total(F.when(F.col("Order_ID").isNotNull(), F.col("s"))).alias("sales_in_orders"),
+        F.count_distinct("Order_ID").alias("total_orders"),
+        F.count_distinct("Customer_ID").alias("unique_customers"),
     )
     margin = F.coalesce(ratio("profit", "sales"), F.lit(0.0))
     return sums.select(
@@ -52,9 +54,9 @@ def _totals(
     margin: bool = False,
 ) -> DataFrame:
     require(df, "Sales", "Profit", *keys)
-    sums = [total("Sales").alias("s"), total("Profit").alias("p")]
+    sums = [total(exact(df, "Sales")).alias("s"), total(exact(df, "Profit")).alias("p")]
     if quantity:
-        sums.append(total("Quantity").alias("q"))
+        sums.append(total(exact(df, "Quantity")).alias("q"))
     if orders:
         sums.append(F.count_distinct("Order_ID").alias("Orders"))
     shown: list[Column | str] = [*keys, double("s").alias("Sales"), double("p").alias("Profit")]
@@ -115,8 +117,8 @@ def discount_profit_analysis(df: DataFrame, keys: Sequence[str] = ()) -> DataFra
     margin = F.col("Profit_Margin") if "Profit_Margin" in df.columns else ratio("Profit", "Sales")
     banded = df.select(
         *keys,
-        "Sales",
-        "Profit",
+        exact(df, "Sales").alias("Sales"),
+        exact(df, "Profit").alias("Profit"),
         margin.alias("Profit_Margin"),
         discount_band_index(F.col("Discount")).alias("bin_idx"),
         discount_band(F.col("Discount")).alias("Discount_Bin"),

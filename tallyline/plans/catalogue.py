@@ -14,25 +14,23 @@ from pyspark.sql import DataFrame, SparkSession
 from ..sources.relation import RELATION, run_query
 
 
-def _money(column: str) -> str:
-    return f"CAST(ROUND(SUM(CAST({column} AS DECIMAL(18,4))), 2) AS DOUBLE)"
+def _sum(column: str, presummed: bool) -> str:
+    return f"SUM({column})" if presummed else f"SUM(CAST({column} AS DECIMAL(18,4)))"
 
 
-def _distinct(column: str) -> str:
-    return f"COUNT(DISTINCT {column})"
+def _figures(presummed: bool = False) -> dict[str, str]:
+    """SQL of the shared figures, over the lines or over sums per order and customer."""
+    sales, profit = _sum("Sales", presummed), _sum("Profit", presummed)
+    return {
+        "sales": f"CAST(ROUND({sales}, 2) AS DOUBLE)",
+        "profit": f"CAST(ROUND({profit}, 2) AS DOUBLE)",
+        "margin": f"ROUND(TRY_DIVIDE(CAST({profit} AS DOUBLE), CAST({sales} AS DOUBLE)) * 100, 2)",
+        "orders": "COUNT(DISTINCT Order_ID)",
+        "customers": "COUNT(DISTINCT Customer_ID)",
+    }
 
 
-SALES = _money("Sales")
-PROFIT = _money("Profit")
-ORDERS = _distinct("Order_ID")
-CUSTOMERS = _distinct("Customer_ID")
-MARGIN = (
-    "ROUND(TRY_DIVIDE(CAST(SUM(CAST(Profit AS DECIMAL(18,4))) AS DOUBLE), "
-    "CAST(SUM(CAST(Sales AS DECIMAL(18,4))) AS DOUBLE)) * 100, 2)"
-)
-AVG_DISCOUNT = (
-    "ROUND(TRY_DIVIDE(CAST(SUM(CAST(Discount AS DECIMAL(18,4))) AS DOUBLE), COUNT(Discount)) * 100, 2)"
-)
+AVG_DISCOUNT = f"ROUND(TRY_DIVIDE(CAST({_sum('Discount', False)} AS DOUBLE), COUNT(Discount)) * 100, 2)"
 
 
 def report_sql(
@@ -43,10 +41,23 @@ def report_sql(
     order: str,
     limit: int | None = None,
     hide: Sequence[str] = (),
+    per_order: bool = False,
     relation: str = RELATION,
 ) -> str:
-    """SQL text of one report: group by ``keys`` (names, or name to expression), compute ``figures``."""
+    """SQL text of one report: group by ``keys`` (names, or name to expression), compute ``figures``.
+
+    ``per_order`` sums per order and customer first, for reports that count both: two distinct counts
+    multiply their input rows, so these should be the orders and not the lines.
+    """
     named = keys if isinstance(keys, dict) else {key: key for key in keys}
+    if per_order:
+        grouped = [f"{expression} AS {name}" for name, expression in named.items()]
+        sums = [f"{_sum(c, False)} AS {c}" for c in ("Sales", "Profit")]
+        relation = (
+            f"(\n  SELECT {', '.join([*grouped, 'Order_ID', 'Customer_ID', *sums])}\n  FROM {relation}\n"
+            f"  GROUP BY {', '.join([*named.values(), 'Order_ID', 'Customer_ID'])}\n) AS per_order"
+        )
+        named = {name: name for name in named}
     columns = [f"{expression} AS {name}" for name, expression in {**named, **figures}.items()]
     lines = [
         "SELECT " + ",\n       ".join(columns),
@@ -65,40 +76,46 @@ def report_sql(
     return text + (f"\nLIMIT {limit}" if limit else "")
 
 
-_SALES_PROFIT = {"Total_Sales": SALES, "Total_Profit": PROFIT}
+_LINE, _ORDER = _figures(), _figures(presummed=True)
+_SALES_PROFIT = {"Total_Sales": _LINE["sales"], "Total_Profit": _LINE["profit"]}
+_ORDER_SALES_PROFIT = {"Total_Sales": _ORDER["sales"], "Total_Profit": _ORDER["profit"]}
 _PRODUCT_GROUP = ["Category", "Sub_Category"]
-_MONTH = "date_format(Order_Date, 'yyyy-MM')"
-_YEAR = "date_format(Order_Date, 'yyyy')"
 
 BUSINESS_QUERIES = {
     "total_sales_profit_by_category": report_sql(
         ["Category"],
-        {**_SALES_PROFIT, "Order_Count": ORDERS, "Profit_Margin_Pct": MARGIN},
+        {**_SALES_PROFIT, "Order_Count": _LINE["orders"], "Profit_Margin_Pct": _LINE["margin"]},
         order="Total_Sales DESC",
     ),
     "monthly_sales": report_sql(
-        {"Year_Month": _MONTH}, {"Monthly_Sales": SALES, "Monthly_Profit": PROFIT}, order="Year_Month"
+        ["Year_Month"], {"Monthly_Sales": _LINE["sales"], "Monthly_Profit": _LINE["profit"]}, order="Year_Month"
     ),
     "regional_performance": report_sql(
         ["Region"],
-        {**_SALES_PROFIT, "Orders": ORDERS, "Customers": CUSTOMERS, "Profit_Margin_Pct": MARGIN},
+        {
+            **_ORDER_SALES_PROFIT,
+            "Orders": _ORDER["orders"],
+            "Customers": _ORDER["customers"],
+            "Profit_Margin_Pct": _ORDER["margin"],
+        },
         order="Total_Sales DESC",
+        per_order=True,
     ),
     "top_10_customers_by_revenue": report_sql(
         ["Customer_ID", "Customer_Name", "Segment"],
-        {**_SALES_PROFIT, "Orders": ORDERS},
+        {**_SALES_PROFIT, "Orders": _LINE["orders"]},
         order="Total_Sales DESC",
         limit=10,
     ),
     "top_10_products_by_profit": report_sql(
         ["Product_ID", "Product_Name", *_PRODUCT_GROUP],
-        {**_SALES_PROFIT, "Profit_Margin_Pct": MARGIN},
+        {**_SALES_PROFIT, "Profit_Margin_Pct": _LINE["margin"]},
         order="Total_Profit DESC",
         limit=10,
     ),
     "loss_making_subcategories": report_sql(
         _PRODUCT_GROUP,
-        {**_SALES_PROFIT, "Profit_Margin_Pct": MARGIN},
+        {**_SALES_PROFIT, "Profit_Margin_Pct": _LINE["margin"]},
         keep="Total_Profit < 0",
         order="Total_Profit ASC",
     ),
@@ -107,30 +124,40 @@ BUSINESS_QUERIES = {
     ),
     "sales_profit_by_segment": report_sql(
         ["Segment"],
-        {**_SALES_PROFIT, "Customers": CUSTOMERS, "Orders": ORDERS, "Profit_Margin_Pct": MARGIN},
+        {
+            **_ORDER_SALES_PROFIT,
+            "Customers": _ORDER["customers"],
+            "Orders": _ORDER["orders"],
+            "Profit_Margin_Pct": _ORDER["margin"],
+        },
         order="Total_Sales DESC",
+        per_order=True,
     ),
     "high_sales_low_profit_products": report_sql(
         ["Product_Name", *_PRODUCT_GROUP],
-        {**_SALES_PROFIT, "Profit_Margin_Pct": MARGIN},
+        {**_SALES_PROFIT, "Profit_Margin_Pct": _LINE["margin"]},
         keep="Total_Sales > 1000 AND Profit_Margin_Pct < 5",
         order="Total_Sales DESC",
         limit=20,
     ),
+    # The year is text here, unlike in the DataFrame operators.
     "yearly_performance": report_sql(
-        {"Year": _YEAR}, {**_SALES_PROFIT, "Orders": ORDERS, "Customers": CUSTOMERS}, order="Year"
+        {"Year": "CAST(Year AS STRING)"},
+        {**_ORDER_SALES_PROFIT, "Orders": _ORDER["orders"], "Customers": _ORDER["customers"]},
+        order="Year",
+        per_order=True,
     ),
     "ship_mode_analysis": report_sql(
         ["Ship_Mode"],
-        {"Orders": ORDERS, "Total_Sales": SALES, "Avg_Days_to_Ship": "ROUND(AVG(Days_to_Ship), 1)"},
+        {"Orders": _LINE["orders"], "Total_Sales": _LINE["sales"], "Avg_Days_to_Ship": "ROUND(AVG(Days_to_Ship), 1)"},
         order="Orders DESC",
     ),
     "state_profitability": report_sql(
-        ["State", "Region"], {**_SALES_PROFIT, "Profit_Margin_Pct": MARGIN}, order="Total_Sales DESC", limit=15
+        ["State", "Region"], {**_SALES_PROFIT, "Profit_Margin_Pct": _LINE["margin"]}, order="Total_Sales DESC", limit=15
     ),
     "top_10_customers_without_id": report_sql(
         ["Customer_ID", "Customer_Name", "Segment"],
-        {**_SALES_PROFIT, "Orders": ORDERS},
+        {**_SALES_PROFIT, "Orders": _LINE["orders"]},
         order="Total_Sales DESC",
         limit=10,
         hide=["Customer_ID"],

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..functions.money import total
+from ..functions.money import exact, total
 from ..operators import customers as cust
 from ..operators import forecasting as fc
 from ..operators import insights, products, profiling, sales
@@ -28,7 +28,7 @@ def sales_rollup(lines: DataFrame) -> DataFrame:
     one pass over the lines serves five results, and the rollup has as many rows as there are
     combinations of dimension values, not lines.
     """
-    sums = [total(c).alias(c) for c in ("Sales", "Profit", "Quantity")]
+    sums = [total(exact(lines, c)).alias(c) for c in ("Sales", "Profit", "Quantity")]
     return cut_lineage(lines.groupBy(*_ROLLUP_KEYS).agg(*sums))
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import types as T
 
 # Money is summed exactly, so that the result does not depend on the order of the rows.
 MONEY = T.DecimalType(18, 4)
+# For sums that come as floating-point numbers.
+WIDE_MONEY = T.DecimalType(28, 4)
 
 # Raw export names and their canonical names.
 CANONICAL_NAMES = {

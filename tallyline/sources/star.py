@@ -88,7 +88,7 @@ def order_lines(spark: SparkSession, folder: str, columns: Iterable[str] = ALL_C
         "Product_ID": lambda: F.col("l_partkey"),
         "Product_Name": lambda: F.col("p_name"),
         "Sales": lambda: _from_ten_thousandths(sales),
-        "Quantity": lambda: F.col("l_quantity"),
+        "Quantity": lambda: F.col("l_quantity").cast("bigint"),
         "Discount": lambda: F.col("l_discount").cast("decimal(4,2)"),
         # Cost is not in the star schema; twice the list price makes profit straddle zero.
         "Profit": lambda: _from_ten_thousandths(sales - cost),
