@@ -176,6 +176,7 @@ FROM {source} WHERE Discount_Bin IS NOT NULL GROUP BY {keys}Discount_Bin"""
 _PARTS["disc"] = _band_result("bands")
 _PARTS["stress_disc"] = _band_result("stress_bands")
 _PARTS["disc_state"] = _band_result("bands", "State, ")
+_PARTS["disc_segment"] = _band_result("bands", "Segment, ")
 
 
 def _series(keys: str = "") -> dict[str, str]:
@@ -213,7 +214,7 @@ FROM guesses{name} {group}""",
     }
 
 
-for _keys in ("", "Region, ", "State, "):
+for _keys in ("", "Region, ", "State, ", "Segment, "):
     _PARTS.update(_series(_keys))
 
 def _used(sql: str) -> set[str]:
@@ -336,10 +337,10 @@ def _context(kpis: str, cat: str, reg: str, metrics: str, disc: str, key: str =
     segments = ""
     if rfm:
         ctes.append(
-            """x_rfm AS (SELECT string_agg(RFM_Segment || '=' || n, '; ' ORDER BY RFM_Segment) AS rfm_segments,
+            f"""x_rfm AS (SELECT {lead}string_agg(RFM_Segment || '=' || n, '; ' ORDER BY RFM_Segment) AS rfm_segments,
        CAST(coalesce(sum(n) FILTER (RFM_Segment = 'Champions'), 0) AS BIGINT) AS champions_count,
        CAST(coalesce(sum(n) FILTER (RFM_Segment = 'At Risk'), 0) AS BIGINT) AS at_risk_count
-       FROM (SELECT RFM_Segment, count(*) AS n FROM rfm GROUP BY RFM_Segment))"""
+       FROM (SELECT {lead}RFM_Segment, count(*) AS n FROM rfm GROUP BY {lead}RFM_Segment) {group})"""
         )
         segments = "rfm_segments, champions_count, at_risk_count,"
     else:
@@ -691,3 +692,11 @@ ORACLES["i1_context_by_state"] = _context(
     "State",
     rfm=False,
 )
+ORACLES["i1_context_by_segment"] = _context(
+    f"SELECT Segment, {_KPIS} FROM f GROUP BY Segment",
+    _grouped("Category", "Segment"),
+    _grouped("Region", "Segment"),
+    "metrics_segment",
+    "disc_segment",
+    "Segment",
+)

@@ -749,6 +749,11 @@ def i1_by_state(spark, folder):
     return jobs.insight_context_by(stored_lines(spark, folder, *_FACETS, "State", "Discount"), ["State"]).drop("rfm_segments")
 
 
+@query("i1_context_by_segment")
+def i1_by_segment(spark, folder):
+    return _flat(jobs.insight_context_by(stored_lines(spark, folder, *_INSIGHT), ["Segment"]))
+
+
 @query("i2_i3_insights")
 def i2(spark, folder):
     return insights.generate_insights(jobs.insight_context(stored_lines(spark, folder, *_INSIGHT)))

@@ -43,8 +43,9 @@ def discount_band(discount: Column) -> Column:
 
 
 def customer_segment(score: Column) -> Column:
-    segment = F
-    for floor, name in SEGMENT_FLOORS:
+    (best, name), *lower = SEGMENT_FLOORS
+    segment = F.when(score >= best, F.lit(name))
+    for floor, name in lower:
         segment = segment.when(score >= floor, F.lit(name))
     return segment.otherwise(F.lit(LOWEST_SEGMENT))
 

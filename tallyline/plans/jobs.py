@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
 from collections.abc import Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +13,7 @@ from ..operators import forecasting as fc
 from ..operators import insights, products, profiling, sales
 from ..operators.cleaning import clean_orders, cleaning_audit
 from ..operators.features import engineer_features
+from ..schema import CUSTOMER
 from ..session import cut_lineage
 from ..sources.files import load_processed, load_raw_orders, save_processed, save_report
 from ..sources.relation import publish
@@ -86,12 +87,16 @@ def insight_context(lines: DataFrame, forest: bool = True) -> DataFrame:
 
 
 def insight_context_by(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One record per key value from the same grouped aggregates; forecasts need a long enough series each."""
+    """One record per key value from the same grouped aggregates; forecasts need a long enough series each.
+
+    Segment counts are of customers, so they are there when the keys are customer attributes.
+    """
+    of_customers = set(keys) <= set(CUSTOMER)
     return insights.build_insight_context(
         sales.sales_summary(lines, keys),
         sales.sales_by_category(lines, keys),
         sales.sales_by_region(lines, keys),
-        None,
+        cust.compute_rfm(lines) if of_customers else None,
         run_forecasting(lines, keys=keys, forest=False)["metrics"],
         sales.discount_profit_analysis(lines, keys),
         keys,
