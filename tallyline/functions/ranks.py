@@ -22,17 +22,23 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+def range_slices(df: DataFrame, group: str, order: Sequence[str]) -> DataFrame:
+    """Range-partition by (group, order), keep the result, and note each row's partition.
+
+    There should be one row per (group, order): then no value can make one partition large.
+    """
+    return cut_lineage(df.repartitionByRange(group, *order).withColumn("_slice", F.spark_partition_id()))
+
+
 def rows_at_positions(
-    df: DataFrame, group: str, order: Sequence[str], freq: str, wanted: Callable[[Column], Column]
+    sliced: DataFrame, group: str, order: Sequence[str], freq: str, wanted: Callable[[Column], Column]
 ) -> DataFrame:
     """The rows found at given 0-based positions when each group is sorted by ``order``.
 
-    ``df`` holds one row per (group, order) and counts ``freq`` times; ``wanted`` maps the size of a
-    group to an array of positions. The rows are range-partitioned, so no task sees a whole group: the
-    partition sizes tell which partitions hold a wanted position and only those are numbered.
-    Adds ``position`` and ``group_size``.
+    Rows come from ``range_slices`` and count ``freq`` times; ``wanted`` maps the size of a group to an
+    array of positions. No task sees a whole group: the partition sizes tell which partitions hold a
+    wanted position and only those are numbered. Adds ``position`` and ``group_size``.
     """
-    sliced = cut_lineage(df.repartitionByRange(group, *order).withColumn("_slice", F.spark_partition_id()))
     whole = Window.partitionBy(group)
     # One row per group and partition.
     sizes = sliced.groupBy(group, "_slice").agg(F.sum(freq).alias("_size"))
@@ -79,7 +85,7 @@ def exact_quantiles(
     one_buffer_values: int = ONE_BUFFER_VALUES,
 ) -> DataFrame:
     """(metric, n, quantiles): exact quantiles, interpolated linearly, one row per column."""
-    counts = cut_lineage(value_counts(df, columns))
+    counts = range_slices(value_counts(df, columns), "metric", ["value"])
     if counts.count() <= one_buffer_values:
         wanted = F.array(*[F.lit(float(p)) for p in probabilities])
         return counts.groupBy("metric").agg(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.calendar import whole_days
 from ..functions.labels import SEGMENT_ORDER, customer_segment, segment_position
 from ..functions.money import double, exact, mean, ratio, total
-from ..functions.ranks import ONE_BUFFER_VALUES, exact_quantiles, rows_at_positions
+from ..functions.ranks import ONE_BUFFER_VALUES, exact_quantiles, range_slices, rows_at_positions
 from ..schema import CUSTOMER, known, require
 from ..session import cut_lineage
 from .profiling import histogram
@@ -81,7 +81,8 @@ def _rank_thresholds(df: DataFrame, order: Sequence[str]) -> list[Column]:
         return F.array(*[((last * k - F.pmod(last * k, F.lit(4))) / 4).cast("long") for k in (1, 2, 3)])
 
     ranked = df.select(F.lit(0).alias("all"), *order, F.lit(1).cast("long").alias("freq"))
-    found = rows_at_positions(ranked, "all", order, "freq", lambda size: F.array_distinct(quarter_ends(size)))
+    sliced = range_slices(ranked, "all", order)
+    found = rows_at_positions(sliced, "all", order, "freq", lambda size: F.array_distinct(quarter_ends(size)))
     rows = {row["position"]: row for row in found.collect()}  # at most three rows
     last = next(iter(rows.values()))["group_size"] - 1
     types = dict(df.dtypes)
