@@ -1,12 +1,14 @@
 """For each registered query the same result as one SQL statement for another engine.
 
-Left out: the forest (another library's forest differs), results made from it, and report texts.
+Left out: the forest (another library's forest differs) and results made from it.
 """
 
 from __future__ import annotations
 
 import re
 
+from tallyline.operators import insights as wording
+
 # --- shared parts --------------------------------------------------------------------------------
 
 _PARTS = {
@@ -176,6 +178,7 @@ FROM {source} WHERE Discount_Bin IS NOT NULL GROUP BY {keys}Discount_Bin"""
 _PARTS["disc"] = _band_result("bands")
 _PARTS["stress_disc"] = _band_result("stress_bands")
 _PARTS["disc_state"] = _band_result("bands", "State, ")
+_PARTS["disc_region"] = _band_result("bands", "Region, ")
 _PARTS["disc_segment"] = _band_result("bands", "Segment, ")
 
 
@@ -700,3 +703,60 @@ ORACLES["i1_context_by_segment"] = _context(
     "disc_segment",
     "Segment",
 )
+
+
+def _report(context: str, key: str = "") -> str:
+    """The report text made from a context statement with the wording of the report."""
+    lead = f"{key}, " if key else ""
+
+    def text(value: str) -> str:
+        return "'" + value.replace("'", "''") + "'"
+
+    def whole(column: str) -> str:
+        return f"format('{{:,}}', CAST(round(CAST({column} AS DECIMAL(28,10)), 0) AS BIGINT))"
+
+    def places(column: str, n: int) -> str:
+        return f"CAST(round(CAST({column} AS DECIMAL(28,10)), {n}) AS VARCHAR)"
+
+    def paragraph(template: str, *values: str) -> str:
+        return f"printf({text(template)}, {', '.join(values)}) || chr(10)"
+
+    health = paragraph(
+        wording.HEALTH,
+        whole("total_sales"), whole("total_orders"), whole("unique_customers"), places("overall_margin_pct", 1),
+    )
+    category = paragraph(
+        wording.CATEGORY,
+        "top_category_by_sales", whole("top_category_sales"), "worst_margin_category", places("worst_margin_pct", 1),
+    )
+    region = paragraph(
+        wording.REGION,
+        "top_region", whole("top_region_sales"), "worst_margin_region", places("worst_margin_region_pct", 1),
+    )
+    discount = f"""CASE WHEN worst_discount_bin IS NOT NULL THEN
+       {paragraph(wording.DISCOUNT, 'worst_discount_bin', places('worst_discount_margin', 1))} END"""
+    customers = f"""CASE WHEN champions_count IS NOT NULL THEN
+       {paragraph(wording.CUSTOMERS, 'CAST(champions_count AS VARCHAR)', 'CAST(at_risk_count AS VARCHAR)')} END"""
+    fit = f"CASE WHEN best_forecast_r2 > 0.5 THEN {text(wording.GOOD_FIT)} ELSE {text(wording.LIMITED_FIT)} END"
+    forecast = paragraph(
+        wording.FORECAST, "best_forecast_model", whole("best_forecast_rmse"), places("best_forecast_r2", 3), fit
+    )
+    return f"""SELECT {lead}concat_ws(chr(10), {text(wording.HEADING)}, {health}, {category}, {region}, {discount},
+       {customers}, {forecast}, {text(wording.CLOSING)}) AS report
+FROM ({context})"""
+
+
+ORACLES["i2_report"] = _report(ORACLES["i1_context"])
+ORACLES["i2_report_by_state"] = _report(ORACLES["i1_context_by_state"], "State")
+_BY_REGION = _context(
+    f"SELECT Region, {_KPIS} FROM f GROUP BY Region",
+    _grouped("Category", "Region"),
+    "SELECT * FROM reg",
+    "metrics_region",
+    "disc_region",
+    "Region",
+    rfm=False,
+)
+ORACLES["s8_saved_report"] = (
+    f"SELECT unnest(string_split(report, chr(10))) AS value FROM ({_report(_BY_REGION, 'Region')})"
+)

@@ -759,6 +759,12 @@ def i2(spark, folder):
     return insights.generate_insights(jobs.insight_context(stored_lines(spark, folder, *_INSIGHT)))
 
 
+@query("i2_report")
+def i2_report(spark, folder):
+    """Without the forest, so that the text can be checked word by word."""
+    return insights.report_text(jobs.insight_context(stored_lines(spark, folder, *_INSIGHT), forest=False))
+
+
 @query("i2_report_by_state")
 def i2_by_state(spark, folder):
     context = jobs.insight_context_by(stored_lines(spark, folder, *_FACETS, "State", "Discount"), ["State"])

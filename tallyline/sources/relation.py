@@ -23,7 +23,11 @@ def publish(df: DataFrame, name: str = RELATION) -> DataFrame:
 
 
 def publish_table(df: DataFrame, name: str = RELATION, buckets: int | None = None) -> DataFrame:
-    """Store the relation as a table. Bucketing by order lets later per-order work skip its shuffle."""
+    """Store the relation as a table.
+
+    Bucketing by order lets later per-order work skip its shuffle. A bucket is read by one task, so leave
+    ``buckets`` out where a single order may hold a large share of the lines.
+    """
     writer = df.write.mode("overwrite").format("parquet")
     if buckets:
         writer = writer.bucketBy(buckets, "Order_ID").sortBy("Order_ID")
