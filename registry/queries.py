@@ -746,7 +746,8 @@ def i1(spark, folder):
 
 @query("i1_context_by_state")
 def i1_by_state(spark, folder):
-    return jobs.insight_context_by(stored_lines(spark, folder, *_FACETS, "State", "Discount"), ["State"]).drop("rfm_segments")
+    df = stored_lines(spark, folder, *_FACETS, "State", "Discount")
+    return jobs.insight_context_by(df, ["State"]).drop("rfm_segments")
 
 
 @query("i1_context_by_segment")

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 from tallyline.operators import cleaning, features, profiling
 from tallyline.schema import MONEY
 
-RAW = "`Order ID` string, `Order Date` string, Category string, Sales string, Quantity string, Discount string, Profit string, Extra string"
+RAW = (
+    "`Order ID` string, `Order Date` string, Category string, Sales string, Quantity string, Discount string, "
+    "Profit string, Extra string"
+)
 
 
 @pytest.fixture(scope="module")
