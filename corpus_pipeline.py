@@ -19,16 +19,19 @@ from tallyline.llm import bpe, decontaminate, fertility, minhash, secrets
 from tallyline.session import shared_folder
 
 
-def _beside(docs: DataFrame, add, wanted: list[str]) -> DataFrame:
-    """All columns of ``docs`` in a struct ``row``, with the columns that ``add`` makes of (text, lang, ...)."""
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[F.col(c) for c in wanted])
-    return add(packed)
+def _packed(docs: DataFrame) -> DataFrame:
+    """The text, and a struct ``row`` of all other columns, so that results can't clash with them."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), "text")
+
+
+def _unpacked(packed: DataFrame, names: list[str]) -> DataFrame:
+    return packed.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in names])
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and lie in their language's fertility bands."""
-    judged = _beside(docs, lambda d: fertility.judge(d), ["text", "lang"])
-    return judged.where("kept").select("row.*")
+    judged = fertility.judge(_packed(docs), lang="row.lang")
+    return _unpacked(judged.where("kept"), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,20 +43,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a considerable share of benchmark text."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    scanned = _beside(docs, lambda d: decontaminate.scan(d, items), ["text"])
-    return scanned.where(~decontaminate.contaminated(F.col("n_hit"), F.col("n_words"))).select("row.*")
+    scanned = decontaminate.scan(_packed(docs), items)
+    return _unpacked(scanned.where(~decontaminate.contaminated(F.col("n_hit"), F.col("n_words"))), docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with a mark in place of each secret; ``n_chars`` follows the text."""
-    found = _beside(docs, lambda d: secrets.scan(d), ["text"])
-    clean = secrets.redact(found).withColumn("n", F.length("text").cast("long"))
-    changed = F.size("spans") > 0
-    columns = {
-        "text": F.when(changed, F.col("text")).otherwise(F.col("row.text")),
-        "n_chars": F.when(changed, F.col("n")).otherwise(F.col("row.n_chars")),
-    }
-    return clean.select(*[columns.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    found = secrets.redact(secrets.scan(_packed(docs)))
+    length = F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars"))
+    return _unpacked(found.withColumn("row", F.col("row").withField("n_chars", length)), docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

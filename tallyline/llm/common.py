@@ -38,7 +38,10 @@ def without(df: DataFrame, names: list[str]) -> list[str]:
 
 def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows with about ``SLICE_BYTES`` of ``column``; one huge value is a run of its own."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    values = batch.column(column)
+    lists = pa.types.is_list(values.type)
+    sizes = pc.multiply(pc.list_value_length(values), 4) if lists else pc.binary_length(values)
+    sizes = pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False)
     start = held = 0
     for i, n in enumerate(sizes):
         if held and held + n > SLICE_BYTES:

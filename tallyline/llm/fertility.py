@@ -114,13 +114,13 @@ def measure(
     return add_columns(docs, text, fields, make)
 
 
-def language_key(docs: DataFrame, lang: str | None, text: str) -> Column:
+def language_key(lang: str | None, text: str) -> Column:
     """A language code of two or three letters, else the script of the first letter: a few thousand keys at most."""
     letter = F.regexp_extract(F.col(text), r"(\p{L})", 1)
     script = F.lit("other")
     for name in ("Latin", "Greek", "Cyrillic", "Arabic", "Hebrew", "Devanagari", "Han", "Hiragana", "Hangul", "Thai"):
         script = F.when(letter.rlike(rf"^\p{{Is{name}}}"), F.lit(name)).otherwise(script)
-    if lang is None or lang not in docs.columns:
+    if lang is None:
         return script
     code = F.lower(F.col(lang))
     return F.when(code.rlike("^[a-z]{2,3}$"), code).otherwise(script)
@@ -193,12 +193,12 @@ def judge(docs: DataFrame, text: str = "text", lang: str | None = "lang", reach:
     The texts are encoded once. What comes of it is written to the shared folder, because the bands need all of it
     before the first verdict; select the columns that are needed before.
     """
-    measured = measure(docs.withColumn("band_key", language_key(docs, lang, text)), text, **paths)
+    measured = measure(docs.withColumn("band_key", language_key(lang, text)), text, **paths)
     return verdicts(cut_lineage(measured), reach)
 
 
 def judge_ids(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str | None = "lang", reach: float = REACH, **paths: str) -> DataFrame:
     """As ``judge``, but of the input only the id is returned, so no text is written."""
-    docs = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text"), language_key(docs, lang, text).alias("band_key"))
+    docs = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text"), language_key(lang, text).alias("band_key"))
     measured = cut_lineage(measure(docs, "_text", **paths).drop("_text"))
     return verdicts(measured, reach).withColumnRenamed("_id", id)

@@ -226,9 +226,9 @@ common AS (
 links AS (
   SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)
 ),
-both AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
 reach (doc_id, other) AS (
-  SELECT doc_id, doc_id FROM w UNION SELECT r.doc_id, e.b FROM reach r JOIN both e ON e.a = r.other
+  SELECT doc_id, doc_id FROM w UNION SELECT r.doc_id, e.b FROM reach r JOIN edges e ON e.a = r.other
 ),
 c AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
 SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id, w.doc_id = c.component_id AS kept
