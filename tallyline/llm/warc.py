@@ -120,9 +120,9 @@ def dictionary(records: list[bytes]) -> zstandard.ZstdCompressionDict | None:
         return None
 
 
-def archive(records: list[bytes], level: int = 3) -> Iterator[bytes]:
-    """The frames of an archive: the dictionary's, then one per record."""
-    found = dictionary(records)
+def archive(records: list[bytes], level: int = 3, with_dictionary: bool = True) -> Iterator[bytes]:
+    """The frames of an archive: the dictionary's, if there is one, then one per record."""
+    found = dictionary(records) if with_dictionary else None
     if found:
         data = zstandard.ZstdCompressor(level=19).compress(found.as_bytes())
         yield struct.pack("<II", DICTIONARY_FRAME, len(data)) + data
