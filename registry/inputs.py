@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,22 +27,19 @@ def lines(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh place in the shared folder for a table a query writes and reads back."""
-    return f"{shared_folder(spark).rstrip('/')}/tallyline/{name}-{uuid.uuid4().hex}"
+    """A place in the shared folder for a table that a query writes and reads back.
 
-
-def stored_lines(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
-    """The same, for queries that read them many times: joined once and written, features added on reading."""
-    path = scratch_path(spark, "lines")
-    order_lines(spark, folder, columns or ALL_COLUMNS).write.parquet(path)
-    return _featured(spark.read.parquet(path))
+    A session has one place per name, so that a query run again writes over its earlier table.
+    """
+    return f"{shared_folder(spark).rstrip('/')}/tallyline/{spark.sparkContext.applicationId}/{name}"
 
 
 def discount_stress(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
-    """Every line twice: with its discount and with ten times its discount, so that every band occurs."""
+    """Every line with its discount, with ten times its discount (every band occurs), and with slightly less than that."""
     df = order_lines(spark, folder, ("Discount", *columns))
-    both = F.array(F.col("Discount").cast("decimal(18,4)"), (F.col("Discount") * 10).cast("decimal(18,4)"))
-    return df.withColumn("Discount", F.explode(both))
+    tenfold = (F.col("Discount") * 10).cast("decimal(18,8)")
+    below = (tenfold - F.lit(Decimal("0.00004"))).cast("decimal(18,8)")
+    return df.withColumn("Discount", F.explode(F.array(F.col("Discount").cast("decimal(18,8)"), tenfold, below)))
 
 
 def null_keys(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
@@ -56,8 +53,11 @@ def null_keys(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     )
 
 
-def dirty_orders(spark: SparkSession, folder: str) -> DataFrame:
-    """Every line as text under its raw name, with defects on fixed remainders of the order number."""
+def dirty_orders(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
+    """Every line as text under its raw name, with defects on fixed remainders of the order number.
+
+    ``whole`` adds the text columns without defects, which a whole run needs.
+    """
     df = order_lines(spark, folder)
     key = F.col("Order_ID")
 
@@ -70,24 +70,41 @@ def dirty_orders(spark: SparkSession, folder: str) -> DataFrame:
     def every(n: int, value, otherwise):
         return F.when(key % n == 0, value).otherwise(otherwise)
 
+    # Large, long and nearly equal numbers, and discounts just below an edge.
+    odd_sales = (
+        F.when(key % 29 == 1, F.lit("1000000000000000.5"))
+        .when(key % 23 == 1, F.concat(text("Sales"), F.lit("1234")))
+        .when(key % 50 == 10, F.concat(text("Sales"), (F.col("copy") + 1).cast("string")))
+        .otherwise(text("Sales"))
+    )
+    odd_discount = every(31, F.lit("0.19996"), every(37, F.lit("0.0999999"), text("Discount")))
     raw = {
         "Order ID": every(7, F.concat(F.lit("  "), text("Order_ID"), F.lit("\t")), text("Order_ID")),
-        "Order Date": every(101, F.lit("not-a-date"), day("Order_Date")),
+        "Order Date": every(
+            101,
+            F.lit("not-a-date"),
+            F.when(key % 5 == 1, F.date_format("Order_Date", "M/d/yyyy"))
+            .when(key % 5 == 2, F.date_format("Order_Date", "MMM d, yyyy"))
+            .otherwise(day("Order_Date")),
+        ),
         "Ship Date": every(103, F.lit("unknown"), day("Ship_Date")),
         "Customer ID": text("Customer_ID"),
         "Region": F.col("Region"),
         "Category": every(53, F.lit(None).cast("string"), every(11, F.concat("Category", F.lit(" \n")), F.col("Category"))),
         "Sub-Category": F.col("Sub_Category"),
         "Product ID": text("Product_ID"),
-        "Sales": every(97, F.lit("n/a"), every(89, F.lit("0"), every(83, F.lit(" -5.25 "), text("Sales")))),
+        "Sales": every(97, F.lit("n/a"), every(89, F.lit("0"), every(83, F.lit(" -5.25 "), odd_sales))),
         "Quantity": every(79, F.lit("0"), text("Quantity")),
         "Discount": every(
-            61, F.lit("-0.1"), every(59, F.lit("1.5"), every(67, F.lit(None).cast("string"), text("Discount")))
+            61, F.lit("-0.1"), every(59, F.lit("1.5"), every(67, F.lit(None).cast("string"), odd_discount))
         ),
         "Profit": text("Profit"),
         "Channel": every(2, F.lit("web"), F.lit("store")),
     }
-    copies = F.explode(F.array_repeat(F.lit(1), every(50, F.lit(2), F.lit(1)))).alias("copy")
+    if whole:
+        raw |= {"State/Province": F.col("State"), "Segment": F.col("Segment"), "Customer Name": F.col("Customer_Name")}
+        raw |= {"Ship Mode": F.col("Ship_Mode"), "Product Name": F.col("Product_Name")}
+    copies = F.explode(F.sequence(F.lit(0), every(10, F.lit(1), F.lit(0)))).alias("copy")
     return df.select("*", copies).select([column.alias(name) for name, column in raw.items()])
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyline.functions import labels, text
@@ -23,9 +24,7 @@ from .inputs import (
     labelled_documents,
     lines,
     null_keys,
-    raw_orders,
     scratch_path,
-    stored_lines,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,7 +87,7 @@ def s2(spark, folder):
     returned = spark.read.parquet(f"{folder}/lineitem.parquet").filter("l_returnflag = 'R'")
     table = returned.select(F.lit("Yes").alias("Returned"), F.col("l_orderkey").cast("string").alias("Order ID"))
     path = scratch_path(spark, "returns")
-    table.distinct().write.parquet(path)
+    table.distinct().write.mode("overwrite").parquet(path)
     return files.load_returns(spark, path)
 
 
@@ -101,7 +100,7 @@ def s3(spark, folder):
 
 @query("s4_load_processed")
 def s4(spark, folder):
-    path = scratch_path(spark, "processed")
+    path = f"{scratch_path(spark, 'processed')}-{uuid.uuid4().hex}"
     built = files.load_processed(spark, path, lambda: lines(spark, folder, *_KPI, "Order_Date"))
     return sales.sales_summary(built, ["Year"])
 
@@ -122,22 +121,64 @@ def s6(spark, folder):
     )
 
 
-def _row_counts(results: dict[str, DataFrame], name: str) -> DataFrame:
-    parts = [df.groupBy().agg(F.lit(key).alias(name), F.count("*").alias("n_rows")) for key, df in results.items()]
+def _digest(results: dict[str, DataFrame], name: str, measures: dict[str, str]) -> DataFrame:
+    """Rows of each result, and the sum of one of its columns."""
+    parts = []
+    for key, df in results.items():
+        measure = F.sum(F.col(measures[key]).cast("decimal(38,10)")) if key in measures else F.lit(None).cast("double")
+        parts.append(
+            df.groupBy().agg(F.lit(key).alias(name), F.count("*").alias("n_rows"), F.round(measure, 2).cast("double").alias("total"))
+        )
     return reduce(DataFrame.unionByName, parts)
 
 
-@query("s7_catalogue_row_counts")
+_QUERY_MEASURES = {
+    "total_sales_profit_by_category": "Total_Sales",
+    "monthly_sales": "Monthly_Profit",
+    "regional_performance": "Customers",
+    "top_10_customers_by_revenue": "Total_Sales",
+    "top_10_products_by_profit": "Total_Profit",
+    "loss_making_subcategories": "Total_Profit",
+    "avg_discount_by_category": "Avg_Discount_Pct",
+    "sales_profit_by_segment": "Orders",
+    "high_sales_low_profit_products": "Total_Sales",
+    "yearly_performance": "Total_Profit",
+    "ship_mode_analysis": "Avg_Days_to_Ship",
+    "state_profitability": "Profit_Margin_Pct",
+    "top_10_customers_without_id": "Total_Profit",
+}
+_EDA_MEASURES = {
+    "kpis": "avg_order_value",
+    "sales_by_year": "Orders",
+    "monthly_trend": "Sales",
+    "quarterly_sales": "Profit",
+    "sales_by_category": "Orders",
+    "sales_by_subcategory": "Quantity",
+    "sales_by_region": "Orders",
+    "sales_by_state": "Profit",
+    "profitability_by_subcategory": "Profit",
+    "discount_profit": "Avg_Sales",
+}
+_CUSTOMER_MEASURES = {"customer_table": "Total_Profit", "rfm": "RFM_Score"}
+
+
+@query("s7_catalogue_results")
 def s7(spark, folder):
-    relation.publish(stored_lines(spark, folder))
-    results, _ = run_all_business_queries(spark)
-    return _row_counts(results, "query")
+    """Every report, and one that can't be planned and leaves the others alone."""
+    relation.publish(lines(spark, folder), "s7_orders")
+    broken = {"broken": "SELECT no_such_column FROM orders"}
+    results, failed = run_all_business_queries(spark, {**broken, **BUSINESS_QUERIES}, "s7_orders")
+    shown = _digest(results, "query", _QUERY_MEASURES).withColumn("failed", F.lit(False))
+    lost = spark.createDataFrame(
+        [(name, None, None, True) for name in failed], "query string, n_rows long, total double, failed boolean"
+    )
+    return shown.unionByName(lost)
 
 
 @query("s8_saved_report")
 def s8(spark, folder):
     path = scratch_path(spark, "report")
-    context = jobs.insight_context_by(stored_lines(spark, folder, *_FACETS, "Discount"), ["Region"])
+    context = jobs.insight_context_by(lines(spark, folder, *_FACETS, "Discount"), ["Region"])
     files.save_report(insights.report_text(context, ["Region"]), path)
     return spark.read.text(path)
 
@@ -316,14 +357,6 @@ def p6(spark, folder):
     return _rounded(profiling.describe_numeric(df), 4, "mean", "std", "p25", "p50", "p75")
 
 
-@query("p6_describe_numeric_spread")
-def p6_spread(spark, folder):
-    """The same figures on the way that never holds all values in one buffer."""
-    df = order_lines(spark, folder, ["Sales", "Quantity", "Discount", "Profit"])
-    found = profiling.describe_numeric(df, one_buffer_values=0)
-    return _rounded(found, 4, "mean", "std", "p25", "p50", "p75")
-
-
 @query("p7_columns_with_missing")
 def p7(spark, folder):
     return profiling.columns_with_missing(labelled_documents(spark, folder))
@@ -386,8 +419,13 @@ def w3(spark, folder):
 
 @query("w4_empty_guard")
 def w4(spark, folder):
-    nobody = filters.filter_orders(lines(spark, folder, *_FACETS), regions=["NOWHERE"])
-    return sales.sales_by_region(nobody) if filters.nothing_selected(nobody) else nobody
+    """Whether a selection is empty, for one that is and one that isn't."""
+    every = lines(spark, folder, *_FACETS)
+    chosen = {"nowhere": ["NOWHERE"], "asia": ["ASIA"]}
+    found = [(name, filters.nothing_selected(filters.filter_orders(every, regions=r))) for name, r in chosen.items()]
+    selected = filters.selected_rows(filters.filter_orders(every, regions=["ASIA"])).select("selected")
+    flags = spark.createDataFrame(found, "selection string, is_empty boolean")
+    return flags.withColumn("selected", F.when(F.col("selection") == "asia", selected.scalar()).otherwise(F.lit(0)))
 
 
 @query("w5_negative_margins")
@@ -468,18 +506,22 @@ def a10_stress(spark, folder):
 
 @query("a11_run_all_eda")
 def a11(spark, folder):
-    return _row_counts(jobs.run_all_eda(stored_lines(spark, folder, *_EDA)), "result")
+    return _digest(jobs.run_all_eda(lines(spark, folder, *_EDA)), "result", _EDA_MEASURES)
+
 
+@query("a11_subcategories_from_sets")
+def a11_sets(spark, folder):
+    return jobs.run_all_eda(lines(spark, folder, *_EDA))["profitability_by_subcategory"]
 
-@query("a11_subcategories_from_rollup")
-def a11_rollup(spark, folder):
-    wanted = ("Order_Date", "State", *_SUBCATEGORY)
-    return sales.profitability_by_subcategory(jobs.sales_rollup(lines(spark, folder, *wanted)))
+
+@query("a11_discounts_from_sets")
+def a11_discounts(spark, folder):
+    return _rounded(jobs.run_all_eda(lines(spark, folder, *_EDA))["discount_profit"], 6, "Avg_Profit_Margin")
 
 
 # --- SQL catalogue -------------------------------------------------------------------------------
 
-# Report name and the columns it reads.
+# Report names; with the columns each reads.
 _REPORTS = {
     "q1_sales_profit_by_category": ("total_sales_profit_by_category", _CATEGORY),
     "q2_monthly_sales": ("monthly_sales", ("Order_Date", *_MONEY)),
@@ -533,12 +575,6 @@ def k6(spark, folder):
     return _rfm(spark, folder)
 
 
-@query("k4_k6_rfm_spread")
-def k6_spread(spark, folder):
-    """The same scores on the way that never holds all values in one buffer."""
-    return customers.compute_rfm(lines(spark, folder, *_RFM), one_buffer_values=0)
-
-
 @query("k5_rfm_tied")
 def k5(spark, folder):
     base = customers.rfm_base(lines(spark, folder, *_RFM))
@@ -569,8 +605,8 @@ def k9_rfm(spark, folder):
 
 @query("k10_customer_kpis")
 def k10(spark, folder):
-    df = lines(spark, folder, *_CUSTOMERS, "Order_Date")
-    found = customers.customer_kpis(customers.customer_revenue_table(df), customers.compute_rfm(df))
+    found = jobs.run_customer_analysis(lines(spark, folder, *_CUSTOMERS, "Order_Date"))
+    found = customers.customer_kpis(found["customer_table"], found["rfm"])
     return _rounded(found, 2, "avg_revenue", "avg_orders")
 
 
@@ -599,8 +635,7 @@ def _subcategories(spark, folder):
 
 @query("d1_product_kpis")
 def d1(spark, folder):
-    df = lines(spark, folder, "Order_ID", *_SUBCATEGORY)
-    return products.product_kpis(sales.sales_by_category(df), sales.profitability_by_subcategory(df))
+    return products.product_kpis_of_lines(lines(spark, folder, "Category", "Sub_Category", *_MONEY))
 
 
 @query("d2_median_subcategory_sales")
@@ -637,8 +672,7 @@ def f15(spark, folder):
 
 @query("d6_top_and_worst")
 def d6(spark, folder):
-    df = lines(spark, folder, "Order_ID", "Category", "Region", *_MONEY)
-    return products.top_and_worst(sales.sales_by_category(df), sales.sales_by_region(df))
+    return products.top_and_worst_of_lines(lines(spark, folder, "Category", "Region", *_MONEY))
 
 
 @query("d7_profit_chart")
@@ -687,16 +721,18 @@ def t4_by_region(spark, folder):
     return _rounded(fc.test_predictions(_simple(spark, folder, "Region")), 2, "Pred_LR")
 
 
+def _forest_fits(predicted: DataFrame) -> DataFrame:
+    """The test months, with whether the forest stays within the sales that it was trained on."""
+    sold = F.when(~F.col("is_test"), F.col("Sales"))
+    seen = predicted.agg(F.struct(F.min(sold).alias("low"), F.max(sold).alias("high")).alias("r")).scalar()
+    within = F.col("Pred_RF").between(seen["low"], seen["high"])
+    return fc.test_predictions(predicted.withColumn("RF_in_range", within)).drop("Pred_RF")
+
+
 @query("t5_random_forest")
 def t5(spark, folder):
     flagged = fc.flag_test_months(fc.prepare_monthly_series(lines(spark, folder, *_MONTHLY)))
-    return fc.test_predictions(fc.random_forest(flagged))
-
-
-@query("t5_random_forest_by_region")
-def t5_by_region(spark, folder):
-    monthly = fc.prepare_monthly_series(lines(spark, folder, *_MONTHLY, "Region"), ["Region"])
-    return fc.test_predictions(fc.random_forest(fc.flag_test_months(monthly, keys=["Region"]), ["Region"]))
+    return _forest_fits(fc.random_forest(flagged))
 
 
 @query("t6_metrics")
@@ -716,7 +752,7 @@ def t7(spark, folder):
 
 @query("t8_all_predictions")
 def t8(spark, folder):
-    return jobs.run_forecasting(lines(spark, folder, *_MONTHLY))["test"]
+    return _rounded(_forest_fits(jobs.run_forecasting(lines(spark, folder, *_MONTHLY))["predicted"]), 2, "Pred_LR")
 
 
 @query("t9_plot_feed")
@@ -726,7 +762,13 @@ def t9(spark, folder):
 
 @query("t11_run_forecasting")
 def t11(spark, folder):
-    return jobs.run_forecasting(lines(spark, folder, *_MONTHLY))["metrics"]
+    """Figures of the closed-form models by value; of the forest, whose figures are its own, what must hold."""
+    metrics = jobs.run_forecasting(lines(spark, folder, *_MONTHLY))["metrics"]
+    closed = F.col("model") != "Random Forest"
+    figures = [F.when(closed, F.col(c)).alias(c) for c in ("MAE", "RMSE", "R2")]
+    lower = Window.orderBy("RMSE")
+    ordered = F.coalesce(F.lag("RMSE").over(lower) <= F.col("RMSE"), F.lit(True))
+    return metrics.select("model", *figures, (F.col("RMSE") >= F.col("MAE")).alias("consistent"), ordered.alias("ordered"))
 
 
 # --- insights and bundles ------------------------------------------------------------------------
@@ -741,43 +783,68 @@ def _flat(context: DataFrame) -> DataFrame:
 
 @query("i1_context")
 def i1(spark, folder):
-    return _flat(jobs.insight_context(stored_lines(spark, folder, *_INSIGHT), forest=False))
+    return _flat(jobs.insight_context(lines(spark, folder, *_INSIGHT), forest=False))
 
 
 @query("i1_context_by_state")
 def i1_by_state(spark, folder):
-    df = stored_lines(spark, folder, *_FACETS, "State", "Discount")
+    df = lines(spark, folder, *_FACETS, "State", "Discount")
     return jobs.insight_context_by(df, ["State"]).drop("rfm_segments")
 
 
 @query("i1_context_by_segment")
 def i1_by_segment(spark, folder):
-    return _flat(jobs.insight_context_by(stored_lines(spark, folder, *_INSIGHT), ["Segment"]))
+    return _flat(jobs.insight_context_by(lines(spark, folder, *_INSIGHT), ["Segment"]))
 
 
 @query("i2_i3_insights")
 def i2(spark, folder):
-    return insights.generate_insights(jobs.insight_context(stored_lines(spark, folder, *_INSIGHT)))
+    return insights.generate_insights(jobs.insight_context(lines(spark, folder, *_INSIGHT), forest=False))
 
 
 @query("i2_report")
 def i2_report(spark, folder):
     """Without the forest, so that the text can be checked word by word."""
-    return insights.report_text(jobs.insight_context(stored_lines(spark, folder, *_INSIGHT), forest=False))
+    return insights.report_text(jobs.insight_context(lines(spark, folder, *_INSIGHT), forest=False))
 
 
 @query("i2_report_by_state")
 def i2_by_state(spark, folder):
-    context = jobs.insight_context_by(stored_lines(spark, folder, *_FACETS, "State", "Discount"), ["State"])
+    context = jobs.insight_context_by(lines(spark, folder, *_FACETS, "State", "Discount"), ["State"])
     return insights.report_text(context, ["State"])
 
 
 @query("o1_run_all")
 def o1(spark, folder):
-    return jobs.run_all(spark, raw_orders(spark, folder), scratch_path(spark, "run")).report
+    """Every step of the whole run: its rows, and the sum of one of its columns."""
+    done = jobs.run_all(spark, dirty_orders(spark, folder, whole=True), scratch_path(spark, "run"), forest=False, relation="o1_orders")
+    audit = done.audit.unpivot([], done.audit.columns, "figure", "value")
+    steps = {
+        "quality": done.quality,
+        "audit": audit,
+        "lines": done.lines,
+        "monthly": done.forecast["monthly"],
+        "metrics": done.forecast["metrics"],
+        "report": done.report,
+        "by_category": done.eda["sales_by_category"],
+        "by_region": done.eda["sales_by_region"],
+        "discounts": done.eda["discount_profit"],
+        "categories_sql": done.queries["total_sales_profit_by_category"],
+    }
+    measures = {
+        "quality": "missing_count",
+        "audit": "value",
+        "lines": "Profit",
+        "monthly": "time_idx",
+        "by_category": "Profit",
+        "by_region": "Orders",
+        "discounts": "Count",
+        "categories_sql": "Total_Profit",
+    }
+    return _digest(steps, "step", measures)
 
 
 @query("o2_customer_analysis")
 def o2(spark, folder):
     found = jobs.run_customer_analysis(lines(spark, folder, *_CUSTOMERS, "Order_Date"))
-    return _row_counts(found, "result")
+    return _digest(found, "result", _CUSTOMER_MEASURES)

@@ -30,7 +30,7 @@ MARGIN_WATCH = 5
 def discount_band_index(discount: Column) -> Column:
     """Position of the band, 0-based; NULL outside the edges."""
     edges = [F.lit(Decimal(edge)) for edge in DISCOUNT_EDGES]
-    value = discount.cast("decimal(18,4)")
+    value = discount
     index = F.when((value < edges[0]) | (value >= edges[-1]) | value.isNull(), F.lit(None).cast("int"))
     for position, upper in enumerate(edges[1:]):
         index = index.when(value < upper, F.lit(position))

@@ -14,9 +14,15 @@ def _column(value: Column | str) -> Column:
 
 
 def exact(df: DataFrame, name: str) -> Column:
-    """A measure in a form whose sums are exact. Decimals (also sums of earlier sums) and integers stay as they are."""
-    kind = df.schema[name].dataType
-    return F.col(name).cast(WIDE_MONEY) if isinstance(kind, (T.DoubleType, T.FloatType)) else F.col(name)
+    """A measure in a form whose sums are exact. Decimals (also sums of earlier sums) and integers stay as they are.
+
+    A number too large for the wide decimal is an error, also where casts give NULL for it.
+    """
+    value = F.col(name)
+    if not isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
+        return value
+    message = F.concat(F.lit(f"{name} is too large to be summed exactly: "), value.cast("string"))
+    return F.coalesce(value.try_cast(WIDE_MONEY), F.when(value.isNotNull(), F.raise_error(message).cast(WIDE_MONEY)))
 
 
 def total(value: Column | str) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.calendar import whole_days
 from ..functions.labels import SEGMENT_ORDER, customer_segment, segment_position
 from ..functions.money import double, exact, mean, ratio, total
-from ..functions.ranks import ONE_BUFFER_VALUES, exact_quantiles, range_slices, rows_at_positions
+from ..functions.ranks import exact_quantiles, range_slices, rows_at_positions
 from ..schema import CUSTOMER, known, require
 from ..session import cut_lineage
 from .profiling import histogram
@@ -18,50 +18,56 @@ from .profiling import histogram
 _QUARTILES = (0.0, 0.25, 0.5, 0.75, 1.0)
 
 
+def per_customer(df: DataFrame) -> DataFrame:
+    """Sums, orders and last order per customer, computed once: the table and the segmentation both start here.
+
+    ``df`` may hold lines or sums of lines per order. The group without a complete customer key is still in it,
+    because the last order of all may be there.
+    """
+    require(df, *CUSTOMER, "Order_ID")
+    sums = {"Sales": "s", "Profit": "p", "Quantity": "q"}
+    parts = [total(exact(df, c)).alias(short) for c, short in sums.items() if c in df.columns]
+    parts.append(F.count_distinct("Order_ID").alias("orders"))
+    if "Order_Date" in df.columns:
+        parts.append(F.max("Order_Date").cast("timestamp_ntz").alias("last_order"))
+    return cut_lineage(df.groupBy(*CUSTOMER).agg(*parts))
+
+
 def customer_revenue_table(df: DataFrame) -> DataFrame:
     """One row per customer, largest revenue first."""
     require(df, *CUSTOMER, "Order_ID", "Sales", "Profit", "Quantity")
-    totals = (
-        known(df, *CUSTOMER)
-        .groupBy(*CUSTOMER)
-        .agg(
-            total(exact(df, "Sales")).alias("s"),
-            total(exact(df, "Profit")).alias("p"),
-            F.count_distinct("Order_ID").alias("Total_Orders"),
-            total(exact(df, "Quantity")).alias("q"),
+    return revenue_of(per_customer(df.select(*CUSTOMER, "Order_ID", "Sales", "Profit", "Quantity")))
+
+
+def revenue_of(customers: DataFrame) -> DataFrame:
+    return (
+        known(customers, *CUSTOMER)
+        .select(
+            *CUSTOMER,
+            double("s").alias("Total_Sales"),
+            double("p").alias("Total_Profit"),
+            F.col("orders").alias("Total_Orders"),
+            double("q").alias("Total_Quantity"),
+            ratio("p", "s").alias("Profit_Margin"),
+            ratio("s", "orders").alias("Avg_Order_Value"),
         )
+        .orderBy(F.desc("Total_Sales"), *CUSTOMER)
     )
-    return totals.select(
-        *CUSTOMER,
-        double("s").alias("Total_Sales"),
-        double("p").alias("Total_Profit"),
-        "Total_Orders",
-        double("q").alias("Total_Quantity"),
-        ratio("p", "s").alias("Profit_Margin"),
-        ratio("s", "Total_Orders").alias("Avg_Order_Value"),
-    ).orderBy(F.desc("Total_Sales"), *CUSTOMER)
 
 
 def rfm_base(df: DataFrame) -> DataFrame:
-    """Recency (whole days to one day after the last order of all), frequency and revenue per customer.
-
-    The lines are read once: the last order of all is taken from the per-customer rows, which still
-    include the group without a complete customer key, dropped only afterwards.
-    """
+    """Recency (whole days to one day after the last order of all), frequency and revenue per customer."""
     require(df, *CUSTOMER, "Order_ID", "Order_Date", "Sales")
-    per_customer = cut_lineage(
-        df.groupBy(*CUSTOMER).agg(
-            F.max("Order_Date").cast("timestamp_ntz").alias("last_order"),
-            F.count_distinct("Order_ID").alias("Frequency"),
-            total(exact(df, "Sales")).alias("revenue"),
-        )
-    )
-    snapshot = per_customer.agg(F.max("last_order") + F.expr("INTERVAL 1 DAY")).scalar()
-    return known(per_customer, *CUSTOMER).select(
+    return rfm_base_of(per_customer(df.select(*CUSTOMER, "Order_ID", "Order_Date", "Sales")))
+
+
+def rfm_base_of(customers: DataFrame) -> DataFrame:
+    snapshot = customers.agg(F.max("last_order") + F.expr("INTERVAL 1 DAY")).scalar()
+    return known(customers, *CUSTOMER).select(
         *CUSTOMER,
         whole_days(F.col("last_order"), snapshot).alias("Recency"),
-        "Frequency",
-        double("revenue").alias("Monetary"),
+        F.col("orders").alias("Frequency"),
+        double("s").alias("Monetary"),
     )
 
 
@@ -89,12 +95,7 @@ def _rank_thresholds(df: DataFrame, order: Sequence[str]) -> list[Column]:
     return [F.struct(*[F.lit(rows[k * last // 4][c]).cast(types[c]).alias(c) for c in order]) for k in (1, 2, 3)]
 
 
-def quartile_scores(
-    df: DataFrame,
-    measures: Sequence[str],
-    ties_by: Sequence[str],
-    one_buffer_values: int = ONE_BUFFER_VALUES,
-) -> dict[str, Column]:
+def quartile_scores(df: DataFrame, measures: Sequence[str], ties_by: Sequence[str]) -> dict[str, Column]:
     """For each measure a 1..4 score column: 1 for the lowest quarter, edges closed on the right.
 
     The edges are the exact interpolated quartiles. Where two of the five edges coincide, customers are
@@ -103,7 +104,7 @@ def quartile_scores(
     """
     edges = {
         row["metric"]: row["quantiles"]
-        for row in exact_quantiles(df, measures, _QUARTILES, one_buffer_values).collect()
+        for row in exact_quantiles(df, measures, _QUARTILES).collect()
     }
     scores = {}
     for measure in measures:
@@ -118,11 +119,11 @@ def quartile_scores(
     return scores
 
 
-def score_rfm(base: DataFrame, one_buffer_values: int = ONE_BUFFER_VALUES) -> DataFrame:
+def score_rfm(base: DataFrame) -> DataFrame:
     """Add quartile scores (4 is best), their sum and the segment to an RFM base."""
     if len(base.head(2)) < 2:
         raise ValueError("quartile scores need at least two customers")
-    score = quartile_scores(base, ["Recency", "Frequency", "Monetary"], CUSTOMER, one_buffer_values)
+    score = quartile_scores(base, ["Recency", "Frequency", "Monetary"], CUSTOMER)
     scored = base.withColumns(
         {
             # Few days since the last order is good.
@@ -135,9 +136,13 @@ def score_rfm(base: DataFrame, one_buffer_values: int = ONE_BUFFER_VALUES) -> Da
     return scored.withColumn("RFM_Segment", customer_segment(F.col("RFM_Score")))
 
 
-def compute_rfm(df: DataFrame, one_buffer_values: int = ONE_BUFFER_VALUES) -> DataFrame:
+def compute_rfm(df: DataFrame) -> DataFrame:
     """One scored and labelled row per customer, largest revenue first."""
-    return score_rfm(rfm_base(df), one_buffer_values).orderBy(F.desc("Monetary"), *CUSTOMER)
+    return rfm_of(rfm_base(df))
+
+
+def rfm_of(base: DataFrame) -> DataFrame:
+    return score_rfm(base).orderBy(F.desc("Monetary"), *CUSTOMER)
 
 
 def segment_counts(rfm: DataFrame) -> DataFrame:

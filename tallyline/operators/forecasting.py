@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,11 +36,16 @@ def prepare_monthly_series(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame
 
 
 def flag_test_months(monthly: DataFrame, test_months: int = TEST_MONTHS, keys: Sequence[str] = ()) -> DataFrame:
-    """Add ``is_test`` for the last months. A series too short to split is an error when the data is read."""
+    """Add ``is_test`` for the last months.
+
+    A series too short to split is an error when the data is read; with ``keys`` it is flagged by a NULL
+    ``is_test``, has no forecasts, and leaves the others alone.
+    """
     size = F.count("*").over(Window.partitionBy(*keys))
     message = F.concat(F.lit("series too short to split: only "), size.cast("string"), F.lit(" months"))
     too_short = size - test_months < MIN_TRAIN_MONTHS
-    split = F.when(too_short, F.raise_error(message).cast("boolean")).otherwise(F.col("time_idx") >= size - test_months)
+    failure = F.lit(None).cast("boolean") if keys else F.raise_error(message).cast("boolean")
+    split = F.when(too_short, failure).otherwise(F.col("time_idx") >= size - test_months)
     return monthly.withColumn("is_test", split)
 
 
@@ -70,18 +75,12 @@ def linear_trend(flagged: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return flagged.withColumn("Pred_LR", F.when(F.col("is_test"), intercept + slope * F.col("time_idx")))
 
 
-def random_forest(flagged: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """A forest on the month index; several series share one forest, told apart by their indexed keys."""
-    features = ["time_idx"]
+def random_forest(flagged: DataFrame) -> DataFrame:
+    """A forest on the month index of one series; every month may be a split of its own."""
     # Training reads the series several times; the lines behind it are read once.
-    prepared = flagged = cut_lineage(flagged)
-    for key in keys:
-        indexed = StringIndexer(inputCol=key, outputCol=f"_{key}", stringOrderType="alphabetAsc", handleInvalid="keep")
-        prepared = indexed.fit(prepared).transform(prepared)
-        # As a plain number the index may have any number of values.
-        prepared = prepared.withColumn(f"_{key}", F.col(f"_{key}").alias(f"_{key}", metadata={}))
-        features.append(f"_{key}")
-    prepared = VectorAssembler(inputCols=features, outputCol="_features").transform(prepared)
+    flagged = cut_lineage(flagged)
+    prepared = VectorAssembler(inputCols=["time_idx"], outputCol="_features").transform(flagged)
+    training = prepared.filter(~F.col("is_test"))
     forest = RandomForestRegressor(
         featuresCol="_features",
         labelCol="Sales",
@@ -90,9 +89,9 @@ def random_forest(flagged: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         maxDepth=DEPTH,
         seed=SEED,
         featureSubsetStrategy="all",
-        maxBins=1024,
+        maxBins=max(2, training.count()),
     )
-    fitted = forest.fit(prepared.filter(~F.col("is_test")))
+    fitted = forest.fit(training)
     predicted = fitted.transform(prepared)
     return predicted.select(*flagged.columns, F.when(F.col("is_test"), F.col("_forest")).alias("Pred_RF"))
 

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.ranks import ONE_BUFFER_VALUES, exact_quantiles
+from ..functions.ranks import exact_quantiles
+from ..session import cut_lineage
 
 
 def _quoted(names: Sequence[str]) -> list[str]:
@@ -56,13 +57,9 @@ def columns_with_missing(df: DataFrame) -> DataFrame:
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """Number of rows beyond the first of each group of identical rows.
 
-    Only the rows whose 64-bit hash occurs more than once can be copies, so the first shuffle carries a
-    hash and a count per row, and whole rows are compared only among those.
+    One grouping of whole rows: the table is read once, and copies meet on the map side before the shuffle.
     """
-    hashed = df.withColumn("_hash", F.xxhash64(*_quoted(df.columns)))
-    repeated = hashed.groupBy("_hash").agg(F.count("*").alias("_n")).filter("_n > 1").select("_hash")
-    candidates = hashed.join(repeated, "_hash", "left_semi")
-    groups = candidates.groupBy(*_quoted(df.columns)).agg(F.count("*").alias("_copies"))
+    groups = df.groupBy(*_quoted(df.columns)).agg(F.count("*").alias("_copies"))
     return groups.agg(F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).cast("long").alias("duplicate_rows"))
 
 
@@ -70,9 +67,7 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 
 
-def describe_numeric(
-    df: DataFrame, columns: Sequence[str] | None = None, one_buffer_values: int = ONE_BUFFER_VALUES
-) -> DataFrame:
+def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """metric, n, mean, std, min, p25, p50, p75, max for each numeric column; quartiles are exact."""
     columns = list(columns or numeric_columns(df))
     values = df.select([F.col(f"`{c}`").cast("double").alias(c) for c in columns])
@@ -89,7 +84,7 @@ def describe_numeric(
     names = F.array(*[F.lit(c) for c in columns])
     rows = moments.select(F.explode(F.arrays_zip(names.alias("metric"), "mean", "std", "min", "max")).alias("m"))
     rows = rows.select("m.metric", "m.mean", "m.std", "m.min", "m.max")
-    quartiles = exact_quantiles(values, columns, (0.25, 0.5, 0.75), one_buffer_values)
+    quartiles = exact_quantiles(values, columns, (0.25, 0.5, 0.75))
     # Both sides hold one row per numeric column.
     return rows.join(quartiles, "metric", "left").select(
         "metric",
@@ -130,14 +125,15 @@ def distinct_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     """bin, lower, upper, count: equal-width bins over the range of the column, the last one closed.
 
-    The range is a scalar subquery, so only per-bin counts are shuffled. Empty bins count zero.
+    The range is one row, computed first and kept; the counts are one more pass. Empty bins count zero.
     """
     value = F.col(column).cast("double")
     present = df.select(value.alias("x")).filter(F.col("x").isNotNull() & ~F.isnan("x"))
     same = F.min("x") == F.max("x")
     low = F.when(same, F.min("x") - 0.5).otherwise(F.min("x"))
     high = F.when(same, F.max("x") + 0.5).otherwise(F.max("x"))
-    edges = present.agg(F.struct(low.alias("lo"), ((high - low) / F.lit(float(bins))).alias("step")).alias("edges"))
+    step = (high - low) / F.lit(float(bins))
+    edges = cut_lineage(present.agg(F.struct(low.alias("lo"), step.alias("step")).alias("edges")))
     lo, step = F.col("edges.lo"), F.col("edges.step")
 
     guess = F.least(F.floor((F.col("x") - lo) / step), F.lit(bins - 1).cast("long"))

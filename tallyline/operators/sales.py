@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.labels import discount_band, discount_band_index, is_negative
 from ..functions.money import double, exact, mean, ratio, rounded, total
 from ..schema import known, require
+from ..session import cut_lineage
 
 
 def sales_summary(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -69,6 +70,32 @@ def _totals(
     return known(df, *keys).groupBy(*keys).agg(*sums).select(*shown)
 
 
+def grouped_sets(df: DataFrame, sets: dict[str, Sequence[str]]) -> dict[str, DataFrame]:
+    """Sums per group for several sets of keys, from one pass over the lines and one shuffle of their partial sums.
+
+    Each result has its keys, Sales, Profit, ``lines`` (their number), and Quantity, the mean Profit_Margin and the
+    last Order_Date where the lines have them. Sums of these sums are sums of the lines, and an order is one row in
+    a set with Order_ID, so further results can start here.
+    """
+    columns = list(dict.fromkeys(c for keys in sets.values() for c in keys))
+    measures = [total(exact(df, c)).alias(c) for c in ("Sales", "Profit", "Quantity") if c in df.columns]
+    measures.append(F.count("*").alias("lines"))
+    if "Profit_Margin" in df.columns:
+        measures.append(F.avg("Profit_Margin").alias("Profit_Margin"))
+    if "Order_Date" in df.columns:
+        measures.append(F.max("Order_Date").alias("Order_Date"))
+    grouped = df.groupingSets([[F.col(c) for c in keys] for keys in sets.values()], *columns)
+    # Every result reads it: computed once.
+    stored = cut_lineage(grouped.agg(F.grouping_id().alias("_set"), *measures))
+    names = [c for c in stored.columns if c not in (*columns, "_set")]
+
+    def of(keys: Sequence[str]) -> DataFrame:
+        left_out = sum(1 << i for i, c in enumerate(reversed(columns)) if c not in keys)
+        return stored.filter(F.col("_set") == left_out).select(*keys, *names)
+
+    return {name: of(keys) for name, keys in sets.items()}
+
+
 def sales_by_year(df: DataFrame) -> DataFrame:
     return _totals(df, ["Year"], orders=True).orderBy("Year")
 
@@ -86,9 +113,9 @@ def _largest_first(result: DataFrame, measure: str, keys: Sequence[str]) -> Data
     return result.orderBy(F.desc(measure), *keys)
 
 
-def sales_by_category(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+def sales_by_category(df: DataFrame, keys: Sequence[str] = (), orders: bool = True) -> DataFrame:
     by = [*keys, "Category"]
-    return _largest_first(_totals(df, by, orders=True, margin=True), "Sales", by)
+    return _largest_first(_totals(df, by, orders=orders, margin=True), "Sales", by)
 
 
 def sales_by_subcategory(df: DataFrame) -> DataFrame:
@@ -96,9 +123,9 @@ def sales_by_subcategory(df: DataFrame) -> DataFrame:
     return _largest_first(_totals(df, by, quantity=True, margin=True), "Sales", by)
 
 
-def sales_by_region(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+def sales_by_region(df: DataFrame, keys: Sequence[str] = (), orders: bool = True) -> DataFrame:
     by = [*keys, "Region"]
-    return _largest_first(_totals(df, by, orders=True, margin=True), "Sales", by)
+    return _largest_first(_totals(df, by, orders=orders, margin=True), "Sales", by)
 
 
 def sales_by_state(df: DataFrame) -> DataFrame:
@@ -111,17 +138,25 @@ def profitability_by_subcategory(df: DataFrame) -> DataFrame:
     return _largest_first(found, "Profit", by)
 
 
+def with_bands(df: DataFrame) -> DataFrame:
+    """The lines with their discount band, and its place in the order of bands."""
+    require(df, "Discount")
+    return df.withColumns(
+        {"bin_idx": discount_band_index(F.col("Discount")), "Discount_Bin": discount_band(F.col("Discount"))}
+    )
+
+
 def discount_profit_analysis(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Averages per discount band, in band order; bands without lines are left out."""
     require(df, "Discount", "Sales", "Profit", *keys)
     margin = F.col("Profit_Margin") if "Profit_Margin" in df.columns else ratio("Profit", "Sales")
-    banded = df.select(
+    banded = with_bands(df).select(
         *keys,
         exact(df, "Sales").alias("Sales"),
         exact(df, "Profit").alias("Profit"),
         margin.alias("Profit_Margin"),
-        discount_band_index(F.col("Discount")).alias("bin_idx"),
-        discount_band(F.col("Discount")).alias("Discount_Bin"),
+        "bin_idx",
+        "Discount_Bin",
     )
     return (
         known(banded, *keys, "bin_idx")
@@ -135,3 +170,18 @@ def discount_profit_analysis(df: DataFrame, keys: Sequence[str] = ()) -> DataFra
         .orderBy(*keys, "bin_idx")
         .drop("bin_idx")
     )
+
+
+def discounts_of_sums(bands: DataFrame) -> DataFrame:
+    """The same from a grouped set with ``bin_idx`` and ``Discount_Bin``."""
+    return (
+        known(bands, "bin_idx")
+        .orderBy("bin_idx")
+        .select(
+            "Discount_Bin",
+            F.col("Profit_Margin").alias("Avg_Profit_Margin"),
+            ratio("Profit", "lines").alias("Avg_Profit"),
+            ratio("Sales", "lines").alias("Avg_Sales"),
+            F.col("lines").alias("Count"),
+        )
+    )

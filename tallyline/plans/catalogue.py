@@ -6,6 +6,7 @@ Filters and orders on a result use its rounded figures.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.errors import PySparkException
@@ -15,7 +16,7 @@ from ..sources.relation import RELATION, run_query
 
 
 def _sum(column: str, presummed: bool) -> str:
-    return f"SUM({column})" if presummed else f"SUM(CAST({column} AS DECIMAL(18,4)))"
+    return f"SUM({column})" if presummed else f"SUM(CAST({column} AS DECIMAL(38,10)))"
 
 
 def _figures(presummed: bool = False) -> dict[str, str]:
@@ -81,6 +82,7 @@ _SALES_PROFIT = {"Total_Sales": _LINE["sales"], "Total_Profit": _LINE["profit"]}
 _ORDER_SALES_PROFIT = {"Total_Sales": _ORDER["sales"], "Total_Profit": _ORDER["profit"]}
 _PRODUCT_GROUP = ["Category", "Sub_Category"]
 
+# The names of the reports.
 BUSINESS_QUERIES = {
     "total_sales_profit_by_category": report_sql(
         ["Category"],
@@ -165,14 +167,22 @@ BUSINESS_QUERIES = {
 }
 
 
+def reading(sql: str, relation: str) -> str:
+    """A report's text over another relation than the usual one."""
+    return re.sub(rf"\bFROM {RELATION}\b", f"FROM {relation}", sql)
+
+
 def run_all_business_queries(
-    spark: SparkSession, queries: dict[str, str] | None = None
+    spark: SparkSession, queries: dict[str, str] | None = None, relation: str = RELATION
 ) -> tuple[dict[str, DataFrame], dict[str, str]]:
-    """Results by name, and the message of each query that could not be planned; the others still run."""
+    """Results by name, and the message of each query that could not be planned; the others still run.
+
+    The reports read the published relation ``relation``.
+    """
     results, failures = {}, {}
     for name, sql in (queries or BUSINESS_QUERIES).items():
         try:
-            results[name] = run_query(spark, sql)
+            results[name] = run_query(spark, reading(sql, relation), relation)
         except PySparkException as error:
             failures[name] = str(error)
     return results, failures

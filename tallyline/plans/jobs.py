@@ -6,63 +6,83 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..functions.money import exact, total
+from ..functions.money import ratio
 from ..operators import customers as cust
 from ..operators import forecasting as fc
 from ..operators import insights, products, profiling, sales
-from ..operators.cleaning import clean_orders, cleaning_audit
+from ..operators.cleaning import DATE_FORMATS, audit_of_counted, clean_of_counted, counted_rows
 from ..operators.features import engineer_features
 from ..schema import CUSTOMER
 from ..session import cut_lineage
 from ..sources.files import load_processed, load_raw_orders, save_processed, save_report
-from ..sources.relation import publish
+from ..sources.relation import RELATION, publish
 from .catalogue import run_all_business_queries
 
-_ROLLUP_KEYS = ("Year", "Quarter", "Year_Quarter", "Year_Month", "Category", "Sub_Category", "State")
+_SUBCATEGORY = ("Category", "Sub_Category")
+_MONTH = ("Year", "Quarter", "Year_Quarter", "Year_Month")
+_BAND = ("bin_idx", "Discount_Bin")
 
 
-def sales_rollup(lines: DataFrame) -> DataFrame:
-    """Sales, profit and quantity per month, sub-category and state.
+def sales_sets(lines: DataFrame) -> dict[str, DataFrame]:
+    """The groupings that all sales results start from, in one pass over the lines.
 
-    Sums of these sums equal sums of the lines, so every result without a distinct count can start here:
-    one pass over the lines serves five results, and the rollup has as many rows as there are
-    combinations of dimension values, not lines.
+    Three of them keep the order, for the distinct counts; the others have as many rows as there are months,
+    sub-categories, states and bands.
     """
-    sums = [total(exact(lines, c)).alias(c) for c in ("Sales", "Profit", "Quantity")]
-    return cut_lineage(lines.groupBy(*_ROLLUP_KEYS).agg(*sums))
+    return sales.grouped_sets(
+        sales.with_bands(lines),
+        {
+            "months": _MONTH,
+            "subcategories": _SUBCATEGORY,
+            "states": ("State",),
+            "bands": _BAND,
+            "orders": ("Order_ID", "Customer_ID", "Year"),
+            "category_orders": ("Category", "Order_ID"),
+            "region_orders": ("Region", "Order_ID"),
+        },
+    )
 
 
 def run_all_eda(lines: DataFrame) -> dict[str, DataFrame]:
-    """All sales results. ``lines`` should be a stored table: those with distinct counts read it again."""
-    rollup = sales_rollup(lines)
+    """All sales results from one pass over the lines."""
+    needed = ("Order_ID", "Customer_ID", *_MONTH, *_SUBCATEGORY, "State", "Region", "Discount", "Sales", "Profit",
+              "Quantity", "Profit_Margin")
+    sets = sales_sets(lines.select(*needed))
     return {
-        "kpis": sales.sales_summary(lines),
-        "sales_by_year": sales.sales_by_year(lines),
-        "monthly_trend": sales.monthly_sales_trend(rollup),
-        "quarterly_sales": sales.quarterly_sales(rollup),
-        "sales_by_category": sales.sales_by_category(lines),
-        "sales_by_subcategory": sales.sales_by_subcategory(rollup),
-        "sales_by_region": sales.sales_by_region(lines),
-        "sales_by_state": sales.sales_by_state(rollup),
-        "profitability_by_subcategory": sales.profitability_by_subcategory(rollup),
-        "discount_profit": sales.discount_profit_analysis(lines),
+        "kpis": sales.sales_summary(sets["orders"]),
+        "sales_by_year": sales.sales_by_year(sets["orders"]),
+        "monthly_trend": sales.monthly_sales_trend(sets["months"]),
+        "quarterly_sales": sales.quarterly_sales(sets["months"]),
+        "sales_by_category": sales.sales_by_category(sets["category_orders"]),
+        "sales_by_subcategory": sales.sales_by_subcategory(sets["subcategories"]),
+        "sales_by_region": sales.sales_by_region(sets["region_orders"]),
+        "sales_by_state": sales.sales_by_state(sets["states"]),
+        "profitability_by_subcategory": sales.profitability_by_subcategory(sets["subcategories"]),
+        "discount_profit": sales.discounts_of_sums(sets["bands"]),
     }
 
 
 def run_customer_analysis(lines: DataFrame) -> dict[str, DataFrame]:
-    return {"customer_table": cust.customer_revenue_table(lines), "rfm": cust.compute_rfm(lines)}
+    """The customer table and the segmentation, both from one table per customer."""
+    needed = (*CUSTOMER, "Order_ID", "Order_Date", "Sales", "Profit", "Quantity")
+    customers = cust.per_customer(lines.select(*needed))
+    return {"customer_table": cust.revenue_of(customers), "rfm": cust.rfm_of(cust.rfm_base_of(customers))}
 
 
 def run_forecasting(
     lines: DataFrame, test_months: int = fc.TEST_MONTHS, keys: Sequence[str] = (), forest: bool = True
 ) -> dict[str, DataFrame]:
-    """Series, split, predictions, metrics and best model. Always give it the unfiltered lines."""
+    """Series, split, predictions, metrics and best model. Always give it the unfiltered lines.
+
+    The forest takes one series, so with ``keys`` there are the two closed-form models only.
+    """
     monthly = cut_lineage(fc.prepare_monthly_series(lines, keys))
     flagged = fc.flag_test_months(monthly, test_months, keys)
     predicted = fc.linear_trend(fc.naive_baseline(flagged, keys), keys)
-    if forest:
-        predicted = cut_lineage(fc.random_forest(predicted, keys))
+    if forest and not keys:
+        predicted = cut_lineage(fc.random_forest(predicted))
     metrics = fc.evaluate(predicted, keys)
     return {
         "monthly": monthly,
@@ -75,14 +95,26 @@ def run_forecasting(
 
 
 def insight_context(lines: DataFrame, forest: bool = True) -> DataFrame:
-    """The record of figures straight from the lines."""
+    """The record of figures straight from the lines, which one pass reduces to what its parts start from."""
+    margin = F.col("Profit_Margin") if "Profit_Margin" in lines.columns else ratio("Profit", "Sales")
+    needed = (*CUSTOMER, "Order_ID", "Order_Date", "Year_Month", "Category", "Region", "Discount", "Sales", "Profit")
+    sets = sales.grouped_sets(
+        sales.with_bands(lines.select(*needed, margin.alias("Profit_Margin"))),
+        {
+            "months": ("Year_Month",),
+            "categories": ("Category",),
+            "regions": ("Region",),
+            "bands": _BAND,
+            "orders": (*CUSTOMER, "Order_ID"),
+        },
+    )
     return insights.build_insight_context(
-        sales.sales_summary(lines),
-        sales.sales_by_category(lines),
-        sales.sales_by_region(lines),
-        cust.compute_rfm(lines),
-        run_forecasting(lines, forest=forest)["metrics"],
-        sales.discount_profit_analysis(lines),
+        sales.sales_summary(sets["orders"]),
+        sales.sales_by_category(sets["categories"], orders=False),
+        sales.sales_by_region(sets["regions"], orders=False),
+        cust.compute_rfm(sets["orders"]),
+        run_forecasting(sets["months"], forest=forest)["metrics"],
+        sales.discounts_of_sums(sets["bands"]),
     )
 
 
@@ -125,15 +157,22 @@ def run_all(
     processed_path: str,
     report_path: str | None = None,
     forest: bool = True,
+    date_formats: Sequence[str] = DATE_FORMATS,
+    relation: str = RELATION,
 ) -> RunResult:
-    """Raw table to report. The processed lines are written once and every later step reads them back."""
+    """Raw table to report.
+
+    The raw rows are grouped once, for the clean rows and the audit. The processed lines are written once and every
+    later step reads them back.
+    """
     source = raw if isinstance(raw, DataFrame) else load_raw_orders(spark, raw)
-    save_processed(engineer_features(clean_orders(source)), processed_path)
+    counted = cut_lineage(counted_rows(source, date_formats))
+    save_processed(engineer_features(clean_of_counted(counted)), processed_path)
     lines = load_processed(spark, processed_path)
     eda = run_all_eda(lines)
     customers = run_customer_analysis(lines)
-    publish(lines)
-    queries, failed = run_all_business_queries(spark)
+    publish(lines, relation)
+    queries, failed = run_all_business_queries(spark, relation=relation)
     forecast = run_forecasting(lines, forest=forest)
     context = insights.build_insight_context(
         eda["kpis"],
@@ -148,7 +187,7 @@ def run_all(
         save_report(report, report_path)
     return RunResult(
         quality=profiling.quality_report(source),
-        audit=cleaning_audit(source),
+        audit=audit_of_counted(counted),
         lines=lines,
         eda=eda,
         customers=customers,

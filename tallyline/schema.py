@@ -8,8 +8,8 @@ from pyspark.sql import types as T
 
 # Money is summed exactly, so that the result does not depend on the order of the rows.
 MONEY = T.DecimalType(18, 4)
-# For sums that come as floating-point numbers.
-WIDE_MONEY = T.DecimalType(28, 4)
+# For sums of floating-point numbers: exact to ten places, and wide enough for any amount.
+WIDE_MONEY = T.DecimalType(38, 10)
 
 # Raw export names and their canonical names.
 CANONICAL_NAMES = {
@@ -33,6 +33,7 @@ MEASURES = ("Sales", "Quantity", "Discount", "Profit")
 CORE = ("Sales", "Quantity", "Profit", "Order_Date")
 CUSTOMER = ("Customer_ID", "Customer_Name", "Segment")
 
+# The columns of the raw export.
 _RAW_NAMES = (
     "Row ID", "Order ID", "Order Date", "Ship Date", "Ship Mode", "Customer ID", "Customer Name",
     "Segment", "Country/Region", "State/Province", "Postal Code", "Region", "Product ID", "Category",

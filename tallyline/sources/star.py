@@ -21,9 +21,6 @@ _SCHEMAS = {
     "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_retailprice DOUBLE",
 }
 
-# Below this many splits (about 1 GB at the default split size) a table is spread over the cores.
-SMALL_SPLITS = 8
-
 # Columns each lookup brings in. A lookup that brings nothing asked for is left out of the plan:
 # every lookup keeps all lines and finds at most one row, so leaving it out changes nothing.
 _FROM_ORDERS = {"Order_Date", "Ship_Mode"}
@@ -41,6 +38,8 @@ ALL_COLUMNS = (
 def order_lines(spark: SparkSession, folder: str, columns: Iterable[str] = ALL_COLUMNS) -> DataFrame:
     """One row per order line with the asked-for canonical columns.
 
+    A line whose order, customer, place or part is missing stays, with NULL in the columns that come from there.
+
     No side is broadcast by hint: Spark broadcasts a lookup when its size allows and otherwise
     shuffles both sides, splitting hot keys at run time.
     """
@@ -53,7 +52,7 @@ def order_lines(spark: SparkSession, folder: str, columns: Iterable[str] = ALL_C
     def table(name: str) -> DataFrame:
         return spark.read.schema(_SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
-    lines = _spread(table("lineitem"), "l_orderkey")
+    lines = table("lineitem")
     by_place = asked & (_FROM_NATION | _FROM_REGION)
     by_customer = by_place or asked & _FROM_CUSTOMER
     if by_customer or asked & (_FROM_ORDERS | {"Customer_ID"}):
@@ -66,13 +65,13 @@ def order_lines(spark: SparkSession, folder: str, columns: Iterable[str] = ALL_C
             orders = orders.join(customers, orders.o_custkey == customers.c_custkey, "left")
         lines = lines.join(orders, lines.l_orderkey == orders.o_orderkey, "left")
     if asked & _FROM_PART:
-        parts = table("part").withColumn("list_cents", _hundredths("p_retailprice"))
+        parts = table("part").withColumn("list_cents", _whole("p_retailprice", 100))
         lines = lines.join(parts, lines.l_partkey == parts.p_partkey, "left")
 
-    # Prices and discounts have two decimals: whole cents times whole percents are exact, and cheaper
-    # than decimals until the last step.
-    sales = _hundredths("l_extendedprice") * (F.lit(100) - _hundredths("l_discount"))
-    cost = F.lit(2) * F.col("list_cents") * F.col("l_quantity").cast("bigint") * F.lit(100)
+    # Prices and discounts have two decimals (anything else is an error): whole cents times whole percents are
+    # exact, and cheaper than decimals until the last step.
+    sales = _whole("l_extendedprice", 100) * (F.lit(100) - _whole("l_discount", 100))
+    cost = F.lit(2) * F.col("list_cents") * _whole("l_quantity") * F.lit(100)
     definitions = {
         "Order_ID": lambda: F.col("l_orderkey"),
         "Order_Date": lambda: F.col("o_orderdate"),
@@ -88,7 +87,7 @@ def order_lines(spark: SparkSession, folder: str, columns: Iterable[str] = ALL_C
         "Product_ID": lambda: F.col("l_partkey"),
         "Product_Name": lambda: F.col("p_name"),
         "Sales": lambda: _from_ten_thousandths(sales),
-        "Quantity": lambda: F.col("l_quantity").cast("bigint"),
+        "Quantity": lambda: _whole("l_quantity"),
         "Discount": lambda: F.col("l_discount").cast("decimal(4,2)"),
         # Cost is not in the star schema; twice the list price makes profit straddle zero.
         "Profit": lambda: _from_ten_thousandths(sales - cost),
@@ -96,19 +95,13 @@ def order_lines(spark: SparkSession, folder: str, columns: Iterable[str] = ALL_C
     return lines.select([definitions[c]().alias(c) for c in columns])
 
 
-def _spread(lines: DataFrame, key: str) -> DataFrame:
-    """Give every core some of a table that is read in a few splits only.
-
-    The number of splits bounds the size, so a hot key cannot grow beyond a few splits either. Larger
-    tables stay as they are read. Spreading by order also serves the join and counts per order.
-    """
-    cores = lines.sparkSession.sparkContext.defaultParallelism
-    splits = lines.select(key).rdd.getNumPartitions()
-    return lines.repartition(cores, key) if splits < min(cores, SMALL_SPLITS) else lines
-
-
-def _hundredths(name: str) -> Column:
-    return F.rint(F.col(name) * 100).cast("bigint")
+def _whole(name: str, units: int = 1) -> Column:
+    """A number as a count of units (1: whole, 100: hundredths). One that is not a whole count is an error."""
+    count = F.rint(F.col(name) * units)
+    message = F.concat(F.lit(f"{name} has more decimals than expected: "), F.col(name).cast("string"))
+    return F.when(count / units == F.col(name), count.cast("bigint")).when(
+        F.col(name).isNotNull(), F.raise_error(message).cast("bigint")
+    )
 
 
 def _from_ten_thousandths(units: Column) -> Column:

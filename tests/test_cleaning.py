@@ -7,7 +7,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyline.operators import cleaning, features, profiling
-from tallyline.schema import MONEY
 
 RAW = (
     "`Order ID` string, `Order Date` string, Category string, Sales string, Quantity string, Discount string, "
@@ -43,7 +42,7 @@ def test_clean(raw):
     assert float(found["e"]["Discount"]) == 1
     assert found["f"]["Discount"] is None
     assert clean.schema["Order_Date"].dataType.simpleString() == "timestamp_ntz"
-    assert clean.schema["Sales"].dataType == MONEY
+    assert clean.schema["Sales"].dataType.simpleString() == "double"
 
 
 def test_clean_twice_changes_nothing(raw):
@@ -121,7 +120,7 @@ def test_quality_report(raw):
     assert report["Order_Date"]["missing_count"] == 1
     assert report["Order_Date"]["missing_pct"] == round(1 / 9 * 100, 2)
     assert report["Order_Date"]["has_missing"] and not report["Order_ID"]["has_missing"]
-    assert report["Sales"]["dtype"] == "decimal(18,4)"
+    assert report["Sales"]["dtype"] == "double"
 
 
 def test_duplicate_rows_match_pandas(spark):
@@ -133,3 +132,43 @@ def test_duplicate_rows_match_pandas(spark):
 
 def test_unknown_columns_pass_through(raw):
     assert cleaning.clean_orders(raw).filter(F.col("Extra") == "x").count() == 2
+
+
+def text_rows(spark, **columns):
+    n = len(next(iter(columns.values())))
+    names = {"Order ID": "o", "Order Date": "2020-01-05", "Sales": "1", "Quantity": "1", "Profit": "1", "Discount": "0"}
+    rows = [tuple(columns.get(c, [v] * n)[i] for c, v in names.items()) for i in range(n)]
+    return spark.createDataFrame(rows, ", ".join(f"`{c}` string" for c in names))
+
+
+def test_dates_in_other_layouts(spark):
+    texts = ["2016-11-08", "11/8/2016", " 11/08/2016 ", "Nov 8, 2016", "8 November 2016", "2016/11/8", "8-Nov-2016", "20161108"]
+    found = cleaning.parse_dates(cleaning.canonical_names(text_rows(spark, **{"Order Date": texts})))
+    assert {str(r["Order_Date"]) for r in found.collect()} == {"2016-11-08 00:00:00"}
+    other = cleaning.typed_orders(text_rows(spark, **{"Order Date": ["8.11.2016"]}), ["d.M.yyyy"])
+    assert str(other.first()["Order_Date"]) == "2016-11-08 00:00:00"
+
+
+def test_numbers_keep_their_precision(spark):
+    texts = ["5.12341", "5.12342", "1000000000000000", "nan", "1e3"]
+    clean = cleaning.clean_orders(text_rows(spark, Sales=texts))
+    assert sorted(r["Sales"] for r in clean.collect()) == [5.12341, 5.12342, 1000.0, 1e15]
+
+
+def test_sums_are_exact_or_fail(spark):
+    from tallyline.operators.sales import sales_by_category
+
+    rows = [("a", 1e15, 0.0, 1.0)] * 3 + [("a", 0.1, 0.0, 1.0)] * 10
+    df = spark.createDataFrame(rows, "Category string, Sales double, Profit double, Order_ID double")
+    assert sales_by_category(df).first()["Sales"] == 3000000000000001.0
+    with pytest.raises(Exception, match="too large"):
+        sales_by_category(df.replace(0.1, 1e30)).collect()
+
+
+def test_copies_of_half_the_table(spark):
+    from tallyline.operators.profiling import duplicate_rows
+
+    rows = text_rows(spark, Sales=["7"] * 500 + [str(i) for i in range(500)])
+    assert duplicate_rows(rows).first()[0] == 500
+    assert cleaning.cleaning_audit(rows).first()["dropped_duplicates"] == 500
+    assert cleaning.clean_orders(rows).count() == 500

@@ -79,6 +79,14 @@ def test_series_per_key_equal_single_series(spark):
         assert got == alone["metrics"].collect()
 
 
+def test_a_short_series_leaves_the_others_alone(spark):
+    both = months(20, Region="West") + months(9, Region="East")
+    keyed = jobs.run_forecasting(table(spark, both), keys=["Region"])
+    assert {r["Region"] for r in keyed["metrics"].collect()} == {"West"}
+    flags = keyed["predicted"].filter("Region = 'East'").select("is_test", "Pred_Naive", "Pred_LR").distinct().collect()
+    assert flags == [(None, None, None)]
+
+
 CONTEXT = {
     "total_sales": 2326534.35, "total_profit": 292296.81, "total_orders": 5111, "unique_customers": 804,
     "avg_order_value": 455.2, "overall_margin_pct": 12.56, "top_category_by_sales": "Technology",

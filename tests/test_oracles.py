@@ -5,10 +5,12 @@ from __future__ import annotations
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from registry.oracles import ORACLES as STATEMENTS
+from registry.queries import QUERIES
 from compare import difference, open_tables
 
-STATEMENTS = oracle_sql()
-QUERIES = queries()
+
+
 
 
 @pytest.fixture(scope="module")
@@ -29,7 +31,7 @@ def test_query(name, spark, folder, tables):
 
 
 def test_no_statement_without_query():
-    assert set(STATEMENTS) <= set(QUERIES)
+    assert set(oracle_sql()) <= set(queries())
 
 
 def test_entry(spark):

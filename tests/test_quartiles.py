@@ -29,35 +29,32 @@ def base_of(spark, recency, frequency, monetary):
     return spark.createDataFrame([rows[i] for i in order], schema)
 
 
-def check(spark, recency, frequency, monetary, one_buffer):
+def check(spark, recency, frequency, monetary):
     base = base_of(spark, recency, frequency, monetary)
-    got = customers.score_rfm(base, one_buffer).orderBy(*CUSTOMER).collect()
+    got = customers.score_rfm(base).orderBy(*CUSTOMER).collect()
     r = expected_scores(pd.Series(recency))
     assert [g["R_Score"] for g in got] == (5 - r).tolist()
     assert [g["F_Score"] for g in got] == expected_scores(pd.Series(frequency)).tolist()
     assert [g["M_Score"] for g in got] == expected_scores(pd.Series(monetary)).tolist()
 
 
-@pytest.mark.parametrize("one_buffer", [1_000_000, 0])
 @pytest.mark.parametrize("n", [2, 3, 5, 6, 41, 250])
-def test_scores_match_qcut(spark, n, one_buffer):
+def test_scores_match_qcut(spark, n):
     rng = np.random.default_rng(n)
     check(
         spark,
         rng.integers(1, 400, n),
         rng.integers(1, 4, n),  # few values: edges coincide and ranks decide
         np.round(rng.lognormal(5, 1, n), 2),
-        one_buffer,
     )
 
 
-@pytest.mark.parametrize("one_buffer", [1_000_000, 0])
-def test_third_of_customers_share_one_value(spark, one_buffer):
+def test_third_of_customers_share_one_value(spark):
     rng = np.random.default_rng(7)
     n = 300
     recency = np.where(np.arange(n) % 3 == 0, 30, rng.integers(1, 500, n))
     monetary = np.where(np.arange(n) % 3 == 0, 99.5, np.round(rng.normal(100, 30, n), 2))
-    check(spark, recency, np.ones(n, dtype=int), monetary, one_buffer)
+    check(spark, recency, np.ones(n, dtype=int), monetary)
 
 
 def test_one_customer_cannot_be_scored(spark):
@@ -65,26 +62,24 @@ def test_one_customer_cannot_be_scored(spark):
         customers.score_rfm(base_of(spark, [1], [1], [1.0]))
 
 
-@pytest.mark.parametrize("one_buffer", [1_000_000, 0])
-def test_quantiles_match_numpy(spark, one_buffer):
+def test_quantiles_match_numpy(spark):
     rng = np.random.default_rng(3)
     a = np.where(rng.random(500) < 0.34, 5.0, np.round(rng.normal(0, 10, 500), 1))
     b = rng.random(500)
     rows = [(float(x), float(y) if i % 4 else None) for i, (x, y) in enumerate(zip(a, b, strict=True))]
     df = spark.createDataFrame(rows, "a double, b double")
-    got = {r["metric"]: r for r in exact_quantiles(df, ["a", "b"], (0, 0.1, 0.25, 0.5, 0.75, 1), one_buffer).collect()}
+    got = {r["metric"]: r for r in exact_quantiles(df, ["a", "b"], (0, 0.1, 0.25, 0.5, 0.75, 1)).collect()}
     present = np.array([y for _, y in rows if y is not None])
     for name, values in (("a", a), ("b", present)):
         assert got[name]["n"] == len(values)
         np.testing.assert_allclose(got[name]["quantiles"], np.quantile(values, [0, 0.1, 0.25, 0.5, 0.75, 1]), rtol=1e-12)
 
 
-@pytest.mark.parametrize("one_buffer", [1_000_000, 0])
-def test_describe_matches_pandas(spark, one_buffer):
+def test_describe_matches_pandas(spark):
     pdf = pd.DataFrame({"x": [1.0, 2.0, 2.0, None, 10.0], "y": [3, 3, 3, 3, 3], "z": [None] * 5})
     rows = [(None if pd.isna(x) else x, int(y), None) for x, y, _ in pdf.itertuples(index=False)]
     df = spark.createDataFrame(rows, "x double, y int, z double")
-    got = {r["metric"]: r for r in profiling.describe_numeric(df, one_buffer_values=one_buffer).collect()}
+    got = {r["metric"]: r for r in profiling.describe_numeric(df).collect()}
     for name in ("x", "y"):
         d = pdf[name].describe()
         found = [got[name][k] for k in ("n", "mean", "std", "min", "p25", "p50", "p75", "max")]

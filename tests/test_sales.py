@@ -101,13 +101,23 @@ def test_every_discount_edge(spark, value, label):
     assert df.first()[0] == label
 
 
-def test_rollup_gives_the_same_results(skewed):
-    rollup = jobs.sales_rollup(skewed)
-    for operator in (
-        sales.sales_by_subcategory, sales.sales_by_state, sales.quarterly_sales, sales.monthly_sales_trend,
-        sales.profitability_by_subcategory,
-    ):
-        assert operator(rollup).collect() == operator(skewed).collect()
+def test_one_pass_gives_the_same_results(skewed):
+    found = jobs.run_all_eda(skewed)
+    for name, operator in {
+        "kpis": sales.sales_summary,
+        "sales_by_year": sales.sales_by_year,
+        "monthly_trend": sales.monthly_sales_trend,
+        "quarterly_sales": sales.quarterly_sales,
+        "sales_by_category": sales.sales_by_category,
+        "sales_by_subcategory": sales.sales_by_subcategory,
+        "sales_by_region": sales.sales_by_region,
+        "sales_by_state": sales.sales_by_state,
+        "profitability_by_subcategory": sales.profitability_by_subcategory,
+    }.items():
+        assert found[name].collect() == operator(skewed).collect(), name
+    got, expected = (df.collect() for df in (found["discount_profit"], sales.discount_profit_analysis(skewed)))
+    assert [r["Discount_Bin"] for r in got] == [r["Discount_Bin"] for r in expected]
+    assert [r["Count"] for r in got] == [r["Count"] for r in expected]
 
 
 def test_sql_and_dataframe_dialects_agree(spark, skewed):

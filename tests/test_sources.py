@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyline.operators.cleaning import clean_orders
 from tallyline.plans import jobs
@@ -90,3 +91,54 @@ def test_whole_run(spark, folder, tmp_path):
     row = result.report.first()
     assert row["mode"] == "template"
     assert sorted(written.split("\n")) == sorted(row["report"].split("\n"))
+
+
+def test_json_keeps_every_column(spark, tmp_path):
+    lines = ['{"Order ID": "a", "Sales": 5.5, "Extra": 7}', '{"Order ID": "b", "Sales": 6, "Extra": 8}']
+    (tmp_path / "orders.json").write_text("\n".join(lines))
+    found = files.load_raw_orders(spark, str(tmp_path / "orders.json"))
+    assert {(r["Order ID"], r["Sales"], r["Extra"]) for r in found.collect()} == {("a", "5.5", "7"), ("b", "6", "8")}
+    (tmp_path / "returns.json").write_text('{"Returned": "Yes", "Order ID": "a", "Reason": "torn"}')
+    returned = files.load_returns(spark, str(tmp_path / "returns.json"))
+    assert returned.first().asDict() == {"Returned": "Yes", "Order ID": "a", "Reason": "torn"}
+
+
+def test_half_written_table_is_built_again(spark, tmp_path):
+    path = tmp_path / "processed"
+    table(spark, [{}]).write.parquet(str(path))
+    (path / "_SUCCESS").unlink()
+    assert files.load_processed(spark, str(path), lambda: table(spark, [{}, {"Order_ID": "o2"}])).count() == 2
+
+
+def test_lines_without_an_order_stay(spark, folder, tmp_path):
+    for name in ("orders", "customer", "nation", "region", "part"):
+        spark.read.parquet(f"{folder}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    lines = spark.read.parquet(f"{folder}/lineitem.parquet").limit(3)
+    orphan = lines.limit(1).withColumns({"l_orderkey": F.lit(-1).cast("bigint"), "l_partkey": F.lit(-1).cast("bigint")})
+    lines.unionByName(orphan).write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = order_lines(spark, str(tmp_path)).filter("Order_ID = -1").collect()
+    assert len(found) == 1 and found[0]["Sales"] is not None
+    assert found[0]["Order_Date"] is None and found[0]["Category"] is None and found[0]["Profit"] is None
+
+
+def test_prices_with_more_decimals_are_an_error(spark, folder, tmp_path):
+    lines = spark.read.parquet(f"{folder}/lineitem.parquet").limit(1).withColumn("l_extendedprice", F.lit(1.234))
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    with pytest.raises(Exception, match="more decimals"):
+        order_lines(spark, str(tmp_path), ["Sales"]).collect()
+
+
+def test_whole_run_with_other_dates_and_relation(spark, folder, tmp_path):
+    rows = raw_orders(spark, folder).withColumn("Order Date", F.date_format("Order Date", "d.M.yyyy"))
+    result = jobs.run_all(spark, rows, str(tmp_path / "p"), forest=False, date_formats=["d.M.yyyy"], relation="elsewhere")
+    assert result.lines.count() == rows.count() and not result.failed_queries
+    assert spark.catalog.tableExists("elsewhere")
+
+
+def test_tables_are_read_once(spark, folder):
+    from registry.queries import QUERIES
+
+    for name in ("d1_product_kpis", "d6_top_and_worst", "p11_histogram_profit", "p5_duplicate_rows"):
+        plan = QUERIES[name](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("l_orderkey#") + plan.count("l_extendedprice#") > 0
+        assert plan.count("Relation [l_orderkey") == 1, name
