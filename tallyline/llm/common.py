@@ -177,17 +177,23 @@ def list_array(rows: list[list[int]], kind: pa.DataType) -> pa.ListArray:
 
 
 class Memo(dict):
-    """A bounded memory of a function of one value; it starts afresh when full."""
+    """A bounded memory of a function of one value.
+
+    When ``most`` values are held they become the older half, which lasts until the next time; what is asked for
+    again moves to the younger half, so frequent values stay.
+    """
 
     def __init__(self, make: Callable, most: int, longest: int = 64):
         super().__init__()
-        self.make, self.most, self.longest = make, most, longest
+        self.make, self.most, self.longest, self.older = make, most, longest, {}
 
     def __missing__(self, key):
-        value = self.make(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
         if len(key) <= self.longest:
             if len(self) >= self.most:
+                self.older = dict(self)
                 self.clear()
             self[key] = value
         return value
-

@@ -28,7 +28,7 @@ from tallyline.llm.common import Memo, add_columns, ranks, vocabulary
 from tallyline.session import cut_lineage
 
 RANKS, PIECES = "byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model"
-MOST_WORDS = 200_000
+MOST_WORDS = 150_000
 #: Measures with the width of a cell of the grid that quartiles are read from.
 MEASURES = {"chars_per_token": 0.01, "chars_per_piece": 0.01, "byte_share": 0.001, "token_entropy": 0.002}
 #: A band reaches this many interquartile ranges beyond the quartiles (at least this many cells).

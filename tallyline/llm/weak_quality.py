@@ -29,7 +29,7 @@ HEURISTICS = 10
 #: Documents (about) that the scorer is fitted on.
 SAMPLE_ROWS = 8_000
 BUCKETS = 1 << 15
-MOST_WORDS = 200_000
+MOST_WORDS = 100_000
 #: Frequent words of four languages.
 STOPWORDS = {
     "en": "the of and to in is that for it with as on by are from was this be an at",

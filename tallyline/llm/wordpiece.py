@@ -35,7 +35,7 @@ from tallyline.llm.common import (
 
 PIECES = "word_bpe_49k.json"
 WORD_END = "</w>"
-MOST_WORDS = 300_000
+MOST_WORDS = 250_000
 #: The symbol behind a word's last byte.
 END = 256
 
