@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
+SKEW = {
+    # One order, customer or part may own a large share of the lines: split it even when
+    # the split costs a later aggregate one more exchange.
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+}
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    # One order, customer or part may own a large share of the lines: split it even when
-    # the split costs a later aggregate one more exchange.
-    "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Tables that cut a lineage go when nothing refers to them any more.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    **SKEW,
 }
 
 
@@ -28,17 +31,16 @@ def build_session(app_name: str = "tallyline", master: str | None = None, **extr
     return builder.getOrCreate()
 
 
+def split_hot_keys(spark: SparkSession) -> None:
+    """The settings for hot keys, in a session that the caller has made."""
+    for key, value in SKEW.items():
+        spark.conf.set(key, value)
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can read, as named by ``spark.checkpoint.dir``."""
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if folder:
-        return folder
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can read")
-    folder = tempfile.mkdtemp(prefix="tallyline-")
-    context.setCheckpointDir(folder)
-    return folder
+    """A folder that every executor can read: that of ``spark.checkpoint.dir``, else one in the warehouse."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

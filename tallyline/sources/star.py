@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import MONEY
+from ..session import split_hot_keys
 
 # Declared, so that no job reads file footers just to learn them.
 _SCHEMAS = {
@@ -43,6 +44,7 @@ def order_lines(spark: SparkSession, folder: str, columns: Iterable[str] = ALL_C
     No side is broadcast by hint: Spark broadcasts a lookup when its size allows and otherwise
     shuffles both sides, splitting hot keys at run time.
     """
+    split_hot_keys(spark)
     columns = list(columns)
     asked = set(columns)
     unknown = asked - set(ALL_COLUMNS)
