@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyline.llm.common import Memo, add_columns, ranks, vocabulary
+from tallyline.llm.common import Memo, add_columns, ranks, vocabulary, without
 from tallyline.session import cut_lineage
 
 RANKS, PIECES = "byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model"
@@ -193,7 +193,9 @@ def judge(docs: DataFrame, text: str = "text", lang: str | None = "lang", reach:
     The texts are encoded once. What comes of it is written to the shared folder, because the bands need all of it
     before the first verdict; select the columns that are needed before.
     """
-    measured = measure(docs.withColumn("band_key", language_key(lang, text)), text, **paths)
+    keyed = docs.withColumn("_key", language_key(lang, text))
+    kept = [f"`{c}`" for c in without(docs, list(RESULTS))]
+    measured = measure(keyed.select(*kept, F.col("_key").alias("band_key")), text, **paths)
     return verdicts(cut_lineage(measured), reach)
 
 

@@ -164,7 +164,7 @@ def write(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -
         def flush() -> pa.RecordBatch:
             name = f"{uuid.uuid4().hex}.warc.zst"
             n = 0
-            with store.open_output_stream(f"{root}/{name}") as out:
+            with store.open_output_stream(f"{root}/{name}", compression=None) as out:
                 for frame in archive(held):
                     out.write(frame)
                     n += len(frame)
@@ -199,7 +199,7 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
         store, root = _open(folder)
         for batch in batches:
             for name in batch.column("archive").to_pylist():
-                with store.open_input_stream(f"{root}/{name}") as file:
+                with store.open_input_stream(f"{root}/{name}", compression=None) as file:
                     data = file.read()
                 rows = []
                 for record in unpack(data):
