@@ -127,7 +127,7 @@ def fit_label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200,
     start = np.array([[0.3, 0.05, 0.65], [0.02, 0.28, 0.7]])
     model = LabelModel(np.array([0.15, 0.85]), np.repeat(start[None], n, axis=0))
     before = None
-    for _ in range(rounds):
+    for _ in range(rounds if len(patterns) else 0):
         good = model.posterior(patterns)
         weights = np.stack([(1 - good) * counts, good * counts])
         prior = (weights.sum(axis=1) + smooth) / (counts.sum() + 2 * smooth)
