@@ -43,7 +43,7 @@ BANDS, PER_LONG = HASHES // ROWS, 64 // BITS
 MARGIN = 0.13
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_WORDS = Memo(xxhash.xxh3_64_intdigest, 200_000)
+_WORDS = Memo(xxhash.xxh3_64_intdigest, 40_000)
 
 
 def words(text: str | None) -> list[bytes]:
@@ -167,15 +167,16 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     def run(batches):
         held, held_text = set(), None
         for batch in batches:
+            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             out = []
-            rows = zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")))
-            for a, b, text_a, text_b in rows:
-                if text_a != held_text:
-                    held, held_text = shingles(words(text_a), size), text_a
-                other = shingles(words(text_b), size)
+            for i, (text_a, text_b) in enumerate(zip(batch.column("text_a"), batch.column("text_b"))):
+                # One pair of texts at a time leaves Arrow's memory.
+                if held_text is None or text_a != held_text:
+                    held, held_text = shingles(words(text_a.as_py()), size), text_a
+                other = shingles(words(text_b.as_py()), size)
                 common = len(held & other)
                 if 100 * common >= percent * (len(held) + len(other) - common):
-                    out.append((a, b))
+                    out.append((a[i], b[i]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x[i] for x in out], pa.int64()) for i in range(2)], ["a", "b"]
             )
