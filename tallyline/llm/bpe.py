@@ -1,10 +1,13 @@
 """Byte-level BPE as a transducer: encoding by a lazily determinised machine, decoding as a stream.
 
-The machine reads bytes. After each byte it holds, for every position at which a token that is not finished yet may
-have begun, the tokens of the text up to there. A text's encoding ends in the one token that (a) is a suffix of the
-text and (b) stands after the encoding of what precedes it without a merge across the two; so the next state
-follows from the last few positions alone. Tokens on which all held positions agree are given out, which happens
-after a lookahead bounded by the longest token. States and steps are made when first needed.
+The machine reads bytes. A text's encoding ends in the one token that (a) is a suffix of the text and (b) stands
+after the encoding of what precedes it without a merge across the two. So a state is the longest suffix of the text
+that begins some token, with the last token before each of its suffixes that begins one too; a step gives the last
+token of the text so far. States and steps are made when first needed.
+
+Last tokens lead back from any position to the tokens before it. Once the ways back from all positions of a state
+meet, which they do after a lookahead bounded by the longest token, what lies before the meeting point is certain
+and given out; at the end of a piece the way back from there gives the rest.
 
 Nulls and empty texts encode to no token; ids that no token has decode to U+FFFD. Rows are independent: repeated
 rows and ties need no rule, an empty table stays empty, and an input column named like a result is replaced.
@@ -15,25 +18,29 @@ from __future__ import annotations
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tallyline.llm.common import Memo, add_columns, blocks, list_array, pieces, ranks, vocabulary
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-#: Bounds of a worker's memory: states of the machine, pieces whose ids are remembered, pairs of tokens compared.
-MOST_STATES, MOST_PIECES, MOST_PAIRS = 120_000, 300_000, 300_000
+#: Bounds of a worker's memory: states of the machine, and pieces whose ids are remembered.
+MOST_STATES, MOST_PIECES = 200_000, 250_000
 NEVER = 1 << 31
+#: Bytes of a piece from which on tokens are given out before its end.
+LOOKAHEAD = 1024
 
 
 class _State:
-    """The longest suffix that begins a token, the last token given out, and the tokens held for each live position."""
+    """The longest suffix that begins a token; for each of its suffixes that does, the length and the token before."""
 
-    __slots__ = ("suffix", "before", "held", "steps")
+    __slots__ = ("suffix", "live", "steps")
 
-    def __init__(self, suffix: bytes, before: int | None, held: tuple[tuple[int, ...], ...]):
-        self.suffix, self.before, self.held, self.steps = suffix, before, held, {}
+    def __init__(self, suffix: bytes, live: tuple[tuple[int, bytes | None], ...]):
+        self.suffix, self.live, self.steps = suffix, live, {}
 
 
 class Transducer:
@@ -41,16 +48,22 @@ class Transducer:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.tokens = {r: t for t, r in ranks.items()}
-        self.prefixes = {t[:n] for t in ranks for n in range(1, len(t) + 1)}
+        #: What begins some token, and whether it is one.
+        self.begins = dict.fromkeys((t[:n] for t in ranks for n in range(1, len(t))), False) | dict.fromkeys(ranks, True)
+        cuts = [(t[:n], t[n:]) for t in ranks for n in range(1, len(t)) if t[:n] in ranks and t[n:] in ranks]
+        #: The tokens that begin, and that end, a pair that merges.
+        self.lefts, self.rights = {a for a, _ in cuts}, {b for _, b in cuts}
         self._edges: dict[bytes, tuple[list, list] | None] = {}
-        self._apart: dict[tuple[bytes, bytes], bool] = {}
+        self._seams: dict[bytes, tuple[list, list] | None] = {}
+        self.states: dict[tuple, _State] = {}
         self._forget()
         self.memo = Memo(self._encode_piece, MOST_PIECES)
 
     def _forget(self) -> None:
-        self.start = _State(b"", None, ((),))
-        self.states: dict[tuple, _State] = {(b"", None, ((),)): self.start}
+        for state in self.states.values():
+            state.steps.clear()  # states refer to each other
+        self.start = _State(b"", ((0, None),))
+        self.states: dict[tuple, _State] = {}
 
     def merge(self, data: bytes) -> tuple[list[bytes], tuple[bytes, bytes] | None]:
         """The merges carried out one by one, lowest rank first, and the last pair merged; for single tokens only."""
@@ -82,58 +95,82 @@ class Transducer:
                 )
         return self._edges[token]
 
+    def seam(self, token: bytes) -> tuple[list, list] | None:
+        """The edge parts of a token that merge with anything beyond it at all; None as for ``edges``."""
+        if token not in self._seams:
+            edges = self.edges(token)
+            self._seams[token] = edges and (
+                [e for e in edges[0] if e[0] in self.rights],
+                [e for e in edges[1] if e[0] in self.lefts],
+            )
+        return self._seams[token]
+
     def apart(self, left: bytes, right: bytes) -> bool:
         """Whether two tokens stay as they are side by side: no part at the seam merges across it in time.
 
         A pair across the seam merges if its rank comes before the left part's own next merge (which, being
         further left, goes first at the same rank) and not after the right part's.
         """
-        key = left, right
-        if key not in self._apart:
-            if len(self._apart) >= MOST_PAIRS:
-                self._apart.clear()
-            get = self.ranks.get
-            self._apart[key] = not any(
-                get(a + b, NEVER) < until and get(a + b, NEVER) <= then
-                for a, until in self.edges(left)[1]
-                for b, then in self.edges(right)[0]
-            )
-        return self._apart[key]
-
-    def step(self, state: _State, byte: int) -> tuple[_State, tuple[int, ...]]:
-        """The next state, and the tokens that are certain now."""
-        grown = state.suffix + bytes([byte])
-        suffix = next(grown[i:] for i in range(len(grown)) if grown[i:] in self.prefixes)
-        for n in range(len(suffix), 0, -1):
-            token = suffix[-n:]
-            if token in self.ranks and self.edges(token):
-                held = state.held[-n]
-                before = held[-1] if held else state.before
-                if before is None or self.apart(self.tokens[before], token):
-                    break
-        live = (*state.held[len(state.held) - len(suffix) :], (*held, self.ranks[token]))
-        agreed = 0
-        while all(len(h) > agreed for h in live) and len({h[agreed] for h in live}) == 1:
-            agreed += 1
-        out = live[0][:agreed]
-        key = (suffix, out[-1] if out else state.before, tuple(h[agreed:] for h in live))
-        if key not in self.states:
-            self.states[key] = _State(*key)
-        state.steps[byte] = self.states[key], out
-        return state.steps[byte]
+        get, others = self.ranks.get, self.seam(right)[0]
+        for a, until in self.seam(left)[1]:
+            for b, then in others:
+                rank = get(a + b, NEVER)
+                if rank < until and rank <= then:
+                    return False
+        return True
+
+    def step(self, state: _State, byte: int) -> tuple[_State, bytes]:
+        """The next state, and the last token of the text with the byte."""
+        last, suffix, token, live = bytes((byte,)), state.suffix, None, []
+        for n, before in state.live:
+            part = suffix[len(suffix) - n :] + last
+            whole = self.begins.get(part)
+            if whole is None:
+                continue
+            if not live:
+                longest = part
+            live.append((n + 1, before))
+            if whole and token is None and self.seam(part) and (before is None or self.apart(before, part)):
+                token = part
+        live.append((0, token))
+        key = longest, tuple(live)
+        found = self.states.get(key)
+        if found is None:
+            found = self.states[key] = _State(*key)
+        state.steps[byte] = found, token
+        return found, token
 
     def run(self, data: bytes) -> list[int]:
         """The tokens of one piece."""
         if len(self.states) > MOST_STATES:
             self._forget()
-        state, ids = self.start, []
+        state, lasts, ids = self.start, [], []
         for byte in data:
-            found = state.steps.get(byte) or self.step(state, byte)
-            state, out = found
-            if out:
-                ids.extend(out)
-        ids.extend(state.held[-1])
-        return ids
+            state, token = state.steps.get(byte) or self.step(state, byte)
+            lasts.append(token)
+            if len(lasts) >= LOOKAHEAD and (certain := self._meeting(lasts, state)):
+                ids += self._way_back(lasts, certain)
+                del lasts[:certain]
+        return ids + self._way_back(lasts, len(lasts))
+
+    def _meeting(self, lasts: list[bytes], state: _State) -> int:
+        """Where the ways back from all positions of a state meet."""
+        at = {len(lasts) - n for n, _ in state.live}
+        while len(at) > 1:
+            furthest = max(at)
+            at.remove(furthest)
+            at.add(furthest - len(lasts[furthest - 1]))
+        return at.pop()
+
+    def _way_back(self, lasts: list[bytes], at: int) -> list[int]:
+        """The tokens of the first ``at`` bytes."""
+        out = []
+        while at:
+            token = lasts[at - 1]
+            out.append(self.ranks[token])
+            at -= len(token)
+        out.reverse()
+        return out
 
     def _encode_piece(self, piece: str) -> tuple[int, ...]:
         data = piece.encode()
@@ -177,12 +214,34 @@ def transducer(path: str) -> Transducer:
     return Transducer(ranks(path))
 
 
-def decode_ids(tokens: dict[int, bytes], ids: list[int], chunk: int = 4096) -> str:
-    """The text of a list of ids, joined and decoded chunk by chunk."""
-    stream, out = Utf8Stream(), []
-    known = tokens.get
-    for i in range(0, len(ids), chunk):
-        out.append(stream.feed(b"".join([known(t, b"\xef\xbf\xbd") for t in ids[i : i + chunk]])))
+class Bytes:
+    """The bytes of all tokens in one array; those of a list of ids are gathered from it."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        size = max(ranks.values(), default=-1) + 2
+        tokens = [b"\xef\xbf\xbd"] * size  # ids without a token, and the last place for those beyond
+        for token, rank in ranks.items():
+            tokens[rank] = token
+        self.lengths = np.array([len(t) for t in tokens])
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.all = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def of(self, ids: np.ndarray) -> bytes:
+        ids = np.where((ids < 0) | (ids >= len(self.lengths)), len(self.lengths) - 1, ids)
+        lengths = self.lengths[ids]
+        shift = self.starts[ids] - (np.cumsum(lengths) - lengths)
+        return self.all[np.repeat(shift, lengths) + np.arange(int(lengths.sum()))].tobytes()
+
+
+@lru_cache(maxsize=2)
+def token_bytes(path: str) -> Bytes:
+    return Bytes(ranks(path))
+
+
+def decode_ids(tokens: Bytes, ids: np.ndarray, chunk: int = 4096) -> str:
+    """The text of ids, gathered and decoded chunk by chunk."""
+    stream = Utf8Stream()
+    out = [stream.feed(tokens.of(ids[i : i + chunk])) for i in range(0, len(ids), chunk)]
     out.append(stream.end())
     return "".join(out)
 
@@ -203,7 +262,10 @@ def decode(docs: DataFrame, ids: str = "ids", into: str = "decoded", path: str |
     path = path or vocabulary(RANKS)
 
     def make(part: pa.RecordBatch) -> list[pa.Array]:
-        tokens = transducer(path).tokens
-        return [pa.array([decode_ids(tokens, x) if x else "" for x in part.column(ids).to_pylist()], pa.string())]
+        tokens = token_bytes(path)
+        lists = part.column(ids)
+        flat = lists.flatten().to_numpy(zero_copy_only=False)
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+        return [pa.array([decode_ids(tokens, x) for x in np.split(flat, ends[:-1])], pa.string())]
 
     return add_columns(docs, ids, [T.StructField(into, T.StringType(), True)], make)
