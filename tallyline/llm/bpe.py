@@ -27,8 +27,9 @@ from pyspark.sql import types as T
 from tallyline.llm.common import Memo, add_columns, blocks, list_array, pieces, ranks, vocabulary
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-#: Bounds of a worker's memory: states of the machine, and pieces whose ids are remembered.
-MOST_STATES, MOST_PIECES = 200_000, 250_000
+#: Bounds of a worker's memory: states of the machine, and pieces whose ids are remembered (about a kilobyte each and a
+#: quarter of one). Smaller ones cost time, not results.
+MOST_STATES, MOST_PIECES = 120_000, 200_000
 NEVER = 1 << 31
 #: Bytes of a piece from which on tokens are given out before its end.
 LOOKAHEAD = 1024
@@ -46,8 +47,8 @@ class _State:
 class Transducer:
     """Encodes pieces by the merges that ``ranks`` (token bytes to rank) imply."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], most_states: int = MOST_STATES, most_pieces: int = MOST_PIECES):
+        self.ranks, self.most_states = ranks, most_states
         #: What begins some token, and whether it is one.
         self.begins = dict.fromkeys((t[:n] for t in ranks for n in range(1, len(t))), False) | dict.fromkeys(ranks, True)
         cuts = [(t[:n], t[n:]) for t in ranks for n in range(1, len(t)) if t[:n] in ranks and t[n:] in ranks]
@@ -57,7 +58,7 @@ class Transducer:
         self._seams: dict[bytes, tuple[list, list] | None] = {}
         self.states: dict[tuple, _State] = {}
         self._forget()
-        self.memo = Memo(self._encode_piece, MOST_PIECES)
+        self.memo = Memo(self._encode_piece, most_pieces)
 
     def _forget(self) -> None:
         for state in self.states.values():
@@ -142,7 +143,7 @@ class Transducer:
 
     def run(self, data: bytes) -> list[int]:
         """The tokens of one piece."""
-        if len(self.states) > MOST_STATES:
+        if len(self.states) > self.most_states:
             self._forget()
         state, lasts, ids = self.start, [], []
         for byte in data:
@@ -210,8 +211,8 @@ class Utf8Stream:
 
 
 @lru_cache(maxsize=2)
-def transducer(path: str) -> Transducer:
-    return Transducer(ranks(path))
+def transducer(path: str, most_states: int = MOST_STATES, most_pieces: int = MOST_PIECES) -> Transducer:
+    return Transducer(ranks(path), most_states, most_pieces)
 
 
 class Bytes:
@@ -246,12 +247,19 @@ def decode_ids(tokens: Bytes, ids: np.ndarray, chunk: int = 4096) -> str:
     return "".join(out)
 
 
-def encode(docs: DataFrame, text: str = "text", into: str = "ids", path: str | None = None) -> DataFrame:
+def encode(
+    docs: DataFrame,
+    text: str = "text",
+    into: str = "ids",
+    path: str | None = None,
+    most_states: int = MOST_STATES,
+    most_pieces: int = MOST_PIECES,
+) -> DataFrame:
     """``docs`` with the token ids of ``text`` (array of int) by the rank file at ``path``."""
     path = path or vocabulary(RANKS)
 
     def make(part: pa.RecordBatch) -> list[pa.Array]:
-        machine = transducer(path)
+        machine = transducer(path, most_states, most_pieces)
         return [list_array([machine.encode(x) if x else [] for x in part.column(text).to_pylist()], pa.int32())]
 
     return add_columns(docs, text, [T.StructField(into, T.ArrayType(T.IntegerType(), True), True)], make)
