@@ -13,11 +13,14 @@ named like a result are replaced.
 
 from __future__ import annotations
 
+import re
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -145,10 +148,10 @@ def fit_label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200,
 
 def shape(word: bytes) -> bytes:
     """A word's kinds of characters, repetitions left out."""
-    kinds = word.translate(_SHAPES)
-    return bytes(b for i, b in enumerate(kinds) if i == 0 or b != kinds[i - 1])
+    return _REPEATED.sub(rb"\1", word.translate(_SHAPES))
 
 
+_REPEATED = re.compile(rb"(.)\1+", re.DOTALL)
 _SHAPES = bytes(
     65 if 65 <= c <= 90 else 97 if 97 <= c <= 122 or c >= 128 else 48 if 48 <= c <= 57 else c for c in range(256)
 )
@@ -224,19 +227,36 @@ def fit(docs: DataFrame, id: str = "doc_id", text: str = "text", sample_rows: in
     return QualityModel(labels, fit_scorer(keys, shares, targets))
 
 
+#: A worker's word scores by the name of their model; one at a time.
+_SCORES: dict[str, tuple[Memo, float]] = {}
+
+
+def _word_scores(name: str, held: Broadcast) -> tuple[Memo, float]:
+    """The sum of a word's two weights, remembered, and the constant."""
+    if name not in _SCORES:
+        weights = held.value.tolist()
+
+        def total(word: bytes) -> float:
+            plain, shaped = buckets(word)
+            return weights[plain] + weights[shaped]
+
+        _SCORES.clear()
+        _SCORES[name] = Memo(total, MOST_WORDS), weights[-1]
+    return _SCORES[name]
+
+
 def score(docs: DataFrame, model: QualityModel, text: str = "text", least: float = 0.3) -> DataFrame:
     """``docs`` with ``score``, the probability of good, and ``kept``, whether it reaches ``least``."""
     worker_path(docs)
     # A fixed number of weights.
-    held = docs.sparkSession.sparkContext.broadcast(model.weights)
+    held, name = docs.sparkSession.sparkContext.broadcast(model.weights), uuid.uuid4().hex
 
     def make(part: pa.RecordBatch) -> list[pa.Array]:
-        weights = held.value
-        known = Memo(lambda word: float(weights[list(buckets(word))].sum()), MOST_WORDS)
+        known, constant = _word_scores(name, held)
         scores = []
         for value in part.column(text).to_pylist():
             words = (value or "").encode().split()
-            total = sum(map(known.__getitem__, words)) / len(words) + weights[-1] if words else -np.inf
+            total = sum(map(known.__getitem__, words)) / len(words) + constant if words else -np.inf
             scores.append(float(1 / (1 + np.exp(-total))))
         return [pa.array(scores, pa.float64()), pa.array([s >= least for s in scores], pa.bool_())]
 
