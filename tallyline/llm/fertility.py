@@ -3,8 +3,9 @@
 Two public vocabularies encode each word of a text by itself. Three measures follow: characters per token (both
 vocabularies), the share of tokens that stand for single bytes of characters missing from the vocabulary, and the
 entropy of the token distribution relative to its maximum. Per language (or script, where the language is unknown)
-the quartiles over all documents give a band; a document outside a band is rejected. Plain counts (words, symbols,
-repeated lines and words) come along, with two base rules.
+the quartiles over all documents give a band; a document outside a band is rejected. Entropy falls with length, so it
+has a band for each length class (powers of two of the number of words); a class with few documents takes the band
+over all lengths. Plain counts (words, symbols, repeated lines and words) come along, with two base rules.
 
 Null and empty texts have zero counts, null measures and fail the base rules; null measures lie in every band.
 Quartiles are read from counts on a fixed grid, so ties and the order of rows don't matter; repeated rows count
@@ -31,8 +32,14 @@ RANKS, PIECES = "byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model"
 MOST_WORDS = 150_000
 #: Measures with the width of a cell of the grid that quartiles are read from.
 MEASURES = {"chars_per_token": 0.01, "chars_per_piece": 0.01, "byte_share": 0.001, "token_entropy": 0.002}
-#: A band reaches this many interquartile ranges beyond the quartiles (at least this many cells).
-REACH, LEAST_CELLS = 5.0, 10
+#: A band reaches this many interquartile ranges beyond the quartiles, and one cell where these are equal.
+REACH, LEAST_CELLS = 5.0, 1
+#: Single bytes that any text may have beyond its band (five characters): a share of a short text says no more.
+LOOSE_BYTES = 20
+#: Measures that have a band for each length class.
+BY_LENGTH = ("token_entropy",)
+#: Documents that a length class needs for a band of its own.
+LEAST_DOCUMENTS = 20
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -126,11 +133,16 @@ def language_key(lang: str | None, text: str) -> Column:
     return F.when(code.rlike("^[a-z]{2,3}$"), code).otherwise(script)
 
 
+def length_class() -> Column:
+    """The power of two of the number of words."""
+    return F.floor(F.log2(F.greatest("n_words", F.lit(1)))).cast("int")
+
+
 def bands(measured: DataFrame, key: str = "band_key", reach: float = REACH) -> DataFrame:
-    """One row per key: the lowest and highest admissible value of each measure.
+    """One row per key and length class: the lowest and highest admissible value of each measure.
 
-    Every document with enough words counts. Values are counted per key and grid cell first, so what is shuffled
-    and what a window sees is bounded by keys times cells.
+    Every document with enough words counts. Values are counted per key, class and grid cell first, so what is
+    shuffled and what a window sees is bounded by keys times classes times cells.
     """
     cells = [
         F.struct(F.lit(m).alias("measure"), F.floor(F.col(m) / width).cast("long").alias("cell"))
@@ -138,47 +150,63 @@ def bands(measured: DataFrame, key: str = "band_key", reach: float = REACH) -> D
     ]
     counted = (
         measured.where(F.col("n_words") >= MIN_WORDS)
-        .select(key, F.explode(F.array(*cells)).alias("c"))
+        .select(key, length_class().alias("length"), F.explode(F.array(*cells)).alias("c"))
         .where(F.col("c.cell").isNotNull())
-        .groupBy(key, F.col("c.measure").alias("measure"), F.col("c.cell").alias("cell"))
+        .groupBy(key, "length", F.col("c.measure").alias("measure"), F.col("c.cell").alias("cell"))
         .agg(F.count("*").alias("n"))
     )
-    by_key = counted.groupBy(key, "measure").agg(F.sort_array(F.collect_list(F.struct("cell", "n"))).alias("cells"))
+    # The class -1 is all lengths.
+    levels = counted.withColumn("length", F.explode(F.array("length", F.lit(-1))))
+    by_level = levels.groupBy(key, "length", "measure", "cell").agg(F.sum("n").alias("n"))
+    by_level = by_level.groupBy(key, "length", "measure").agg(
+        F.sort_array(F.collect_list(F.struct("cell", "n"))).alias("cells"), F.sum("n").alias("total")
+    )
 
     def quartile(share: float) -> Column:
-        total = F.aggregate("cells", F.lit(0).cast("long"), lambda a, x: a + x["n"])
         state = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("long").alias("cell"))
         found = F.aggregate(
             "cells",
             state,
             lambda a, x: F.struct(
                 (a["seen"] + x["n"]).alias("seen"),
-                F.coalesce(a["cell"], F.when(a["seen"] + x["n"] >= total * share, x["cell"])).alias("cell"),
+                F.coalesce(a["cell"], F.when(a["seen"] + x["n"] >= F.col("total") * share, x["cell"])).alias("cell"),
             ),
         )
         return found["cell"]
 
-    edges = by_key.select(key, "measure", quartile(0.25).alias("low"), quartile(0.75).alias("high"))
+    edges = by_level.select(key, "length", "measure", "total", quartile(0.25).alias("low"), quartile(0.75).alias("high"))
     widths = F.create_map(*(F.lit(x) for pair in MEASURES.items() for x in pair))
-    margin = F.greatest(F.col("high") - F.col("low"), F.lit(LEAST_CELLS)) * reach
+    margin = F.greatest((F.col("high") - F.col("low")) * reach, F.lit(LEAST_CELLS))
     width = F.element_at(widths, F.col("measure"))
-    edges = edges.select(
-        key, "measure", ((F.col("low") - margin) * width).alias("low"), ((F.col("high") + 1 + margin) * width).alias("high")
-    )
-    pick = lambda m, c: F.max(F.when(F.col("measure") == m, F.col(c))).alias(f"{m}_{c}")
-    return edges.groupBy(key).agg(*(pick(m, c) for m in MEASURES for c in ("low", "high")))
+    limits = F.struct(((F.col("low") - margin) * width).alias("low"), ((F.col("high") + 1 + margin) * width).alias("high"))
+    edges = edges.select(key, "length", "measure", "total", limits.alias("limits"))
+    whole = edges.where("length = -1").select(key, "measure", F.col("limits").alias("whole"))
+    own = F.when(F.col("measure").isin(*BY_LENGTH) & (F.col("total") >= LEAST_DOCUMENTS), F.col("limits"))
+    edges = edges.where("length >= 0").join(whole, [key, "measure"]).withColumn("limits", F.coalesce(own, "whole"))
+    pick = lambda m, c: F.max(F.when(F.col("measure") == m, F.col(f"limits.{c}"))).alias(f"{m}_{c}")
+    return edges.groupBy(key, "length").agg(*(pick(m, c) for m in MEASURES for c in ("low", "high"))).orderBy(key, "length")
+
+
+def outside(measure: str) -> Column:
+    """Whether a measure of a row lies outside its limits."""
+    value, low, high = (F.col(c) for c in (measure, f"{measure}_low", f"{measure}_high"))
+    if measure == "byte_share":
+        pieces = F.col("word_chars") / F.col("chars_per_piece")
+        return (value < low) | ((value > high) & ((value - high) * pieces > LOOSE_BYTES))
+    return (value < low) | (value > high)
 
 
 def verdicts(measured: DataFrame, reach: float = REACH) -> DataFrame:
     """``measured`` (with ``band_key``, computed once) with ``base_failed``, ``out_of_band`` and ``kept``."""
-    # At most a few thousand language and script keys (language_key), a row of eight numbers each.
-    limits = F.broadcast(bands(measured, reach=reach))
-    outside = [F.when((F.col(m) < F.col(f"{m}_low")) | (F.col(m) > F.col(f"{m}_high")), F.lit(m)) for m in MEASURES]
+    # At most a few thousand language and script keys (language_key) times some twenty lengths, eight numbers each.
+    limits = F.broadcast(bands(measured, reach=reach).withColumnRenamed("length", "_length"))
+    found = [F.when(outside(m), F.lit(m)) for m in MEASURES]
     repeated = 100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words")
     return (
-        measured.join(limits, "band_key", "left")
+        measured.withColumn("_length", length_class())
+        .join(limits, ["band_key", "_length"], "left")
         .withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | repeated)
-        .withColumn("out_of_band", F.filter(F.array(*outside), lambda x: x.isNotNull()))
+        .withColumn("out_of_band", F.filter(F.array(*found), lambda x: x.isNotNull()))
         .withColumn("kept", ~F.col("base_failed") & (F.size("out_of_band") == 0))
         .select(*[f"`{c}`" for c in measured.columns], "base_failed", "out_of_band", "kept")
     )

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import re
 from collections import Counter
 
@@ -76,3 +77,39 @@ def test_empty_and_clashing(spark):
     assert fertility.judge(documents(spark, [])).count() == 0
     got = fertility.judge(clashing(documents(spark), "kept", "n_words", "Band_Key"))
     assert [c.lower() for c in got.columns].count("kept") == 1 and got.count() == len(AWKWARD)
+
+
+def worded(seed: int, n: int, letters: str, words=(60, 400)) -> list[str]:
+    """Plain texts of a language made of these letters."""
+    draw = random.Random(seed)
+    stock = ["".join(draw.choice(letters) for _ in range(draw.randint(2, 8))) for _ in range(300)]
+    return [" ".join(draw.choice(stock) for _ in range(draw.randint(*words))) for _ in range(n)]
+
+
+LANGUAGES = {"en": "etaoinshrdlu", "fr": "esaitnrulodé", "ru": "оеаинтсрвлкм"}
+
+
+def test_noise_is_rejected_and_plain_text_is_not(spark):
+    draw, rows, noisy = random.Random(5), [], {}
+    for k, (lang, letters) in enumerate(LANGUAGES.items()):
+        texts = worded(k, 200, letters)
+        rows += [(1000 * k + i, t, lang) for i, t in enumerate(texts)]
+        for i, t in enumerate(texts[:8]):
+            noisy[1000 * k + 900 + i] = (" ".join(w + draw.choice(["###", "***", "|<>"]) for w in t.split()), lang)
+            noisy[1000 * k + 910 + i] = ("".join(w if w == " " else draw.choice("aé中\U0001f9ff") for w in t), lang)
+            # A token never seen twice, and few words over and over in a changing order.
+            noisy[1000 * k + 920 + i] = (" ".join(draw.choice(t.split()[:3]) for _ in range(200)), lang)
+    rows += [(i, *row) for i, row in noisy.items()]
+    got = {r["doc_id"]: r for r in fertility.judge(documents(spark, rows)).collect()}
+    assert not [i for i in noisy if i % 1000 < 920 and not got[i]["out_of_band"]]
+    assert all("token_entropy" in got[i]["out_of_band"] for i in noisy if i % 1000 >= 920)
+    plain = [r["kept"] for i, r in got.items() if i not in noisy]
+    assert sum(plain) >= 0.99 * len(plain)
+
+
+def test_a_few_missing_characters_are_no_noise(spark):
+    texts = worded(7, 100, LANGUAGES["en"])
+    one, many = (texts[0] + " \U0001f9ff" * n for n in (1, 40))
+    rows = [(i, t, "en") for i, t in enumerate(texts)] + [(200, one, "en"), (201, many, "en")]
+    got = {r["doc_id"]: r["out_of_band"] for r in fertility.judge(documents(spark, rows)).collect()}
+    assert "byte_share" not in got[200] and "byte_share" in got[201]
