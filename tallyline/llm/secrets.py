@@ -8,12 +8,14 @@ correlation; Fisher's method joins their p-values into one.
 Random tokens have evenly spread p-values, others small ones, smaller the longer they are. So false discoveries are
 controlled for each encoding and band of lengths by itself: the tokens of all documents with p >= 0.5 tell how many
 random ones there are, and the threshold is the smallest p at which at most ``fdr`` of the tokens above it are not
-accounted for. A token at or above its threshold, which overlaps no fixed match, is a further span.
-
-Everything is built-in expressions: a text's spans are arrays in its row, and only counts per encoding, band and
-cell of p-values (a few thousand rows) are brought together. Null and empty texts have no spans. Repeated rows are
-counted and reported each; spans are ordered by start, kind and end. An empty table gives an empty result. Input
-columns named like a result are replaced.
+accounted for. The lowest cell, where the names are, counts only if it holds no more than random tokens would put
+there. A token at or above its threshold, which overlaps no fixed match, is a further span.
+
+Everything is built-in expressions: a text's spans are arrays in its row. A token counts once for the thresholds
+however often it occurs, so a hash of each different token is shuffled, and counts per encoding, band and cell of
+p-values (a few thousand rows) are brought together. Null and empty texts have no spans. Repeated rows are reported
+each; spans are ordered by start, kind and end. An empty table gives an empty result. Input columns named like a
+result are replaced.
 """
 
 from __future__ import annotations
@@ -204,12 +206,13 @@ def battery(tokens: Column) -> Column:
             x["end"].alias("end"),
             F.concat_ws("/", x["encoding"], x["band"].cast("string")).alias("group"),
             F.least(F.floor(x["p"] * CELLS), F.lit(CELLS - 1)).cast("int").alias("cell"),
+            F.xxhash64(body(x)).alias("hash"),
         ),
     )
 
 
 def tokens(text: Column) -> Column:
-    """The tested tokens of a text: start, end, group (encoding and band) and cell of the p-value."""
+    """The tested tokens of a text: start, end, group (encoding and band), cell of the p-value, and a hash."""
     return battery(_located(text, TOKEN, 0, TOKEN_LENGTH))
 
 
@@ -217,7 +220,9 @@ def thresholds(tested: DataFrame, column: str = "tokens", fdr: float = FDR) -> D
     """One row per group: the lowest cell of p-values whose tokens count as random."""
     cells = (
         tested.select(F.explode(column).alias("t"))
-        .groupBy(F.col("t.group").alias("group"), F.col("t.cell").alias("cell"))
+        .select("t.group", "t.cell", "t.hash")
+        .distinct()
+        .groupBy("group", "cell")
         .agg(F.count("*").alias("n"))
         .groupBy("group")
         .agg(F.collect_list(F.struct("cell", "n")).alias("cells"))
@@ -228,7 +233,12 @@ def thresholds(tested: DataFrame, column: str = "tokens", fdr: float = FDR) -> D
         return F.aggregate(held, _long(0), lambda a, x: a + x["n"]).cast("double")
 
     random = 2 * above(F.lit(CELLS // 2))
-    fits = lambda t: (above(t) > 0) & (random * (1 - t / CELLS) >= (1 - fdr) * above(t))
+    due = random / CELLS
+    # Two standard deviations above what random tokens put in the lowest cell.
+    plain = above(F.lit(0)) - above(F.lit(1)) <= due + 2 * F.sqrt(due)
+    fits = lambda t: (
+        (above(t) > 0) & ((t > 0) | plain) & (random * (1 - t / CELLS) >= (1 - fdr) * above(t))
+    )
     lowest = F.array_min(F.filter(F.sequence(F.lit(0), F.lit(CELLS // 2)), fits))
     return cells.select("group", F.coalesce(lowest, F.lit(CELLS)).alias("lowest"))
 

@@ -81,3 +81,29 @@ def test_empty_and_clashing(spark):
 def test_only_built_in_expressions(spark):
     plan = secrets.scan(documents(spark))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def cells(spark, rows):
+    """Thresholds by group from rows of group, cell, hash and how often the token occurs."""
+    made = spark.createDataFrame(rows, "group string, cell int, hash long, n int")
+    each = made.select(F.array_repeat(F.struct("group", "cell", "hash"), F.col("n")).alias("tokens"))
+    return dict(secrets.thresholds(each).select("group", "lowest").collect())
+
+
+def test_copies_of_a_token_do_not_move_the_threshold(spark):
+    spread = [(group, i % secrets.CELLS, i, 1) for group in ("low", "mid") for i in range(1000)]
+    names = [("high", 0, i, 1) for i in range(500)]
+    hot = [("low", 10, 5000, 3000), ("mid", 24, 5000, 3000), ("high", 40, 5000, 3000)]
+    got = cells(spark, spread + names + hot)
+    assert got["low"] == got["mid"] == 0
+    assert got["high"] > 0
+
+
+def test_every_copy_is_reported(spark):
+    draw = random.Random(4)
+    keys = ["".join(draw.choice(secrets.ALPHABETS["base64"]) for _ in range(60)) for _ in range(100)]
+    hot = next(k for k in keys if "/" in k)
+    rows = [(i, f"key {k} end", "en") for i, k in enumerate(keys)] + [(1000, f"key {hot} and {hot} end", "en")] * 50
+    got = secrets.scan(documents(spark, rows)).collect()
+    single = {r["text"]: len(r["spans"]) for r in got if r["doc_id"] < 1000}
+    assert {len(r["spans"]) for r in got if r["doc_id"] == 1000} == {2 * single[f"key {hot} end"]}
