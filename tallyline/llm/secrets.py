@@ -8,8 +8,11 @@ correlation; Fisher's method joins their p-values into one.
 Random tokens have evenly spread p-values, others small ones, smaller the longer they are. So false discoveries are
 controlled for each encoding and band of lengths by itself: the tokens of all documents with p >= 0.5 tell how many
 random ones there are, and the threshold is the smallest p at which at most ``fdr`` of the tokens above it are not
-accounted for. The lowest cell, where the names are, counts only if it holds no more than random tokens would put
-there. A token at or above its threshold, which overlaps no fixed match, is a further span.
+accounted for. Few tokens tell that number badly, so it is taken as high as what is seen allows (two standard errors):
+a lone token counts as random unless its p lies in the lowest cell, up to eight names with larger p may be
+reported for a group without random tokens, and in a large group the allowance vanishes beside the number itself. The
+lowest cell, where the names are, counts only if it holds no more than random tokens would put there. A token at or
+above its threshold, which overlaps no fixed match, is a further span.
 
 Everything is built-in expressions: a text's spans are arrays in its row. A token counts once for the thresholds
 however often it occurs, so a hash of each different token is shuffled, and counts per encoding, band and cell of
@@ -232,8 +235,10 @@ def thresholds(tested: DataFrame, column: str = "tokens", fdr: float = FDR) -> D
         held = F.filter("cells", lambda x: x["cell"] >= least)
         return F.aggregate(held, _long(0), lambda a, x: a + x["n"]).cast("double")
 
-    random = 2 * above(F.lit(CELLS // 2))
-    due = random / CELLS
+    seen = above(F.lit(CELLS // 2))
+    # The largest number of which as few as were seen are likely (the upper limit of a Poisson count).
+    random = 2 * F.pow(F.sqrt(seen + 1) + 1, F.lit(2.0))
+    due = 2 * seen / CELLS
     # Two standard deviations above what random tokens put in the lowest cell.
     plain = above(F.lit(0)) - above(F.lit(1)) <= due + 2 * F.sqrt(due)
     fits = lambda t: (

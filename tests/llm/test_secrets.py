@@ -107,3 +107,28 @@ def test_every_copy_is_reported(spark):
     got = secrets.scan(documents(spark, rows)).collect()
     single = {r["text"]: len(r["spans"]) for r in got if r["doc_id"] < 1000}
     assert {len(r["spans"]) for r in got if r["doc_id"] == 1000} == {2 * single[f"key {hot} end"]}
+
+
+def test_small_groups_keep_random_tokens_and_no_names(spark):
+    draw = random.Random(6)
+    rows = [(f"{n}-{j}", draw.randrange(1, secrets.CELLS), i, 1) for n in (1, 2, 5, 10, 20) for j in range(100) for i in range(n)]
+    rows += [(f"names-{n}", 0, i, 1) for n in (1, 2, 5) for i in range(n)]
+    rows += [("many-names", i % 8, i, 1) for i in range(500)]
+    got = cells(spark, rows)
+    lost = sum(cell < got[group] for group, cell, _, _ in rows if group[0].isdigit())
+    assert lost <= 0.01 * sum(group[0].isdigit() for group, *_ in rows)
+    assert all(got[f"names-{n}"] > 0 for n in (1, 2, 5)) and got["many-names"] > 7
+
+
+def test_a_single_bare_key_is_found(spark):
+    """A key with its p above the lowest cell and below one half, alone in its encoding and length."""
+    draw, keys = random.Random(8), {}
+    for name, letters in secrets.ALPHABETS.items():
+        drawn = ["".join(draw.choice(letters) for _ in range(40)) for _ in range(400)]
+        made = spark.createDataFrame([(k,) for k in drawn], "key string").select("key", secrets.tokens(F.col("key")).alias("t"))
+        held = [(r["key"], t) for r in made.collect() for t in r["t"]]
+        keys[name] = next(k for k, t in held if t["group"] == f"{name}/2" and 1 <= t["cell"] < secrets.CELLS // 2)
+    rows = [(i, f"see {k} end", name) for i, (name, k) in enumerate(keys.items())]
+    rows.append((100, "see thisIsAnOrdinaryLongIdentifierNameOfAClassVersion1 end", None))
+    got = {r["lang"]: [s["kind"] for s in r["spans"]] for r in secrets.scan(documents(spark, rows)).collect()}
+    assert all("random" in got[name] or "hex" in got[name] for name in keys) and got[None] == []
