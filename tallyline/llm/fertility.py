@@ -3,13 +3,15 @@
 Two public vocabularies encode each word of a text by itself. Three measures follow: characters per token (both
 vocabularies), the share of tokens that stand for single bytes of characters missing from the vocabulary, and the
 entropy of the token distribution relative to its maximum. Per language (or script, where the language is unknown)
-the quartiles over all documents give a band; a document outside a band is rejected. Entropy falls with length, so it
-has a band for each length class (powers of two of the number of words); a class with few documents takes the band
-over all lengths. Plain counts (words, symbols, repeated lines and words) come along, with two base rules.
+the quartiles over all different texts give a band; a document outside a band is rejected. Entropy falls with length,
+so it has a band for each length class (powers of two of the number of words). A key with few different texts takes
+the band of its script, and this the one over all texts; a class with few texts takes a wider key's band of that
+class, then the bands over all lengths. Plain counts (words, symbols, repeated lines and words) come along, with two
+base rules.
 
 Null and empty texts have zero counts, null measures and fail the base rules; null measures lie in every band.
-Quartiles are read from counts on a fixed grid, so ties and the order of rows don't matter; repeated rows count
-each time. An empty table gives an empty result. Input columns named like a result are replaced.
+Quartiles are read from counts on a fixed grid, so ties and the order of rows don't matter; a repeated text counts
+once per key, and near copies each. An empty table gives an empty result. Input columns named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -38,8 +40,10 @@ REACH, LEAST_CELLS = 5.0, 1
 LOOSE_BYTES = 20
 #: Measures that have a band for each length class.
 BY_LENGTH = ("token_entropy",)
-#: Documents that a length class needs for a band of its own.
-LEAST_DOCUMENTS = 20
+#: Different texts that a key or length class needs for a band of its own.
+LEAST_TEXTS = 20
+#: Columns that go with the measures to the bands: the text's script, and a hash of the text.
+SCRIPT, COPY = "_band_script", "_band_copy"
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -139,26 +143,42 @@ def length_class() -> Column:
 
 
 def bands(measured: DataFrame, key: str = "band_key", reach: float = REACH) -> DataFrame:
-    """One row per key and length class: the lowest and highest admissible value of each measure.
+    """One row per key, script and length class: the lowest and highest admissible value of each measure.
 
-    Every document with enough words counts. Values are counted per key, class and grid cell first, so what is
-    shuffled and what a window sees is bounded by keys times classes times cells.
+    Every different text with enough words counts. A hash and the cells of each are shuffled; then values are counted
+    per key, class and grid cell, which is bounded by keys times classes times cells. Without the columns ``SCRIPT``
+    and ``COPY`` there is one script, and texts with the same counts and measures are one.
     """
     cells = [
         F.struct(F.lit(m).alias("measure"), F.floor(F.col(m) / width).cast("long").alias("cell"))
         for m, width in MEASURES.items()
     ]
-    counted = (
-        measured.where(F.col("n_words") >= MIN_WORDS)
-        .select(key, length_class().alias("length"), F.explode(F.array(*cells)).alias("c"))
-        .where(F.col("c.cell").isNotNull())
-        .groupBy(key, "length", F.col("c.measure").alias("measure"), F.col("c.cell").alias("cell"))
-        .agg(F.count("*").alias("n"))
+    script = F.col(SCRIPT) if SCRIPT in measured.columns else F.lit("other")
+    copy = F.col(COPY) if COPY in measured.columns else F.xxhash64(*COUNTS, *MEASURES)
+    texts = measured.where(F.col("n_words") >= MIN_WORDS).select(
+        F.col(key).alias("key"),
+        script.alias("script"),
+        length_class().alias("length"),
+        copy.alias("copy"),
+        *(c["cell"].alias(m) for m, c in zip(MEASURES, cells)),
     )
+
+    def counted(level: str, columns: list[str]) -> DataFrame:
+        """Different texts by key, length class and cell of each measure."""
+        each = F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.col(m).alias("cell")) for m in MEASURES)))
+        rows = texts.select(*columns, "length", "copy", *MEASURES).distinct().select(*columns, "length", each.alias("c"))
+        name = F.col(columns[0]) if columns else F.lit("")
+        return (
+            rows.where(F.col("c.cell").isNotNull())
+            .groupBy(F.lit(level).alias("level"), name.alias("name"), "length", "c.measure", "c.cell")
+            .agg(F.count("*").alias("n"))
+        )
+
     # The class -1 is all lengths.
-    levels = counted.withColumn("length", F.explode(F.array("length", F.lit(-1))))
-    by_level = levels.groupBy(key, "length", "measure", "cell").agg(F.sum("n").alias("n"))
-    by_level = by_level.groupBy(key, "length", "measure").agg(
+    levels = counted("key", ["key"]).union(counted("script", ["script"])).union(counted("all", []))
+    levels = levels.withColumn("length", F.explode(F.array("length", F.lit(-1))))
+    by_level = levels.groupBy("level", "name", "length", "measure", "cell").agg(F.sum("n").alias("n"))
+    by_level = by_level.groupBy("level", "name", "length", "measure").agg(
         F.sort_array(F.collect_list(F.struct("cell", "n"))).alias("cells"), F.sum("n").alias("total")
     )
 
@@ -174,17 +194,32 @@ def bands(measured: DataFrame, key: str = "band_key", reach: float = REACH) -> D
         )
         return found["cell"]
 
-    edges = by_level.select(key, "length", "measure", "total", quartile(0.25).alias("low"), quartile(0.75).alias("high"))
     widths = F.create_map(*(F.lit(x) for pair in MEASURES.items() for x in pair))
-    margin = F.greatest((F.col("high") - F.col("low")) * reach, F.lit(LEAST_CELLS))
     width = F.element_at(widths, F.col("measure"))
+    edges = by_level.withColumns({"low": quartile(0.25), "high": quartile(0.75)})
+    margin = F.greatest((F.col("high") - F.col("low")) * reach, F.lit(LEAST_CELLS))
     limits = F.struct(((F.col("low") - margin) * width).alias("low"), ((F.col("high") + 1 + margin) * width).alias("high"))
-    edges = edges.select(key, "length", "measure", "total", limits.alias("limits"))
-    whole = edges.where("length = -1").select(key, "measure", F.col("limits").alias("whole"))
-    own = F.when(F.col("measure").isin(*BY_LENGTH) & (F.col("total") >= LEAST_DOCUMENTS), F.col("limits"))
-    edges = edges.where("length >= 0").join(whole, [key, "measure"]).withColumn("limits", F.coalesce(own, "whole"))
+    edges = edges.select("level", "name", "length", "measure", "total", limits.alias("limits"))
+    found = texts.select("key", "script", "length").distinct()
+    found = found.withColumn("measure", F.explode(F.array(*map(F.lit, MEASURES))))
+    # From the nearest band to the widest; entropy looks for its length first.
+    chain = [(level, own) for own in (True, False) for level in ("key", "script", "all")]
+    for i, (level, own) in enumerate(chain):
+        enough = (F.col("level") == level) & ((F.col("length") >= 0) if own else (F.col("length") == -1))
+        if own:
+            enough &= F.col("measure").isin(*BY_LENGTH)
+        if (level, own) != chain[-1]:
+            enough &= F.col("total") >= LEAST_TEXTS
+        on = ["measure", *(["length"] if own else []), *([level] if level != "all" else [])]
+        names = {"name": level} if level != "all" else {}
+        part = edges.where(enough).withColumnsRenamed({**names, "limits": f"l{i}"}).select(*on, f"l{i}")
+        found = found.join(F.broadcast(part), on, "left")
+    found = found.withColumn("limits", F.coalesce(*(f"l{i}" for i in range(len(chain)))))
     pick = lambda m, c: F.max(F.when(F.col("measure") == m, F.col(f"limits.{c}"))).alias(f"{m}_{c}")
-    return edges.groupBy(key, "length").agg(*(pick(m, c) for m in MEASURES for c in ("low", "high"))).orderBy(key, "length")
+    made = found.groupBy(F.col("key").alias(key), F.col("script").alias(SCRIPT), "length").agg(
+        *(pick(m, c) for m in MEASURES for c in ("low", "high"))
+    )
+    return made.orderBy(key, SCRIPT, "length")
 
 
 def outside(measure: str) -> Column:
@@ -198,17 +233,20 @@ def outside(measure: str) -> Column:
 
 def verdicts(measured: DataFrame, reach: float = REACH) -> DataFrame:
     """``measured`` (with ``band_key``, computed once) with ``base_failed``, ``out_of_band`` and ``kept``."""
-    # At most a few thousand language and script keys (language_key) times some twenty lengths, eight numbers each.
+    # At most a few thousand language and script keys (language_key) times scripts and some twenty lengths.
     limits = F.broadcast(bands(measured, reach=reach).withColumnRenamed("length", "_length"))
     found = [F.when(outside(m), F.lit(m)) for m in MEASURES]
     repeated = 100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words")
+    kept = [f"`{c}`" for c in without(measured, [SCRIPT, COPY])]
+    if SCRIPT not in measured.columns:
+        measured = measured.withColumn(SCRIPT, F.lit("other"))
     return (
         measured.withColumn("_length", length_class())
-        .join(limits, ["band_key", "_length"], "left")
+        .join(limits, ["band_key", SCRIPT, "_length"], "left")
         .withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | repeated)
         .withColumn("out_of_band", F.filter(F.array(*found), lambda x: x.isNotNull()))
         .withColumn("kept", ~F.col("base_failed") & (F.size("out_of_band") == 0))
-        .select(*[f"`{c}`" for c in measured.columns], "base_failed", "out_of_band", "kept")
+        .select(*kept, "base_failed", "out_of_band", "kept")
     )
 
 
@@ -221,14 +259,20 @@ def judge(docs: DataFrame, text: str = "text", lang: str | None = "lang", reach:
     The texts are encoded once. What comes of it is written to the shared folder, because the bands need all of it
     before the first verdict; select the columns that are needed before.
     """
-    keyed = docs.withColumn("_key", language_key(lang, text))
-    kept = [f"`{c}`" for c in without(docs, list(RESULTS))]
-    measured = measure(keyed.select(*kept, F.col("_key").alias("band_key")), text, **paths)
+    keyed = docs.withColumns({"_key": language_key(lang, text), SCRIPT: language_key(None, text), COPY: F.xxhash64(text)})
+    kept = [f"`{c}`" for c in without(docs, [*RESULTS, SCRIPT, COPY])]
+    measured = measure(keyed.select(*kept, F.col("_key").alias("band_key"), SCRIPT, COPY), text, **paths)
     return verdicts(cut_lineage(measured), reach)
 
 
 def judge_ids(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str | None = "lang", reach: float = REACH, **paths: str) -> DataFrame:
     """As ``judge``, but of the input only the id is returned, so no text is written."""
-    docs = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text"), language_key(lang, text).alias("band_key"))
+    docs = docs.select(
+        F.col(id).alias("_id"),
+        F.col(text).alias("_text"),
+        language_key(lang, text).alias("band_key"),
+        language_key(None, text).alias(SCRIPT),
+        F.xxhash64(text).alias(COPY),
+    )
     measured = cut_lineage(measure(docs, "_text", **paths).drop("_text"))
     return verdicts(measured, reach).withColumnRenamed("_id", id)

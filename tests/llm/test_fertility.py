@@ -113,3 +113,23 @@ def test_a_few_missing_characters_are_no_noise(spark):
     rows = [(i, t, "en") for i, t in enumerate(texts)] + [(200, one, "en"), (201, many, "en")]
     got = {r["doc_id"]: r["out_of_band"] for r in fertility.judge(documents(spark, rows)).collect()}
     assert "byte_share" not in got[200] and "byte_share" in got[201]
+
+
+def test_copies_of_a_bad_text_do_not_widen_a_band(spark):
+    texts = worded(11, 100, LANGUAGES["en"])
+    bad = " ".join(w + "###" for w in texts[0].split())
+    rows = [(i, t, "en") for i, t in enumerate(texts)] + [(1000 + i, bad, "en") for i in range(60)]
+    got = fertility.judge(documents(spark, rows)).collect()
+    assert not any(r["kept"] for r in got if r["doc_id"] >= 1000)
+    assert sum(r["kept"] for r in got if r["doc_id"] < 1000) >= 98
+
+
+def test_rare_keys_take_the_band_of_their_script(spark):
+    rows = [(i, t, "en") for i, t in enumerate(worded(12, 100, LANGUAGES["en"]))]
+    good, other = worded(13, 2, LANGUAGES["en"])
+    cyrillic = worded(14, 60, LANGUAGES["ru"])
+    rows += [(100 + i, t, "ru") for i, t in enumerate(cyrillic[:-1])]
+    bad = " ".join(w + "###" for w in good.split())
+    rows += [(200, good, "zz"), (201, bad, "qq"), (202, bad, "qq"), (203, cyrillic[-1], "uk"), (204, other, "xx")]
+    got = {r["doc_id"]: r["kept"] for r in fertility.judge_ids(documents(spark, rows)).collect()}
+    assert [got[i] for i in range(200, 205)] == [True, False, False, True, True]
