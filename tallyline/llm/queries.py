@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.llm import bpe, chat, decontaminate, fertility, minhash, secrets, urls, warc, weak_quality, wordpiece
+from tallyline.llm import bpe, chat, decontaminate, fertility, minhash, negatives, secrets, urls, warc, weak_quality, wordpiece
 from tallyline.llm.common import worker_path
 
 #: Host, path and verdict of the URL rules.
@@ -135,6 +135,12 @@ def op10_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, folder, "documents"), size=2, percent=80)
 
 
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Ranked hard negatives of the positives of every hundredth vector."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(_table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -148,6 +154,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_url_rules,
         op9_token_counts,
         op10_near_duplicates,
+        op11_hard_negatives,
     )
 }
 
@@ -233,5 +240,31 @@ reach (doc_id, other) AS (
 c AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
 SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id, w.doc_id = c.component_id AS kept
 FROM w JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
+""",
+    "op11_hard_negatives": r"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q, row_number() OVER () AS place
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+),
+scores AS (
+  SELECT a.vec_id AS anchor_id, a.place, a.label = b.label AS same, b.vec_id AS other, b.place AS other_place,
+    CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.place <> b.place
+),
+positives AS (
+  SELECT * FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY place ORDER BY score DESC, other, other_place) <= 5
+),
+negatives AS (
+  SELECT p.anchor_id, p.other AS positive_id, p.score AS positive_score, n.other AS negative_id, n.score AS negative_score,
+    row_number() OVER (PARTITION BY p.place, p.other_place ORDER BY n.score DESC, n.other, n.other_place) AS rank
+  FROM positives p JOIN scores n ON n.place = p.place AND NOT n.same
+    AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM negatives WHERE rank <= 10
 """,
 }
