@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.llm import bpe, chat, decontaminate, fertility, minhash, negatives, secrets, urls, warc, weak_quality, wordpiece
+from tallyline.llm import bpe, chat, decontaminate, fertility, merkle, minhash, negatives, secrets, urls, warc, weak_quality, wordpiece
 from tallyline.llm.common import worker_path
 
 #: Host, path and verdict of the URL rules.
@@ -141,6 +141,27 @@ def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     return negatives.hard_negatives(_table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
 
 
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's leaf, proof and roots, and whether its row of a later time still folds to the root."""
+    docs = _table(spark, folder, "documents")
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.lit(False))
+    n_chars = F.when(tampered, F.col("n_chars").cast("decimal(38,0)") + 1).otherwise(F.col("n_chars").cast("decimal(38,0)"))
+    later = [F.col("doc_id"), F.col("source"), F.col("lang"), n_chars, F.col("text")]
+    made = merkle.manifest(docs, altered=later)
+    return (
+        made.withColumn("folded_root", merkle.folded(F.col("altered_leaf"), F.col("proof")))
+        .select(
+            F.col("id").alias("doc_id"),
+            "leaf",
+            "subroot",
+            "root",
+            merkle.proof_digest(F.col("proof")).alias("proof_sha256"),
+            "folded_root",
+            (F.col("folded_root") == F.col("root")).alias("verified"),
+        )
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -155,10 +176,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_token_counts,
         op10_near_duplicates,
         op11_hard_negatives,
+        op12_merkle_manifest,
     )
 }
 
 _CONTROL = r"'<|im_end|><|im_start|>assistant ok'"
+_FIELD = "coalesce(strlen({0}) || ':' || {0}, '-')"
+_LEAF = "sha256(concat(" + ", ".join(_FIELD.format(c) for c in ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST({n} AS VARCHAR)", "text")) + "))"
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLES: dict[str, str] = {
@@ -266,5 +290,57 @@ negatives AS (
 )
 SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
 FROM negatives WHERE rank <= 10
+""",
+    "op12_merkle_manifest": rf"""
+WITH RECURSIVE d AS (
+  SELECT *, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0, 0, 0, 0, 0, 0, 0, 0]),
+      lambda x, step: xor(x >> 1, 3988292384 * (x & 1)))) AS register
+  FROM documents
+),
+l AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce('1' || lang, '0') AS g, {_LEAF.format(n="n_chars")} AS leaf,
+    {_LEAF.format(n="(n_chars + CASE WHEN xor(register, 4294967295) % 7 = 0 THEN 1 ELSE 0 END)")} AS later
+  FROM d
+),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx FROM l),
+nodes AS (
+  SELECT g, 0 AS level, idx, leaf AS h FROM leaves
+  UNION ALL
+  SELECT g, level + 1, idx // 2, sha256(string_agg(h, '' ORDER BY idx))
+  FROM (SELECT *, count(*) OVER (PARTITION BY g) AS n FROM nodes) WHERE n > 1 GROUP BY g, level, idx // 2
+),
+sub AS (
+  SELECT *, row_number() OVER (ORDER BY g) - 1 AS place
+  FROM (SELECT g, max(level) AS depth, arg_max(h, level) AS subroot FROM nodes GROUP BY g)
+),
+upper AS (
+  SELECT 0 AS level, place AS idx, subroot AS h FROM sub
+  UNION ALL
+  SELECT level + 1, idx // 2, sha256(string_agg(h, '' ORDER BY idx))
+  FROM (SELECT *, count(*) OVER () AS n FROM upper) WHERE n > 1 GROUP BY level, idx // 2
+),
+top AS (SELECT max(level) AS height, arg_max(h, level) AS root FROM upper),
+steps AS (
+  SELECT r, step, step < depth AS inside, CASE WHEN step < depth THEN idx >> step ELSE place >> (step - depth) END AS at, g, depth
+  FROM (SELECT l.r, l.g, l.idx, s.depth, s.place, unnest(generate_series(0, s.depth + t.height - 1)) AS step
+        FROM leaves l JOIN sub s USING (g), top t WHERE s.depth + t.height > 0)
+),
+path AS (
+  SELECT s.r, s.step, s.at % 2 AS odd, coalesce(n.h, u.h, '') AS sibling
+  FROM steps s
+  LEFT JOIN nodes n ON s.inside AND n.g = s.g AND n.level = s.step AND n.idx = xor(s.at, 1)
+  LEFT JOIN upper u ON NOT s.inside AND u.level = s.step - s.depth AND u.idx = xor(s.at, 1)
+),
+fold AS (
+  SELECT r, CAST(0 AS BIGINT) AS step, later AS h FROM leaves
+  UNION ALL
+  SELECT f.r, f.step + 1, sha256(CASE WHEN p.odd = 1 THEN p.sibling || f.h ELSE f.h || p.sibling END)
+  FROM fold f JOIN path p ON p.r = f.r AND p.step = f.step
+),
+ends AS (SELECT r, arg_max(h, step) AS folded_root FROM fold GROUP BY r),
+proof AS (SELECT r, string_agg(sibling, '' ORDER BY step) AS siblings FROM path GROUP BY r)
+SELECT l.doc_id, l.leaf, s.subroot, t.root, sha256(coalesce(p.siblings, '')) AS proof_sha256, e.folded_root, e.folded_root = t.root AS verified
+FROM leaves l JOIN sub s USING (g) JOIN ends e USING (r) LEFT JOIN proof p USING (r), top t
 """,
 }
