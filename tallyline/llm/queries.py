@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.llm import bpe, chat, decontaminate, fertility, merkle, minhash, negatives, secrets, urls, warc, weak_quality, wordpiece
+from tallyline.llm import bpe, chat, decontaminate, fertility, merkle, minhash, negatives, secrets, urls, warc, weak_quality, winnow, wordpiece
 from tallyline.llm.common import worker_path
 
 #: Host, path and verdict of the URL rules.
@@ -162,6 +162,20 @@ def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's fingerprint, that of its edited text, and their likeness, also to the next document's."""
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    return winnow.compare_edits(docs).select(
+        F.col("id").alias("doc_id"),
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        winnow.listed("hashes", "positions").alias("fingerprint"),
+        winnow.listed("edited_hashes", "edited_positions").alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -177,6 +191,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_near_duplicates,
         op11_hard_negatives,
         op12_merkle_manifest,
+        op13_fingerprints,
     )
 }
 
@@ -342,5 +357,59 @@ ends AS (SELECT r, arg_max(h, step) AS folded_root FROM fold GROUP BY r),
 proof AS (SELECT r, string_agg(sibling, '' ORDER BY step) AS siblings FROM path GROUP BY r)
 SELECT l.doc_id, l.leaf, s.subroot, t.root, sha256(coalesce(p.siblings, '')) AS proof_sha256, e.folded_root, e.folded_root = t.root AS verified
 FROM leaves l JOIN sub s USING (g) JOIN ends e USING (r) LEFT JOIN proof p USING (r), top t
+""",
+    "op13_fingerprints": rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents),
+p AS (
+  SELECT *, coalesce(lead(text) OVER w, first_value(text) OVER w) AS following,
+    coalesce(lead(doc_id) OVER w, first_value(doc_id) OVER w) AS next_id
+  FROM t WINDOW w AS (ORDER BY doc_id DESC)
+),
+e AS (SELECT *, left(text, n - n // 2) || left(following, n // 2) AS edited FROM p),
+every AS (
+  SELECT doc_id, 0 AS kind, text AS x, n FROM e UNION ALL SELECT doc_id, 1, edited, length(edited) FROM e
+),
+chars AS (
+  SELECT doc_id, kind, n, unnest(generate_series(0, n - 1)) AS pos,
+    unnest(list_transform(string_split(x, ''), lambda c: CAST(unicode(c) AS BIGINT))) AS h
+  FROM every WHERE n > 0
+),
+whole AS (
+  SELECT doc_id, kind, n, CAST(0 AS BIGINT) AS pos,
+    list_reduce(list_transform(string_split(x, ''), lambda c: CAST(unicode(c) AS BIGINT)), lambda a, b: (a * {winnow.BASE} + b) % {winnow.PRIME}) AS h
+  FROM every WHERE n BETWEEN 1 AND {winnow.GRAM - 1}
+),
+h2 AS (SELECT doc_id, kind, n, pos, (h * {winnow.BASE} + lead(h, 1) OVER w) % {winnow.PRIME} AS h FROM chars WINDOW w AS (PARTITION BY doc_id, kind ORDER BY pos)),
+h4 AS (SELECT doc_id, kind, n, pos, (h * {pow(winnow.BASE, 2, winnow.PRIME)} + lead(h, 2) OVER w) % {winnow.PRIME} AS h FROM h2 WINDOW w AS (PARTITION BY doc_id, kind ORDER BY pos)),
+h8 AS (SELECT doc_id, kind, n, pos, (h * {pow(winnow.BASE, 4, winnow.PRIME)} + lead(h, 4) OVER w) % {winnow.PRIME} AS h FROM h4 WINDOW w AS (PARTITION BY doc_id, kind ORDER BY pos)),
+h16 AS (SELECT doc_id, kind, n, pos, (h * {pow(winnow.BASE, 8, winnow.PRIME)} + lead(h, 8) OVER w) % {winnow.PRIME} AS h FROM h8 WINDOW w AS (PARTITION BY doc_id, kind ORDER BY pos)),
+grams AS (
+  SELECT doc_id, kind, pos, h, n - {winnow.GRAM - 1} AS m FROM h16 WHERE pos <= n - {winnow.GRAM}
+  UNION ALL SELECT doc_id, kind, pos, h, 1 FROM whole
+),
+least AS (
+  SELECT doc_id, kind, pos, m, min(h * 4294967296 + (4294967295 - pos)) OVER (
+    PARTITION BY doc_id, kind ORDER BY pos ROWS BETWEEN CURRENT ROW AND {winnow.WINDOW - 1} FOLLOWING) AS k
+  FROM grams
+),
+kept AS (
+  SELECT DISTINCT doc_id, kind, k >> 32 AS h, 4294967295 - (k & 4294967295) AS pos
+  FROM least WHERE pos <= m - least({winnow.WINDOW}, m)
+),
+made AS (
+  SELECT doc_id, kind, string_agg(h || ':' || pos, ',' ORDER BY pos) AS listed, list(DISTINCT h) AS hashes FROM kept GROUP BY doc_id, kind
+),
+f AS (
+  SELECT e.doc_id, e.n, e.edited, e.next_id, coalesce(a.listed, '') AS fingerprint, coalesce(b.listed, '') AS edited_fingerprint,
+    coalesce(a.hashes, []) AS a, coalesce(b.hashes, []) AS b, coalesce(c.hashes, []) AS c
+  FROM e LEFT JOIN made a ON a.doc_id = e.doc_id AND a.kind = 0
+  LEFT JOIN made b ON b.doc_id = e.doc_id AND b.kind = 1
+  LEFT JOIN made c ON c.doc_id = e.next_id AND c.kind = 0
+),
+shared AS (SELECT *, len(list_intersect(a, b)) AS ab, len(list_intersect(a, c)) AS ac FROM f)
+SELECT doc_id, CAST(n AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, fingerprint, edited_fingerprint,
+  CASE WHEN len(a) + len(b) = 0 THEN 1.0 ELSE CAST(ab AS DOUBLE) / (len(a) + len(b) - ab) END AS near_edited,
+  CASE WHEN len(a) + len(c) = 0 THEN 1.0 ELSE CAST(ac AS DOUBLE) / (len(a) + len(c) - ac) END AS near_next
+FROM shared
 """,
 }
