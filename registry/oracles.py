@@ -495,7 +495,7 @@ SELECT Order_ID, strftime(Order_Date, {_STAMP}) AS Order_Date, CAST(Sales AS DOU
     "s7_catalogue_results": _digest(
         "query", {_RESULT_NAMES[k]: (v, _MEASURES[k.split("_")[0]]) for k, v in _CATALOGUE.items()}, ", false AS failed"
     )
-    + " UNION ALL SELECT 'broken', NULL, NULL, true",
+    + " UNION ALL SELECT 'broken', NULL, NULL, true UNION ALL SELECT 'broken_while_running', NULL, NULL, true",
     # cleaning
     "c1_canonical_names": "SELECT * FROM raw",
     "c2_parse_dates": f"""

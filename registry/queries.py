@@ -15,6 +15,7 @@ from tallyline.operators import forecasting as fc
 from tallyline.plans import jobs
 from tallyline.plans.catalogue import BUSINESS_QUERIES, run_all_business_queries
 from tallyline.schema import CUSTOMER
+from tallyline.session import cut_lineage
 from tallyline.sources import files, relation
 from tallyline.sources.star import order_lines
 
@@ -164,9 +165,12 @@ _CUSTOMER_MEASURES = {"customer_table": "Total_Profit", "rfm": "RFM_Score"}
 
 @query("s7_catalogue_results")
 def s7(spark, folder):
-    """Every report, and one that can't be planned and leaves the others alone."""
-    relation.publish(lines(spark, folder), "s7_orders")
-    broken = {"broken": "SELECT no_such_column FROM orders"}
+    """Every report, one that can't be planned, and one that fails while it runs; both leave the others alone."""
+    relation.publish(cut_lineage(lines(spark, folder)), "s7_orders")
+    broken = {
+        "broken": "SELECT no_such_column FROM orders",
+        "broken_while_running": "SELECT Category, 1 DIV (SUM(Quantity) - SUM(Quantity)) AS x FROM orders GROUP BY Category",
+    }
     results, failed = run_all_business_queries(spark, {**broken, **BUSINESS_QUERIES}, "s7_orders")
     shown = _digest(results, "query", _QUERY_MEASURES).withColumn("failed", F.lit(False))
     lost = spark.createDataFrame(

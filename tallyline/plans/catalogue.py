@@ -9,10 +9,12 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..sources.relation import RELATION, run_query
+from ..sources.relation import RELATION
+from .running import run_reports
 
 
 def _sum(column: str, presummed: bool) -> str:
@@ -172,17 +174,43 @@ def reading(sql: str, relation: str) -> str:
     return re.sub(rf"\bFROM {RELATION}\b", f"FROM {relation}", sql)
 
 
+def result_order(sql: str) -> str | None:
+    """What a report's rows are ordered by at the end, if its text says so without calls."""
+    found = re.search(r"\bORDER\s+BY\s+([^()]+?)(\s+LIMIT\s+\d+)?\s*$", sql, re.IGNORECASE)
+    return found.group(1) if found else None
+
+
+def _sort_term(term: str) -> Column:
+    name, _, way = term.strip().partition(" ")
+    return F.desc(name) if way.strip().upper().startswith("DESC") else F.asc(name)
+
+
+def _in_order(result: DataFrame, sql: str) -> DataFrame:
+    """A written result in its report's order again; files don't keep one."""
+    order = result_order(sql)
+    if order is None:
+        return result
+    try:
+        return result.orderBy(*[_sort_term(term) for term in order.split(",")])
+    except AnalysisException:  # ordered by something that the result doesn't show
+        return result
+
+
 def run_all_business_queries(
-    spark: SparkSession, queries: dict[str, str] | None = None, relation: str = RELATION
+    spark: SparkSession,
+    queries: dict[str, str] | None = None,
+    relation: str = RELATION,
+    place: str | None = None,
+    seconds: float | None = None,
 ) -> tuple[dict[str, DataFrame], dict[str, str]]:
-    """Results by name, and the message of each query that could not be planned; the others still run.
+    """Results by name, and the message of each query that could not be planned or failed while it ran.
 
-    The reports read the published relation ``relation``.
+    The reports read the published relation ``relation``; they run side by side (``running.run_reports``) and their
+    results are read back from ``place``.
     """
-    results, failures = {}, {}
-    for name, sql in (queries or BUSINESS_QUERIES).items():
-        try:
-            results[name] = run_query(spark, reading(sql, relation), relation)
-        except PySparkException as error:
-            failures[name] = str(error)
-    return results, failures
+    if not spark.catalog.tableExists(relation):
+        raise LookupError(f"relation {relation} does not exist; publish the order lines first")
+    texts = {name: reading(sql, relation) for name, sql in (queries or BUSINESS_QUERIES).items()}
+    outcomes = run_reports(spark, texts, place, seconds=seconds)
+    results = {name: _in_order(o.result, texts[name]) for name, o in outcomes.items() if o.error is None}
+    return results, {name: o.error for name, o in outcomes.items() if o.error is not None}
