@@ -108,6 +108,24 @@ def dirty_orders(spark: SparkSession, folder: str, whole: bool = False) -> DataF
     return df.select("*", copies).select([column.alias(name) for name, column in raw.items()])
 
 
+#: Ways of writing a moment; a key chooses one by its remainder.
+WRITTEN_DATES = (
+    "yyyy-MM-dd", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss'+02:00'", "yyyy-MM-dd HH:mm:ss'Z'", "yyyy/M/d HH:mm", "M/d/yyyy",
+    "MM/dd/yyyy h:mm a", "M-d-yyyy HH:mm:ss", "yyyyMMdd", "d-MMM-yyyy", "d MMMM yyyy HH:mm", "MMM d, yyyy", "MMMM d, yyyy h:mm:ss a",
+)
+
+
+def written_dates(spark: SparkSession, folder: str) -> DataFrame:
+    """Every line's order date, with a time made of the order number, as text in one of many layouts."""
+    df = order_lines(spark, folder, ("Order_ID", "Order_Date"))
+    key = F.col("Order_ID")
+    moment = F.col("Order_Date") + F.make_dt_interval(F.lit(0), (key % 24).cast("int"), (key % 60).cast("int"), key % 59)
+    text = F.lit(None).cast("string")
+    for i, layout in enumerate(WRITTEN_DATES):
+        text = F.when(key % len(WRITTEN_DATES) == i, F.date_format(moment, layout)).otherwise(text)
+    return df.select("Order_ID", text.alias("Order_Date"))
+
+
 def raw_orders(spark: SparkSession, folder: str) -> DataFrame:
     """Every line with all its columns under their raw names."""
     df = order_lines(spark, folder)

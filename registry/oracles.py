@@ -501,6 +501,14 @@ SELECT Order_ID, strftime(Order_Date, {_STAMP}) AS Order_Date, CAST(Sales AS DOU
     "c2_parse_dates": f"""
 SELECT raw.Order_ID, strftime(read_date(Order_Date), {_STAMP}) AS Order_Date,
        strftime(TRY_CAST(trim_all(Ship_Date) AS TIMESTAMP), {_STAMP}) AS Ship_Date FROM raw""",
+    "c2_date_layouts": f"""
+SELECT Order_ID, strftime(CASE
+    WHEN Order_ID % 13 IN (0, 5, 8, 9, 11) THEN CAST(Order_Date AS TIMESTAMP)
+    WHEN Order_ID % 13 IN (4, 6, 10) THEN date_trunc('minute', moment)
+    WHEN Order_ID % 13 = 2 THEN moment - INTERVAL 2 HOUR
+    ELSE moment END, {_STAMP}) AS Order_Date
+FROM (SELECT Order_ID, Order_Date, Order_Date + to_hours(Order_ID % 24) + to_minutes(Order_ID % 60) + to_seconds(Order_ID % 59) AS moment
+      FROM order_lines)""",
     "c3_strip_text": """
 SELECT trim_all(Order_ID) AS Order_ID, trim_all(Category) AS Category, trim_all(Sales) AS Sales, Channel FROM raw""",
     "c4_coerce_measures": """
@@ -553,6 +561,13 @@ FROM f GROUP BY Year_Month""",
     "f22_strftime": """
 SELECT strftime(Order_Date, '%Y') AS y, strftime(Order_Date, '%Y-%m') AS ym, strftime(Order_Date, '%Y-%m-%d') AS ymd,
        count(*) AS n FROM f GROUP BY ALL""",
+    "f22_strftime_codes": """
+SELECT Order_ID, strftime(t, 'Q%m') AS quarterly, strftime(t, '%y') AS short_year, strftime(t, '%j') AS day_of_year,
+       strftime(t, '%U/%W/%V') AS weeks, strftime(t, '%w %u %a %A') AS weekdays, strftime(t, '%G-W%V') AS iso_year,
+       strftime(t, '%H:%M:%S') AS clock, strftime(t, '%I o''clock %p') AS halves, strftime(t, '%d %b (%B)') AS names,
+       strftime(t, '100%% of %Y') AS percent, CAST(CAST(epoch(t) AS BIGINT) AS VARCHAR) AS seconds,
+       strftime(t, '%Y-%m-%d %H:%M:%S %H:%M %m/%d/%y') AS long
+FROM (SELECT Order_ID, Order_Date + to_hours(Order_ID % 24) + to_minutes(Order_ID % 60) + to_seconds(Order_ID % 59) AS t FROM order_lines)""",
     "f23_round": """
 SELECT Order_ID, CAST(round(sum(Sales), 2) AS DOUBLE) AS r2, CAST(round(sum(Sales), 1) AS DOUBLE) AS r1
 FROM f GROUP BY Order_ID""",

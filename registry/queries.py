@@ -26,6 +26,7 @@ from .inputs import (
     lines,
     null_keys,
     scratch_path,
+    written_dates,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -201,6 +202,12 @@ def c2(spark, folder):
     return _plain(parsed.select("Order_ID", "Order_Date", "Ship_Date"))
 
 
+@query("c2_date_layouts")
+def c2_layouts(spark, folder):
+    """Every line's order date and time, written in one of thirteen ways and read back."""
+    return _plain(cleaning.parse_dates(written_dates(spark, folder)))
+
+
 @query("c3_strip_text")
 def c3(spark, folder):
     stripped = cleaning.strip_text(cleaning.canonical_names(dirty_orders(spark, folder)))
@@ -317,6 +324,21 @@ def f22(spark, folder):
     )
 
 
+@query("f22_strftime_codes")
+def f22_codes(spark, folder):
+    """Every code beside literal text, over the order dates with a time made of the order number."""
+    df = order_lines(spark, folder, ["Order_ID", "Order_Date"])
+    key = F.col("Order_ID")
+    timed = F.col("Order_Date") + F.make_dt_interval(F.lit(0), (key % 24).cast("int"), (key % 60).cast("int"), key % 59)
+    relation.publish(df.select("Order_ID", timed.alias("Order_Date")), "f22_orders")
+    codes = {
+        "quarterly": "Q%m", "short_year": "%y", "day_of_year": "%j", "weeks": "%U/%W/%V", "weekdays": "%w %u %a %A", "iso_year": "%G-W%V",
+        "clock": "%H:%M:%S", "halves": "%I o'clock %p", "names": "%d %b (%B)", "percent": "100%% of %Y", "seconds": "%s", "long": "%F %T %R %D",
+    }
+    chosen = ", ".join(f'strftime("{text}", Order_Date) AS {name}' for name, text in codes.items())
+    return relation.run_query(spark, f"SELECT Order_ID, {chosen} FROM f22_orders", "f22_orders")
+
+
 @query("f23_round")
 def f23(spark, folder):
     relation.publish(order_lines(spark, folder, ["Order_ID", "Sales"]))

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.ranks import exact_quantiles
 from ..session import cut_lineage
+from .duplicates import COPIES, distinct_rows
 
 
 def _quoted(names: Sequence[str]) -> list[str]:
@@ -57,10 +58,12 @@ def columns_with_missing(df: DataFrame) -> DataFrame:
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """Number of rows beyond the first of each group of identical rows.
 
-    One grouping of whole rows: the table is read once, and copies meet on the map side before the shuffle.
+    Rows that are the only ones of their kind add nothing, so they are not even counted.
     """
-    groups = df.groupBy(*_quoted(df.columns)).agg(F.count("*").alias("_copies"))
-    return groups.agg(F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).cast("long").alias("duplicate_rows"))
+    if not df.columns:
+        return df.groupBy().agg(F.greatest(F.count("*") - 1, F.lit(0)).cast("long").alias("duplicate_rows"))
+    groups = distinct_rows(df).where(F.col(COPIES) > 1)
+    return groups.agg(F.coalesce(F.sum(F.col(COPIES) - 1), F.lit(0)).cast("long").alias("duplicate_rows"))
 
 
 def numeric_columns(df: DataFrame) -> list[str]:

@@ -12,7 +12,7 @@ from ..functions.money import ratio
 from ..operators import customers as cust
 from ..operators import forecasting as fc
 from ..operators import insights, products, profiling, sales
-from ..operators.cleaning import DATE_FORMATS, audit_of_counted, clean_of_counted, counted_rows
+from ..operators.cleaning import audit_of_counted, clean_of_counted, counted_rows
 from ..operators.features import engineer_features
 from ..schema import CUSTOMER
 from ..session import cut_lineage
@@ -157,7 +157,7 @@ def run_all(
     processed_path: str,
     report_path: str | None = None,
     forest: bool = True,
-    date_formats: Sequence[str] = DATE_FORMATS,
+    date_formats: Sequence[str] | None = None,
     relation: str = RELATION,
 ) -> RunResult:
     """Raw table to report.

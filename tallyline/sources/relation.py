@@ -4,21 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-RELATION = "orders"
-
-# SQL written with strftime keeps running: its date codes are turned into Spark's.
-_STRFTIME = """
-CREATE OR REPLACE TEMPORARY FUNCTION strftime(codes STRING, moment TIMESTAMP_NTZ) RETURNS STRING
-RETURN date_format(moment,
-    replace(replace(replace(replace(replace(replace(codes,
-        '%Y', 'yyyy'), '%m', 'MM'), '%d', 'dd'), '%H', 'HH'), '%M', 'mm'), '%S', 'ss'))
-"""
+from . import strftime
 
+RELATION = "orders"
 
 def publish(df: DataFrame, name: str = RELATION) -> DataFrame:
     """Make ``df`` the relation ``name``, replacing an older one, and return it as that relation."""
     df.createOrReplaceTempView(name)
-    df.sparkSession.sql(_STRFTIME)
+    strftime.register(df.sparkSession)
     return df.sparkSession.table(name)
 
 
@@ -32,7 +25,7 @@ def publish_table(df: DataFrame, name: str = RELATION, buckets: int | None = Non
     if buckets:
         writer = writer.bucketBy(buckets, "Order_ID").sortBy("Order_ID")
     writer.saveAsTable(name)
-    df.sparkSession.sql(_STRFTIME)
+    strftime.register(df.sparkSession)
     return df.sparkSession.table(name)
 
 

@@ -172,3 +172,35 @@ def test_copies_of_half_the_table(spark):
     assert duplicate_rows(rows).first()[0] == 500
     assert cleaning.cleaning_audit(rows).first()["dropped_duplicates"] == 500
     assert cleaning.clean_orders(rows).count() == 500
+
+
+def test_offsets_and_halves_of_the_day(spark):
+    texts = {
+        "2024-05-06T07:08:09+02:00": "2024-05-06 05:08:09",
+        "2024-05-06 07:08:09-0530": "2024-05-06 12:38:09",
+        "2024-05-06T07:08:09Z": "2024-05-06 07:08:09",
+        "05/06/2024 7:08 PM": "2024-05-06 19:08:00",
+        "5/6/2024 12:08 am": "2024-05-06 00:08:00",
+        "5/6/2024 12:08:09 PM": "2024-05-06 12:08:09",
+        "5/6/2024 13:08 PM": None,
+        "8 November 2016 07:08": "2016-11-08 07:08:00",
+        "november 8, 2016 7 pm": "2016-11-08 19:00:00",
+        "2024/5/6 7:08:09": "2024-05-06 07:08:09",
+        "20240506 23:59": "2024-05-06 23:59:00",
+        "1-12-1995 15:39:28": "1995-01-12 15:39:28",
+        "Foo 8, 2016": None,
+        "13/13/2024": None,
+        "5/6/24": None,
+        "//": None,
+        "": None,
+        "2024-02-30": None,
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "Order_Date string").withColumn("text", F.col("Order_Date"))
+    got = {r["text"]: r["Order_Date"] and str(r["Order_Date"]) for r in cleaning.parse_dates(df).collect()}
+    assert got == texts
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        again = {r["text"]: r["Order_Date"] and str(r["Order_Date"]) for r in cleaning.parse_dates(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert again == texts
