@@ -188,6 +188,7 @@ def test_offsets_and_halves_of_the_day(spark):
         "2024/5/6 7:08:09": "2024-05-06 07:08:09",
         "20240506 23:59": "2024-05-06 23:59:00",
         "1-12-1995 15:39:28": "1995-01-12 15:39:28",
+        "June 2, 1995 5:05:27 AM": "1995-06-02 05:05:27",
         "Foo 8, 2016": None,
         "13/13/2024": None,
         "5/6/24": None,
