@@ -15,7 +15,6 @@ rows and ties need no rule, an empty table stays empty, and an input column name
 
 from __future__ import annotations
 
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -24,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tallyline.llm.common import Memo, add_columns, blocks, list_array, pieces, ranks, vocabulary
+from tallyline.llm.common import Memo, add_columns, blocks, held, list_array, pieces, ranks, vocabulary
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Bounds of a worker's memory: states of the machine, and pieces whose ids are remembered (about a kilobyte each and a
@@ -210,9 +209,8 @@ class Utf8Stream:
         return left.decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
 def transducer(path: str, most_states: int = MOST_STATES, most_pieces: int = MOST_PIECES) -> Transducer:
-    return Transducer(ranks(path), most_states, most_pieces)
+    return held("bpe", (path, most_states, most_pieces), lambda: Transducer(ranks(path), most_states, most_pieces))
 
 
 class Bytes:
@@ -234,9 +232,8 @@ class Bytes:
         return self.all[np.repeat(shift, lengths) + np.arange(int(lengths.sum()))].tobytes()
 
 
-@lru_cache(maxsize=2)
 def token_bytes(path: str) -> Bytes:
-    return Bytes(ranks(path))
+    return held("bpe", (path,), lambda: Bytes(ranks(path)))
 
 
 def decode_ids(tokens: Bytes, ids: np.ndarray, chunk: int = 4096) -> str:

@@ -68,8 +68,10 @@ def add_columns(
         for batch in batches:
             for part in slices(batch, column):
                 gc.disable()  # the workers' tables hold many objects and no cycles
-                made = make(part)
-                gc.enable()
+                try:
+                    made = make(part)
+                finally:
+                    gc.enable()
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *made], names)
 
     return df.mapInArrow(run, schema)
@@ -169,6 +171,24 @@ def blocks(text: str) -> Iterator[str]:
 BLOCK_START = re.compile(r"(?<=[!-~]) ")
 
 
+_HELD: dict = {"by": None, "tables": {}}
+
+
+def held(by: str, key: tuple, make: Callable[[], object]) -> object:
+    """A worker's heavy tables, made once; those of one operator (``by``) at a time.
+
+    A worker process serves many stages. When it turns to another operator it drops the tables of the one before, so its
+    memory is that of the largest operator and not of all.
+    """
+    if _HELD["by"] != by:
+        _HELD.update(by=by, tables={})
+        ranks.cache_clear()
+        gc.collect()  # memories refer to their owners
+    if key not in _HELD["tables"]:
+        _HELD["tables"][key] = make()
+    return _HELD["tables"][key]
+
+
 def list_array(rows: list[list[int]], kind: pa.DataType) -> pa.ListArray:
     """Rows of integers as one list column."""
     ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)

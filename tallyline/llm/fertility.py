@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -27,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyline.llm.common import Memo, add_columns, ranks, vocabulary, without
+from tallyline.llm.common import Memo, add_columns, held, ranks, vocabulary, without
 from tallyline.session import cut_lineage
 
 RANKS, PIECES = "byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model"
@@ -48,8 +47,11 @@ MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-@lru_cache(maxsize=2)
 def _vocabularies(ranks_path: str, pieces_path: str) -> Memo:
+    return held("fertility", (ranks_path, pieces_path), lambda: _make_vocabularies(ranks_path, pieces_path))
+
+
+def _make_vocabularies(ranks_path: str, pieces_path: str) -> Memo:
     """For a word: tokens of the byte vocabulary, ids of the piece vocabulary, and how many of those are bytes."""
     import sentencepiece
     import tiktoken

@@ -11,20 +11,25 @@ Only components are wanted, so a bucket's pairs are never all made:
 2. Each class is compared with the smallest one of each of its buckets.
 3. In buckets that still hold several components, each class is compared with two others drawn for the bucket, if
    their components differ.
-4. In buckets that still hold several components, all classes outside the bucket's largest component are compared
-   with all classes of other components. This is the exact rest: nothing is capped.
+4. Classes of buckets that still hold several components are the rest. They are compared by their rarest shingles: two
+   sets of given sizes reach the threshold only if they share one of their first shingles in a common order, early
+   enough in both. So only such pairs are made, which copies that are similar, but all below the threshold, do not have: their first
+   shingles are their own. Shingles of one component only are left out, and of the others the classes
+   outside the shingle's largest component are compared with the rest. This is exact: nothing is capped.
 
 A pair at the threshold shares no band with a probability of 6e-5; an estimate has a standard deviation of 0.03,
 and the filter leaves a margin of 0.13.
 
 Nulls and texts without words have no shingles, are linked with nothing and kept. Rows without an id are linked
-with nothing, and kept; rows that share an id are one document. An empty table gives an empty result. Only the id and
+with nothing, and kept. Rows that share an id are judged each by its own text, which ``text_hash`` tells apart; texts
+whose smallest id is the same are linked by it. An empty table gives an empty result. Only the id and
 text columns are read, so other columns can't clash.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from functools import lru_cache, reduce
 
 import numpy as np
@@ -34,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyline.llm.common import Memo, add_columns, worker_path
+from tallyline.llm.common import Memo, add_columns, held, worker_path
 from tallyline.session import cut_lineage
 
 HASHES, ROWS, BITS = 192, 6, 4
@@ -43,7 +48,10 @@ BANDS, PER_LONG = HASHES // ROWS, 64 // BITS
 MARGIN = 0.13
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_WORDS = Memo(xxhash.xxh3_64_intdigest, 40_000)
+#: Hashes of words that a worker remembers.
+MOST_WORDS = 40_000
+#: Cells of the sketch of shingle frequencies, and the step between size classes, in the exact rest.
+CELLS, CLASS_STEP = 1 << 18, 1.03
 
 
 def words(text: str | None) -> list[bytes]:
@@ -65,7 +73,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def hashed_shingles(found: list[bytes], size: int) -> np.ndarray:
     """Distinct 64-bit values of the shingles."""
-    h = np.fromiter(map(_WORDS.__getitem__, found), np.uint64, len(found))
+    known = held("minhash", ("words",), lambda: Memo(xxhash.xxh3_64_intdigest, MOST_WORDS))
+    h = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
     n = max(1, len(h) - size + 1)
     out = np.full(n, min(size, len(h)), np.uint64)
     for i in range(min(size, len(h))):
@@ -184,6 +193,104 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def _least_common(a: np.ndarray | int, b: np.ndarray | int, percent: int) -> np.ndarray | int:
+    """How many shingles sets of these sizes have to share."""
+    return -(-percent * (a + b) // (100 + percent))
+
+
+def shingle_counts(texts: DataFrame, size: int) -> np.ndarray:
+    """How often shingles occur in the documents, by cells of their hashes: a sketch of fixed size."""
+    worker_path(texts)
+
+    def run(batches):
+        counts = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for text in batch.column("text"):
+                found = words(text.as_py())
+                if found:
+                    counts += np.bincount((hashed_shingles(found, size) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
+        used = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(counts[used], pa.int64())], ["cell", "n"])
+
+    # At most ``CELLS`` rows.
+    rows = texts.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    counts = np.zeros(CELLS, np.int64)
+    for cell, n in rows:
+        counts[cell] = n
+    return counts
+
+
+def first_shingles(texts: DataFrame, counts: np.ndarray, size: int, percent: int) -> DataFrame:
+    """The shingles by which documents (``id``, ``text``, ``component``) can meet, rarest first.
+
+    shingle, class (of sizes), asks (this row looks for smaller or equal sets; else it is found by them), id, component, n (shingles), place.
+    """
+    worker_path(texts)
+    width = math.log(CLASS_STEP)
+
+    def class_of(n: int) -> int:
+        return int(math.log(n) / width + 1e-9)
+
+    def of(n: int) -> tuple[list[np.ndarray], list[int], list[bool]]:
+        # Found by sets of the same size or larger ones: least of all by its own size.
+        places, classes, asks = [np.arange(n - _least_common(n, n, percent) + 1)], [class_of(n)], [False]
+        least = -(-percent * n // 100)
+        for c in range(class_of(least), class_of(n) + 1):
+            low = max(least, math.ceil(CLASS_STEP**c - 1e-6) - 1)
+            places.append(np.arange(max(0, n - _least_common(n, low, percent) + 1)))
+            classes.append(c)
+            asks.append(True)
+        return places, classes, asks
+
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, 64):
+                part = batch.slice(start, 64)
+                made = []
+                for id_, component, text in zip(part.column("id").to_pylist(), part.column("component").to_pylist(), part.column("text")):
+                    hashed = hashed_shingles(words(text.as_py()), size)
+                    n = len(hashed)
+                    ordered = hashed[np.lexsort((hashed, counts[(hashed % np.uint64(CELLS)).astype(np.int64)]))].view(np.int64)
+                    places, classes, asks = of(n)
+                    sizes = [len(p) for p in places]
+                    at = np.concatenate(places)
+                    every = len(at)
+                    made.append((ordered[at], np.repeat(classes, sizes), np.repeat(asks, sizes), np.full(every, id_), np.full(every, component), np.full(every, n), at))
+                columns = [np.concatenate(c) for c in zip(*made)]
+                kinds = [pa.int64(), pa.int64(), pa.bool_(), *[pa.int64()] * 4]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
+    names = ["shingle", "class", "asks", "id", "component", "n", "place"]
+    return texts.select("id", "component", "text").mapInArrow(
+        run, "shingle long, class long, asks boolean, id long, component long, n long, place long"
+    )
+
+
+def meeting(rest: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of documents (``id``, ``component``, ``text``) of different components that may reach ``percent``."""
+    rows = first_shingles(rest, shingle_counts(rest, size), size, percent)
+    key = ["shingle", "class"]
+    sizes = rows.groupBy(*key, "component").agg(F.count("*").alias("size"), F.max("asks").alias("asked"), F.min("asks").alias("all_ask"))
+    mixed = (
+        sizes.groupBy(*key)
+        .agg(F.max(F.struct("size", "component"))["component"].alias("largest"), F.count("*").alias("parts"), F.max("asked").alias("asked"), F.min("all_ask").alias("all_ask"))
+        .where("parts > 1 AND asked AND NOT all_ask")
+        .drop("parts", "asked", "all_ask")
+    )
+    shared = cut_lineage(rows.join(mixed, key))
+    some = shared.where("component <> largest").select(*key, *(F.col(c).alias(f"its_{c}") for c in ("asks", "id", "component", "n", "place")))
+    larger, smaller = (F.when(F.col("asks"), F.col(x)).otherwise(F.col(y)) for x, y in (("n", "its_n"), ("its_n", "n")))
+    left = F.least(F.col("n") - F.col("place"), F.col("its_n") - F.col("its_place"))
+    enough = (100 + percent) * left >= percent * (F.col("n") + F.col("its_n"))
+    return (
+        some.join(shared, key)
+        .where((F.col("asks") != F.col("its_asks")) & (F.col("component") != F.col("its_component")) & (larger >= smaller) & enough)
+        .where("component = largest OR asks")
+        .select(F.least("its_id", "id").alias("a"), F.greatest("its_id", "id").alias("b"))
+        .distinct()
+    )
+
+
 def components(links: DataFrame) -> DataFrame:
     """The smallest vertex that each vertex of the links (a, b) reaches: (id, component), for linked vertices.
 
@@ -225,9 +332,9 @@ def _labelled(members: DataFrame, links: DataFrame | None) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """One row per document: ``id``, ``n_shingles``, ``component_id`` and ``kept`` (it is its component's smallest id)."""
+    """One row per document: ``id``, ``n_shingles``, ``component_id``, ``kept`` (it is its component's smallest id), ``text_hash``."""
     docs = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    signed = cut_lineage(signatures(docs, "text", size).drop("text"))
+    signed = cut_lineage(signatures(docs, "text", size).withColumn("text_hash", F.md5(F.coalesce("text", F.lit("")))).drop("text"))
     classes = cut_lineage(
         signed.where("id IS NOT NULL AND n_shingles > 0")
         .groupBy("sequence")
@@ -276,30 +383,20 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
     )
     links = cut_lineage(links.unionByName(confirmed(likely(second.join(first, ["a", "b"], "left_anti")), texts, size, percent)))
 
-    left = cut_lineage(divided(links).where("n > 2 AND id <> hub"))
-    sizes = left.groupBy("key", "component").agg(F.count("*").alias("size"))
-    largest = sizes.groupBy("key").agg(F.max(F.struct("size", "component"))["component"].alias("largest"), F.count("*").alias("parts"))
-    left = left.join(largest.where("parts > 1").drop("parts"), "key").join(sigs, "id")
-    some = left.where("component <> largest").select(
-        "key", F.col("id").alias("id_a"), F.col("component").alias("component_a"), F.col("sig").alias("sig_a")
-    )
-    third = (
-        some.join(left, "key")
-        .where("component_a <> component AND (component = largest OR id_a < id)")
-        .where(estimate(F.col("sig_a"), F.col("sig")) >= least)
-        .select(F.least("id_a", "id").alias("a"), F.greatest("id_a", "id").alias("b"))
-        .distinct()
-    )
-    links = cut_lineage(links.unionByName(confirmed(third, texts, size, percent)))
+    rest = divided(links).where("n > 2").select("id", "component").distinct()
+    rest = cut_lineage(rest.join(texts, "id"))
+    links = cut_lineage(links.unionByName(confirmed(likely(meeting(rest, size, percent)), texts, size, percent)))
 
     of_class = _labelled(classes.select("sequence", "id"), links).select("sequence", F.col("component").alias("component_id"))
     return (
-        signed.select("id", "n_shingles", "sequence")
+        signed.select("id", "n_shingles", "sequence", "text_hash")
         .join(of_class, "sequence", "left")
         .select(
             F.col("id").alias("doc_id"),
             "n_shingles",
             F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"),
+            "text_hash",
         )
         .withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
+        .select("doc_id", "n_shingles", "component_id", "kept", "text_hash")
     )

@@ -132,7 +132,7 @@ def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 def op10_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's component of documents with similar sets of two-word shingles."""
-    return minhash.near_duplicates(_table(spark, folder, "documents"), size=2, percent=80)
+    return minhash.near_duplicates(_table(spark, folder, "documents"), size=2, percent=80).drop("text_hash")
 
 
 def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:

@@ -92,3 +92,59 @@ def test_awkward_rows(spark):
     assert by_id[None]["component_id"] is None and by_id[None]["kept"]
     assert by_id[8]["n_shingles"] == 1
     assert minhash.near_duplicates(documents(spark, [])).count() == 0
+
+
+def near_miss_group(n, words=120, own=18):
+    """Copies that differ from each other in their own words: similar, but all below the threshold."""
+    draw = random.Random(11)
+    base = [f"w{i}" for i in range(words)]
+    rows = []
+    for i in range(n):
+        text = list(base)
+        for at in draw.sample(range(words // own), own // 3):
+            text[at * own : at * own + 1] = [f"own{i}x{at}"]
+        for at in draw.sample(range(words), 3):
+            text[at] = f"own{i}y{at}"
+        rows.append((i, " ".join(text)))
+    return rows
+
+
+def test_a_group_of_near_misses_makes_few_pairs(spark):
+    made = {}
+    for n in (100, 200):
+        docs = spark.createDataFrame(near_miss_group(n), "id long, text string").withColumn("component", F.col("id"))
+        pairs = {tuple(r) for r in minhash.meeting(docs, 2, 80).collect()}
+        texts = {r["id"]: minhash.shingles(minhash.words(r["text"]), 2) for r in docs.collect()}
+        linked = {(a, b) for a in texts for b in texts if a < b and 100 * len(texts[a] & texts[b]) >= 80 * len(texts[a] | texts[b])}
+        assert linked <= pairs
+        made[n] = len(pairs) - len(linked)
+    assert made[200] <= 4 * 200
+
+
+def test_meeting_is_complete(spark):
+    draw = random.Random(12)
+    stock = [f"s{i}" for i in range(60)]
+    bases = [[draw.choice(stock) for _ in range(draw.randint(3, 60))] for _ in range(12)]
+    rows = []
+    for i in range(160):
+        text = list(draw.choice(bases))
+        for _ in range(draw.randint(0, 4)):
+            text[draw.randrange(len(text))] = draw.choice([*stock, f"own{i}"])
+        rows.append((i, " ".join(text[: draw.randint(max(1, len(text) - 4), len(text))]), i % 7 if i % 3 else i + 100))
+    docs = spark.createDataFrame(rows, "id long, text string, component long")
+    pairs = {tuple(r) for r in minhash.meeting(docs, 2, 80).collect()}
+    sets = {i: (minhash.shingles(minhash.words(t), 2), c) for i, t, c in rows}
+    linked = {
+        (a, b)
+        for a in sets
+        for b in sets
+        if a < b and sets[a][1] != sets[b][1] and 100 * len(sets[a][0] & sets[b][0]) >= 80 * len(sets[a][0] | sets[b][0])
+    }
+    assert linked and linked <= pairs
+
+
+def test_repeated_ids_are_judged_by_their_texts(spark):
+    text = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(1, text), (1, text), (2, text), (2, "another text of a few words only here")], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs, size=2).collect())
+    assert got == [(1, 1, True), (1, 1, True), (2, 1, False), (2, 2, True)]

@@ -77,3 +77,14 @@ def test_decisions_take_effect(spark, folder):
     text = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.secret_scan(spark, docs, folder).collect()}
     assert text[4][0].endswith(" [SECRET]") and text[4][1] == len(text[4][0]) and text[2] == (good, 1)
     assert decontaminate.WINDOW == 13 and minhash.MARGIN > 4 * 0.03
+
+
+def test_repeated_ids_keep_one_copy_and_the_other_text(spark):
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, text), (1, text), (2, text), (2, "quite another text with words of its own"), (None, text)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_shingles", F.lit("mine"))
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert got.columns == ["doc_id", "text", "n_shingles"]
+    assert sorted((str(r["doc_id"]), r["text"]) for r in got.collect()) == sorted(
+        [("1", text), ("2", "quite another text with words of its own"), ("None", text)]
+    )
