@@ -5,7 +5,8 @@ next stage's ``docs``. All but the last return the columns of ``documents``.
 
 An empty table passes every stage. Further columns of ``docs`` pass through all stages, also those named like an
 operator's own result, which is computed under another name or left out. Nulls: a document without text fails the
-quality rules; rows without an id are never near duplicates; rows that share an id are one document.
+quality rules; rows without an id are never near duplicates. Rows that share an id are judged each by its own text; of
+rows that share id and text one stays.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyline.llm import bpe, decontaminate, fertility, minhash, secrets
-from tallyline.session import shared_folder
+from tallyline.session import cut_lineage, shared_folder
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -36,8 +37,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of similar documents (five-word shingles, similarity 0.8)."""
-    dropped = minhash.near_duplicates(docs, size=5, percent=80).where("NOT kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    key = ["doc_id", "_text_hash"]
+    found = cut_lineage(minhash.near_duplicates(docs, size=5, percent=80).withColumnRenamed("text_hash", key[1]))
+    dropped = found.where("NOT kept").select(*key).distinct()
+    left = docs.withColumn(key[1], F.md5(F.coalesce("text", F.lit("")))).join(dropped, key, "left_anti")
+    # Whole repeated rows of what is kept: one of each.
+    repeated = found.where("kept AND n_shingles > 0").groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    if not repeated.isEmpty():
+        once = left.join(repeated, key, "left_semi").dropDuplicates(key)
+        left = left.join(repeated, key, "left_anti").unionByName(once)
+    return left.select(*[f"`{c}`" for c in docs.columns])
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
