@@ -53,6 +53,13 @@ def null_keys(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     )
 
 
+def missing_measures(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """Lines of which some have no sales, some no profit, and so no margin."""
+    df = order_lines(spark, folder, list(dict.fromkeys(("Order_ID", "Sales", "Profit", *columns))))
+    key = F.col("Order_ID")
+    return _featured(df.withColumns({"Sales": F.when(key % 11 != 0, F.col("Sales")), "Profit": F.when(key % 7 != 0, F.col("Profit"))}))
+
+
 def dirty_orders(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
     """Every line as text under its raw name, with defects on fixed remainders of the order number.
 

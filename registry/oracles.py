@@ -193,6 +193,11 @@ SELECT {keys}Discount_Bin, avg(Profit_Margin) AS Avg_Profit_Margin,
 FROM {source} WHERE Discount_Bin IS NOT NULL GROUP BY {keys}Discount_Bin"""
 
 
+_PARTS["lacking"] = """
+SELECT * REPLACE (CASE WHEN Order_ID % 11 <> 0 THEN Sales END AS Sales, CASE WHEN Order_ID % 7 <> 0 THEN Profit END AS Profit,
+                  CASE WHEN Order_ID % 11 <> 0 AND Order_ID % 7 <> 0 THEN Profit_Margin END AS Profit_Margin)
+FROM f"""
+_PARTS["lacking_bands"] = _PARTS["bands"].replace("FROM f", "FROM lacking")
 _PARTS["disc"] = _band_result("bands")
 _PARTS["stress_disc"] = _band_result("stress_bands")
 _PARTS["disc_state"] = _band_result("bands", "State, ")
@@ -472,6 +477,16 @@ _RFM_OUT = """Customer_ID, Customer_Name, Segment, Recency, Frequency, Monetary,
 _SCORED = "SELECT *, R_Score + F_Score + M_Score AS RFM_Score FROM tied_scores"
 _BANDED = "round(Avg_Profit_Margin, 6) + 0 AS Avg_Profit_Margin"
 _FILTER = "Year IN (1996, 1998) AND Region IN ('ASIA', 'EUROPE') AND Segment = 'FURNITURE'"
+_SELECTIONS = {
+    "all": "true",
+    "years": "Year IN (1996, 1998)",
+    "place_and_segment": _FILTER,
+    "categories": "Category IN ('PROMO', 'ECONOMY') AND Region IN ('ASIA', 'AFRICA', 'AMERICA')",
+    "nothing": "Region IN ('NOWHERE')",
+}
+_NO_ORDERS = "CAST(NULL AS BIGINT)"
+_CUBE_GROUPS = {"Year": _O, "Category": _O, "Region": _O}
+_CUBE_GROUPS |= {key: _NO_ORDERS for key in ("Year_Month", "Year_Quarter", "Sub_Category", "State")}
 _FACET = """SELECT 'Year' AS facet, CAST(Year AS VARCHAR) AS value FROM f UNION SELECT 'Region', Region FROM f
 UNION SELECT 'Category', Category FROM f UNION SELECT 'Segment', Segment FROM f"""
 _SUB_TABLE = """SELECT Category, Sub_Category, Sales, Profit, round(Profit_Margin * 100, 1) + 0 AS "Margin_%", Quantity FROM sub"""
@@ -596,6 +611,11 @@ SELECT 'Ship_Date', strftime(min(Ship_Date), {_STAMP}), strftime(max(Ship_Date),
     "p9_distinct_values": """
 SELECT 'Category' AS column_name, Category AS value FROM f UNION SELECT 'Sub_Category', Sub_Category FROM f
 UNION SELECT 'Segment', Segment FROM f UNION SELECT 'Region', Region FROM f UNION SELECT 'Ship_Mode', Ship_Mode FROM f""",
+    "p6_describe_sketched": """
+SELECT metric, count(*) AS n, round(avg(x), 4) AS mean, min(x) AS min, max(x) AS max, true AS within_bound
+FROM (UNPIVOT (SELECT CAST(Sales AS DOUBLE) AS Sales, CAST(Quantity AS DOUBLE) AS Quantity, CAST(Profit AS DOUBLE) AS Profit FROM f)
+      ON Sales, Quantity, Profit INTO NAME metric VALUE x)
+GROUP BY metric""",
     "p10_describe_rounded": f"""
 SELECT metric, n, mean, std, round(min, 2) AS min, p25, p50, p75, round(max, 2) AS max
 FROM ({_describe(("Sales", "Quantity", "Discount", "Profit"), "f", 2)})""",
@@ -607,6 +627,20 @@ FROM ({_describe(("Sales", "Quantity", "Discount", "Profit"), "f", 2)})""",
     "w1_empty_selection": f"SELECT {_KPIS} FROM f",
     "w2_facets": _FACET,
     "w3_selected_rows": f"SELECT count(*) AS selected FROM f WHERE {_FILTER}",
+    "w1_cube_kpis": " UNION ALL ".join(
+        # Nothing sums to zero.
+        f"""SELECT * REPLACE (coalesce(total_sales, 0) AS total_sales, coalesce(total_profit, 0) AS total_profit)
+FROM (SELECT '{name}' AS selection, {_KPIS} FROM f WHERE {chosen})"""
+        for name, chosen in _SELECTIONS.items()
+    ),
+    "w1_cube_groups": " UNION ALL ".join(
+        f"""
+SELECT '{name}' AS selection, '{key}' AS grouping, CAST({key} AS VARCHAR) AS value, CAST(sum(Sales) AS DOUBLE) AS Sales,
+       CAST(sum(Profit) AS DOUBLE) AS Profit, {orders} AS Orders
+FROM f WHERE {chosen} GROUP BY {key}"""
+        for name, chosen in _SELECTIONS.items()
+        for key, orders in _CUBE_GROUPS.items()
+    ),
     "w4_empty_guard": """
 SELECT 'nowhere' AS selection, count(*) = 0 AS is_empty, count(*) AS selected FROM f WHERE Region = 'NOWHERE'
 UNION ALL SELECT 'asia', count(*) = 0, count(*) FROM f WHERE Region = 'ASIA'""",
@@ -655,6 +689,12 @@ FROM f GROUP BY State""",
     ),
     "a11_discounts_from_sets": f"SELECT * REPLACE ({_BANDED}) FROM disc",
     "a11_subcategories_from_sets": "SELECT *, Profit < 0 AS Is_Loss FROM sub",
+    "a11_discounts_missing_measures": f"""
+SELECT * REPLACE ({_BANDED})
+FROM (SELECT Discount_Bin, avg(Profit_Margin) AS Avg_Profit_Margin, CAST(sum(Profit) AS DOUBLE) / count(Profit) AS Avg_Profit,
+             CAST(sum(Sales) AS DOUBLE) / count(Sales) AS Avg_Sales, count(Sales) AS "Count"
+      FROM lacking_bands WHERE Discount_Bin IS NOT NULL GROUP BY Discount_Bin)
+CROSS JOIN (SELECT unnest(['lines', 'sets']) AS way)""",
     # SQL catalogue
     **_CATALOGUE,
     "q3_regional_performance_null_keys": f"""

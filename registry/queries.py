@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyline.functions import labels, text
-from tallyline.operators import cleaning, customers, features, filters, insights, products, profiling, sales
+from tallyline.operators import cleaning, cube, customers, features, filters, insights, products, profiling, sales
 from tallyline.operators import forecasting as fc
 from tallyline.plans import jobs
 from tallyline.plans.catalogue import BUSINESS_QUERIES, run_all_business_queries
@@ -24,6 +24,7 @@ from .inputs import (
     discount_stress,
     labelled_documents,
     lines,
+    missing_measures,
     null_keys,
     scratch_path,
     written_dates,
@@ -383,6 +384,24 @@ def p6(spark, folder):
     return _rounded(profiling.describe_numeric(df), 4, "mean", "std", "p25", "p50", "p75")
 
 
+@query("p6_describe_sketched")
+def p6_sketched(spark, folder):
+    """The rest is exact; the sketched quartiles' ranks among all values lie within the stated error."""
+    df = cut_lineage(order_lines(spark, folder, ["Sales", "Quantity", "Profit"]))
+    found = profiling.describe_numeric(df, sketch=profiling.SKETCH_K)
+    long = df.select([F.col(c).cast("double").alias(c) for c in df.columns]).unpivot([], df.columns, "metric", "x")
+    quartiles = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
+    # A value that occurs often covers a span of ranks.
+    upto = [F.count(F.when(F.col("x") <= F.col(q), 1)) for q in quartiles]
+    below = [F.count(F.when(F.col("x") < F.col(q), 1)) for q in quartiles]
+    near = F.lit(True)
+    error = profiling.rank_error(profiling.SKETCH_K)
+    for p, low, high in zip(quartiles.values(), below, upto, strict=True):
+        near = near & (low <= (p + error) * F.count("x")) & (high >= (p - error) * F.count("x"))
+    checked = long.join(found, "metric").groupBy("metric", "n", "mean", "min", "max").agg(near.alias("within_bound"))
+    return _rounded(checked, 4, "mean")
+
+
 @query("p7_columns_with_missing")
 def p7(spark, folder):
     return profiling.columns_with_missing(labelled_documents(spark, folder))
@@ -433,6 +452,40 @@ def w1_all(spark, folder):
     return sales.sales_summary(filters.filter_orders(lines(spark, folder, *_FACETS)))
 
 
+_SELECTIONS = {
+    "all": {},
+    "years": {"years": [1996, 1998]},
+    "place_and_segment": {"years": [1996, 1998], "regions": ["ASIA", "EUROPE"], "segments": ["FURNITURE"]},
+    "categories": {"categories": ["PROMO", "ECONOMY"], "regions": ["ASIA", "AFRICA", "AMERICA"]},
+    "nothing": {"regions": ["NOWHERE"]},
+}
+
+
+@query("w1_cube_kpis")
+def w1_cube(spark, folder):
+    """Headline figures of several selections, all from one cube."""
+    whole = cube.selection_cube(lines(spark, folder, *_EDA, "Segment"))
+    parts = [whole.select(**chosen).summary().withColumn("selection", F.lit(name)) for name, chosen in _SELECTIONS.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("w1_cube_groups")
+def w1_cube_groups(spark, folder):
+    """The groupings of several selections, all from one cube."""
+    whole = cube.selection_cube(lines(spark, folder, *_EDA, "Segment"))
+    parts = []
+    for name, chosen in _SELECTIONS.items():
+        part = whole.select(**chosen)
+        found = {"Year": part.by_year(), "Category": part.by_category(), "Region": part.by_region()}
+        found |= {"Year_Month": part.monthly(), "Year_Quarter": part.quarterly(), "State": part.by_state()}
+        found["Sub_Category"] = part.by_subcategory().groupBy("Sub_Category").agg(F.sum("Sales").alias("Sales"), F.sum("Profit").alias("Profit"))
+        for key, df in found.items():
+            orders = F.col("Orders") if "Orders" in df.columns else F.lit(None).cast("long")
+            shown = (F.col(key).cast("string").alias("value"), "Sales", "Profit", orders.alias("Orders"))
+            parts.append(df.select(F.lit(name).alias("selection"), F.lit(key).alias("grouping"), *shown))
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query("w2_facets")
 def w2(spark, folder):
     return filters.facet_values(lines(spark, folder, "Order_Date", "Region", "Category", "Segment"))
@@ -545,6 +598,15 @@ def a11_discounts(spark, folder):
     return _rounded(jobs.run_all_eda(lines(spark, folder, *_EDA))["discount_profit"], 6, "Avg_Profit_Margin")
 
 
+@query("a11_discounts_missing_measures")
+def a11_missing(spark, folder):
+    """Both ways to the band averages, on lines of which some lack a measure."""
+    df = missing_measures(spark, folder, *_EDA)
+    ways = {"lines": sales.discount_profit_analysis(df), "sets": jobs.run_all_eda(df)["discount_profit"]}
+    shown = [_rounded(found, 6, "Avg_Profit_Margin").withColumn("way", F.lit(way)) for way, found in ways.items()]
+    return shown[0].unionByName(shown[1])
+
+
 # --- SQL catalogue -------------------------------------------------------------------------------
 
 # Report names; with the columns each reads.

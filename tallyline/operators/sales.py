@@ -73,13 +73,14 @@ def _totals(
 def grouped_sets(df: DataFrame, sets: dict[str, Sequence[str]]) -> dict[str, DataFrame]:
     """Sums per group for several sets of keys, from one pass over the lines and one shuffle of their partial sums.
 
-    Each result has its keys, Sales, Profit, ``lines`` (their number), and Quantity, the mean Profit_Margin and the
-    last Order_Date where the lines have them. Sums of these sums are sums of the lines, and an order is one row in
+    Each result has its keys, Sales, Profit, ``lines`` (their number), ``with_Sales`` and ``with_Profit`` (the number of
+    lines that have the measure), and Quantity, the mean Profit_Margin and the last Order_Date where the lines have them. Sums of these sums are sums of the lines, and an order is one row in
     a set with Order_ID, so further results can start here.
     """
     columns = list(dict.fromkeys(c for keys in sets.values() for c in keys))
     measures = [total(exact(df, c)).alias(c) for c in ("Sales", "Profit", "Quantity") if c in df.columns]
     measures.append(F.count("*").alias("lines"))
+    measures += [F.count(c).alias(f"with_{c}") for c in ("Sales", "Profit")]
     if "Profit_Margin" in df.columns:
         measures.append(F.avg("Profit_Margin").alias("Profit_Margin"))
     if "Order_Date" in df.columns:
@@ -180,8 +181,8 @@ def discounts_of_sums(bands: DataFrame) -> DataFrame:
         .select(
             "Discount_Bin",
             F.col("Profit_Margin").alias("Avg_Profit_Margin"),
-            ratio("Profit", "lines").alias("Avg_Profit"),
-            ratio("Sales", "lines").alias("Avg_Sales"),
-            F.col("lines").alias("Count"),
+            ratio("Profit", "with_Profit").alias("Avg_Profit"),
+            ratio("Sales", "with_Sales").alias("Avg_Sales"),
+            F.col("with_Sales").alias("Count"),
         )
     )
