@@ -34,6 +34,8 @@ MIN_BYTES = 1000
 #: Records of one archive before compression; a larger record makes a larger archive.
 ARCHIVE_BYTES = 12 << 20
 DICTIONARY_BYTES, SAMPLE_BYTES = 64 << 10, 4 << 20
+# Bytes unpacked at a time, and bytes of archives that a reading task takes.
+READ_BYTES, TASK_BYTES = 16 << 10, 64 << 20
 #: The magic number of a skippable frame that holds a dictionary.
 DICTIONARY_FRAME = 0x184D2A5D
 DATE = "2000-01-01T00:00:00Z"
@@ -107,8 +109,8 @@ def parse(record: bytes) -> tuple[dict[str, str], bytes]:
     return headers, block.partition(b"\r\n\r\n")[2]
 
 
-def dictionary(records: list[bytes]) -> zstandard.ZstdCompressionDict | None:
-    """A dictionary from records spread over the archive, or None where they are too few for one."""
+def dictionary(records: list[bytes]) -> zstandard.ZstdCompressionDict:
+    """A dictionary from records spread over the archive; where they are too few to train one, their own beginning."""
     total = sum(map(len, records))
     every = max(1, total // SAMPLE_BYTES)
     samples = [r[: 128 << 10] for r in records[::every]]
@@ -117,11 +119,12 @@ def dictionary(records: list[bytes]) -> zstandard.ZstdCompressionDict | None:
             min(DICTIONARY_BYTES, max(1024, sum(map(len, samples)) // 16)), samples, k=512, d=8
         )
     except zstandard.ZstdError:
-        return None
+        plain = b"".join(samples)[:DICTIONARY_BYTES]
+        return zstandard.ZstdCompressionDict(plain, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
 def archive(records: list[bytes], level: int = 3, with_dictionary: bool = True) -> Iterator[bytes]:
-    """The frames of an archive: the dictionary's, if there is one, then one per record."""
+    """The frames of an archive: the dictionary's, if it has one, then one per record."""
     found = dictionary(records) if with_dictionary else None
     if found:
         data = zstandard.ZstdCompressor(level=19).compress(found.as_bytes())
@@ -140,9 +143,16 @@ def unpack(data: bytes) -> Iterator[bytes]:
     reader = zstandard.ZstdDecompressor(dict_data=found)
     view = memoryview(data)
     while at < len(data):
-        frame = reader.decompressobj()
-        yield frame.decompress(view[at:])
-        at = len(data) - len(frame.unused_data)
+        # Bit by bit, as what follows a frame is copied.
+        frame, parts = reader.decompressobj(), []
+        while not frame.eof:
+            piece = view[at : at + READ_BYTES]
+            if not piece:
+                raise ValueError("an archive ends inside a record")
+            parts.append(frame.decompress(piece))
+            at += len(piece)
+        at -= len(frame.unused_data)
+        yield b"".join(parts)
 
 
 def _open(folder: str):
@@ -227,7 +237,17 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, _ARROW)
 
-    return manifest.repartition(F.col("archive")).mapInArrow(run, READ).select(*columns)
+    return manifest.repartition(_tasks(manifest)).mapInArrow(run, READ).select(*columns)
+
+
+def _tasks(manifest: DataFrame) -> int:
+    """How many tasks read the archives: by their bytes, and enough for all cores where there are so many archives.
+
+    A number that is asked for stays; by key, the few bytes of the manifest itself would make one task of it.
+    """
+    n, size = manifest.agg(F.count("*"), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
+    cores = manifest.sparkSession.sparkContext.defaultParallelism
+    return max(1, min(n, max(cores, -(-size // TASK_BYTES))))
 
 
 _KINDS = {"string": pa.string(), "long": pa.int64()}

@@ -59,7 +59,7 @@ def test_archives_begin_with_their_dictionary(round_trip):
     assert sum(r["n_records"] for r in found) == len(ROWS)
     data = [(folder / r["archive"]).read_bytes() for r in found]
     assert [len(d) for d in data] == [r["n_bytes"] for r in found]
-    assert any(d[:4] == struct.pack("<I", warc.DICTIONARY_FRAME) for d in data)
+    assert all(d[:4] == struct.pack("<I", warc.DICTIONARY_FRAME) for d in data)
 
 
 def test_records_are_frames_of_their_own():
@@ -78,9 +78,18 @@ def test_unmanifested_files_are_not_read(round_trip, spark):
     assert records.count() == len(ROWS)
 
 
-def test_few_records_go_without_a_dictionary():
-    record = warc.render(1, None, "x", "00" * 20, 1, None)
-    assert warc.dictionary([record]) is None and list(warc.unpack(b"".join(warc.archive([record])))) == [record]
+@pytest.mark.parametrize("payload", ["x", "long " * 100_000])
+def test_few_records_are_their_own_dictionary(payload):
+    record = warc.render(1, None, payload, "00" * 20, 1, None)
+    packed = b"".join(warc.archive([record]))
+    assert packed[:4] == struct.pack("<I", warc.DICTIONARY_FRAME)
+    assert list(warc.unpack(packed)) == [record]
+
+
+def test_a_cut_archive_is_an_error():
+    packed = b"".join(warc.archive([warc.render(i, None, f"{i}" * 500, "00" * 20, 1, None) for i in range(50)]))
+    with pytest.raises(ValueError):
+        list(warc.unpack(packed[:-3]))
 
 
 def test_empty_table(spark, tmp_path):
@@ -92,3 +101,12 @@ def test_archives_are_cut(spark, tmp_path):
     manifest = warc.write(warc.payload_records(pages(spark, ROWS).coalesce(1)), str(tmp_path), archive_bytes=20_000)
     assert manifest.count() > 3
     assert warc.read(manifest, str(tmp_path)).agg(F.count("*")).first()[0] == len(ROWS)
+
+
+def test_archives_are_read_by_several_tasks(spark, tmp_path):
+    rows = [(i, "http://x/", f"<html>{i}</html>" * 50, "mine") for i in range(400)]
+    manifest = warc.write(warc.payload_records(pages(spark, rows).coalesce(1)), str(tmp_path), archive_bytes=8_000)
+    assert manifest.count() >= 40
+    tasks = warc.read(manifest, str(tmp_path)).select(F.spark_partition_id().alias("task"), "page_id")
+    assert tasks.select("task").distinct().count() == spark.sparkContext.defaultParallelism
+    assert tasks.count() == 400
