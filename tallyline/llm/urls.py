@@ -25,10 +25,14 @@ from tallyline.session import cut_lineage
 RESULTS = ("host", "path", "rule", "verdict")
 
 
+def lower_ascii(host: Column) -> Column:
+    """A-Z in lower case; other letters stay, in hosts of URLs and of rules alike."""
+    return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def host_of(url: Column) -> Column:
     """What follows the first ``://`` up to ``/``, ``?`` or ``#``, ASCII letters in lower case."""
-    host = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1)
-    return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return lower_ascii(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1))
 
 
 def path_of(url: Column) -> Column:
@@ -55,7 +59,7 @@ def rule_stacks(rules: DataFrame) -> DataFrame:
     ``rules`` has host, path and verdict. A rule host's stack holds its own rules and those of its parent domains.
     """
     each = (
-        rules.withColumn("host", F.lower("host"))
+        rules.withColumn("host", lower_ascii(F.col("host")))
         .groupBy("host", "path")
         .agg(F.min("verdict").alias("verdict"))
         .select(host_key(F.col("host")).alias("key"), "path", F.concat("host", "path").alias("rule"), "verdict")

@@ -67,3 +67,9 @@ def test_repeated_rules_and_no_python(spark):
     assert got.first()["verdict"] == "allow"
     plan = got._jdf.queryExecution().toString()
     assert "Python" not in plan and "Cartesian" not in plan
+
+
+def test_rule_hosts_take_ascii_case_only(spark):
+    given = spark.createDataFrame([("É.COM", "/", "block"), ("é.net", "/", "block")], "host string, path string, verdict string")
+    got = urls.judge(table(spark, ["http://É.com/x", "http://é.com/x", "http://é.NET/x", "http://É.net/x"]), given).orderBy("page_id")
+    assert [(r["rule"], r["verdict"]) for r in got.collect()] == [("É.com/", "block"), (None, "allow"), ("é.net/", "block"), (None, "allow")]
