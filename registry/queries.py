@@ -98,7 +98,7 @@ def s2(spark, folder):
 def s3(spark, folder):
     path = scratch_path(spark, "saved")
     files.save_processed(lines(spark, folder, "Order_ID", "Order_Date", *_MONEY, "Quantity"), path)
-    return _plain(spark.read.parquet(path))
+    return _plain(files.load_processed(spark, path))
 
 
 @query("s4_load_processed")
