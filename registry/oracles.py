@@ -506,6 +506,17 @@ SELECT Order_ID, strftime(Order_Date, {_STAMP}) AS Order_Date, CAST(Sales AS DOU
        Profit_Margin, Sales_per_Unit, Profit_per_Unit, Is_Profitable FROM f""",
     "s4_load_processed": f"SELECT Year, {_KPIS} FROM f GROUP BY Year",
     "s5_published_rows": "SELECT count(*) AS n FROM f",
+    "s5_lookups": " UNION ALL ".join(
+        f"""
+SELECT '{name}' AS lookup, Order_ID, Customer_ID, CAST(Sales AS DOUBLE) AS Sales, CAST(Profit AS DOUBLE) AS Profit,
+       strftime(Order_Date, {_STAMP}) AS Order_Date
+FROM f WHERE {wanted}"""
+        for name, wanted in {
+            "order": "Order_ID = 7",
+            "customers": "Customer_ID IN (7, 40, 100)",
+            "day": "Order_Date = (SELECT min(Order_Date) FROM f)",
+        }.items()
+    ),
     "s6_run_query": f"SELECT Segment, Year_Month AS Period, count(*) AS n, {_S} AS Sales FROM f GROUP BY Segment, Year_Month",
     "s7_catalogue_results": _digest(
         "query", {_RESULT_NAMES[k]: (v, _MEASURES[k.split("_")[0]]) for k, v in _CATALOGUE.items()}, ", false AS failed"

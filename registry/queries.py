@@ -113,6 +113,17 @@ def s5(spark, folder):
     return relation.row_count(relation.publish(lines(spark, folder, "Order_ID")))
 
 
+@query("s5_lookups")
+def s5_lookups(spark, folder):
+    """Lines of an order, of customers and of the first day, from the clustered relation."""
+    every = lines(spark, folder, *_KPI, "Order_Date")
+    stored = relation.publish_clustered(every, scratch_path(spark, "clustered"), "s5_orders")
+    first = stored.agg(F.min("Order_Date")).first()[0]
+    asked = {"order": {"orders": [7]}, "customers": {"customers": [7, 40, 100]}, "day": {"dates": [first]}}
+    parts = [relation.lookup(stored, **a).select(F.lit(n).alias("lookup"), *_KPI, "Order_Date") for n, a in asked.items()]
+    return _plain(reduce(DataFrame.unionByName, parts))
+
+
 @query("s6_run_query")
 def s6(spark, folder):
     relation.publish(lines(spark, folder, "Segment", "Order_Date", "Sales"))
