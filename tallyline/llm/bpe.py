@@ -26,44 +26,90 @@ from pyspark.sql import types as T
 from tallyline.llm.common import Memo, add_columns, blocks, held, list_array, pieces, ranks, vocabulary
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-#: Bounds of a worker's memory: states of the machine, and pieces whose ids are remembered (about a kilobyte each and a
+#: Bounds of a worker's memory: states of the machine, and pieces whose ids are remembered (half a kilobyte each and a
 #: quarter of one). Smaller ones cost time, not results.
-MOST_STATES, MOST_PIECES = 120_000, 200_000
+MOST_STATES, MOST_PIECES = 240_000, 200_000
 NEVER = 1 << 31
 #: Bytes of a piece from which on tokens are given out before its end.
 LOOKAHEAD = 1024
 
 
-class _State:
-    """The longest suffix that begins a token; for each of its suffixes that does, the length and the token before."""
+class _Steps(dict):
+    """Known steps: state and byte to the next state; others are made when first asked for."""
 
-    __slots__ = ("suffix", "live", "steps")
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
 
-    def __init__(self, suffix: bytes, live: tuple[tuple[int, bytes | None], ...]):
-        self.suffix, self.live, self.steps = suffix, live, {}
+    def __missing__(self, key: int) -> int:
+        return self.make(key)
 
 
 class Transducer:
-    """Encodes pieces by the merges that ``ranks`` (token bytes to rank) imply."""
+    """Encodes pieces by the merges that ``ranks`` (token bytes to rank) imply.
+
+    States are numbers. What a state stands for is a tuple of integers, one for each suffix of the text that begins a
+    longer token, the longest first: the suffix's node in the trie of tokens, and 1 + the rank of the last token before it.
+    """
 
     def __init__(self, ranks: dict[bytes, int], most_states: int = MOST_STATES, most_pieces: int = MOST_PIECES):
         self.ranks, self.most_states = ranks, most_states
-        #: What begins some token, and whether it is one.
-        self.begins = dict.fromkeys((t[:n] for t in ranks for n in range(1, len(t))), False) | dict.fromkeys(ranks, True)
-        cuts = [(t[:n], t[n:]) for t in ranks for n in range(1, len(t)) if t[:n] in ranks and t[n:] in ranks]
-        #: The tokens that begin, and that end, a pair that merges.
-        self.lefts, self.rights = {a for a, _ in cuts}, {b for _, b in cuts}
+        self.tokens: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
+        for token, rank in ranks.items():
+            self.tokens[rank] = token
+        self.lengths = [len(t or b"") for t in self.tokens]
+        self.shift = len(self.tokens).bit_length()
+        #: The trie: node and byte to the next node; of each node its depth and 1 + the rank of its token (0: none).
+        self.child: dict[int, int] = {}
+        self.depth, self.whole = [0], [0]
+        for token, rank in ranks.items():
+            node = 0
+            for byte in token:
+                key = node << 8 | byte
+                following = self.child.get(key)
+                if following is None:
+                    following = self.child[key] = len(self.depth)
+                    self.depth.append(self.depth[node] + 1)
+                    self.whole.append(0)
+                node = following
+            self.whole[node] = rank + 1
+        #: Nodes from which a longer token goes on.
+        self.open = bytearray(len(self.depth))
+        for key in self.child:
+            self.open[key >> 8] = 1
+        #: Pairs that merge, with their rank, and the tokens that begin, and that end, such a pair.
+        self.pairs: dict[int, int] = {}
+        self.lefts, self.rights = set(), set()
+        for token, rank in ranks.items():
+            for n in range(1, len(token)):
+                left, right = ranks.get(token[:n]), ranks.get(token[n:])
+                if left is not None and right is not None:
+                    self.pairs[left << self.shift | right] = rank
+                    self.lefts.add(left)
+                    self.rights.add(right)
         self._edges: dict[bytes, tuple[list, list] | None] = {}
-        self._seams: dict[bytes, tuple[list, list] | None] = {}
-        self.states: dict[tuple, _State] = {}
+        self._seams: dict[int, tuple[list, list] | None] = {}
         self._forget()
         self.memo = Memo(self._encode_piece, most_pieces)
 
-    def _forget(self) -> None:
-        for state in self.states.values():
-            state.steps.clear()  # states refer to each other
-        self.start = _State(b"", ((0, None),))
-        self.states: dict[tuple, _State] = {}
+    def _forget(self, kept: tuple[int, ...] = (0,)) -> None:
+        """Drop all states but the one at the beginning, and one more that is kept as number 1."""
+        self.steps = _Steps(self._step)
+        self.side_by_side: dict[int, bool] = {}
+        self.live: list[tuple[int, ...]] = [(0,)]
+        #: The last token's rank of each state.
+        self.last = [NEVER]
+        self.states: dict[tuple[int, ...], int] = {}
+        if kept != (0,):
+            self._state(kept)
+
+    def _state(self, live: tuple[int, ...]) -> int:
+        found = self.states.get(live)
+        if found is None:
+            found = self.states[live] = len(self.live)
+            self.live.append(live)
+            self.last.append(live[-1] - 1)
+        return found
 
     def merge(self, data: bytes) -> tuple[list[bytes], tuple[bytes, bytes] | None]:
         """The merges carried out one by one, lowest rank first, and the last pair merged; for single tokens only."""
@@ -95,80 +141,94 @@ class Transducer:
                 )
         return self._edges[token]
 
-    def seam(self, token: bytes) -> tuple[list, list] | None:
-        """The edge parts of a token that merge with anything beyond it at all; None as for ``edges``."""
-        if token not in self._seams:
-            edges = self.edges(token)
-            self._seams[token] = edges and (
-                [e for e in edges[0] if e[0] in self.rights],
-                [e for e in edges[1] if e[0] in self.lefts],
-            )
-        return self._seams[token]
-
-    def apart(self, left: bytes, right: bytes) -> bool:
+    def seam(self, rank: int) -> tuple[list, list] | None:
+        """The edge parts (as ranks) of a token that merge with anything beyond it at all; None as for ``edges``."""
+        try:
+            return self._seams[rank]
+        except KeyError:
+            pass
+        found = self.edges(self.tokens[rank])
+        if found is not None:
+            left, right = ([(self.ranks[part], until) for part, until in side] for side in found)
+            found = [e for e in left if e[0] in self.rights], [e for e in right if e[0] in self.lefts]
+        self._seams[rank] = found
+        return found
+
+    def apart(self, left: int, right: int) -> bool:
+        """``_apart``, remembered as long as the states."""
+        key = left << self.shift | right
+        known = self.side_by_side.get(key)
+        if known is None:
+            known = self.side_by_side[key] = self._apart(left, right)
+        return known
+
+    def _apart(self, left: int, right: int) -> bool:
         """Whether two tokens stay as they are side by side: no part at the seam merges across it in time.
 
         A pair across the seam merges if its rank comes before the left part's own next merge (which, being
         further left, goes first at the same rank) and not after the right part's.
         """
-        get, others = self.ranks.get, self.seam(right)[0]
+        get, shift, others = self.pairs.get, self.shift, self.seam(right)[0]
         for a, until in self.seam(left)[1]:
             for b, then in others:
-                rank = get(a + b, NEVER)
+                rank = get(a << shift | b, NEVER)
                 if rank < until and rank <= then:
                     return False
         return True
 
-    def step(self, state: _State, byte: int) -> tuple[_State, bytes]:
-        """The next state, and the last token of the text with the byte."""
-        last, suffix, token, live = bytes((byte,)), state.suffix, None, []
-        for n, before in state.live:
-            part = suffix[len(suffix) - n :] + last
-            whole = self.begins.get(part)
-            if whole is None:
+    def _step(self, key: int) -> int:
+        """The next state after the state and byte of ``key``."""
+        child, whole, more, shift, byte = self.child, self.whole, self.open, self.shift, key & 255
+        mask, token, live = (1 << shift) - 1, 0, []
+        for item in self.live[key >> 8]:
+            node = child.get(item >> shift << 8 | byte)
+            if node is None:
                 continue
-            if not live:
-                longest = part
-            live.append((n + 1, before))
-            if whole and token is None and self.seam(part) and (before is None or self.apart(before, part)):
-                token = part
-        live.append((0, token))
-        key = longest, tuple(live)
-        found = self.states.get(key)
-        if found is None:
-            found = self.states[key] = _State(*key)
-        state.steps[byte] = found, token
-        return found, token
+            before = item & mask
+            if more[node]:
+                live.append(node << shift | before)
+            if not token and (rank := whole[node]) and self.seam(rank - 1) and (not before or self.apart(before - 1, rank - 1)):
+                token = rank
+        live.append(token)
+        found = self.steps[key] = self._state(tuple(live))
+        return found
 
     def run(self, data: bytes) -> list[int]:
         """The tokens of one piece."""
-        if len(self.states) > self.most_states:
+        if len(self.live) > self.most_states:
             self._forget()
-        state, lasts, ids = self.start, [], []
+        state, steps, last = 0, self.steps, self.last
+        if len(data) < LOOKAHEAD:
+            lasts = [last[state := steps[state << 8 | byte]] for byte in data]
+            return self._way_back(lasts, len(lasts))
+        lasts, ids = [], []
         for byte in data:
-            state, token = state.steps.get(byte) or self.step(state, byte)
-            lasts.append(token)
+            state = self.steps[state << 8 | byte]
+            lasts.append(self.last[state])
             if len(lasts) >= LOOKAHEAD and (certain := self._meeting(lasts, state)):
                 ids += self._way_back(lasts, certain)
                 del lasts[:certain]
+                if len(self.live) > self.most_states:
+                    self._forget(self.live[state])
+                    state = 1
         return ids + self._way_back(lasts, len(lasts))
 
-    def _meeting(self, lasts: list[bytes], state: _State) -> int:
+    def _meeting(self, lasts: list[int], state: int) -> int:
         """Where the ways back from all positions of a state meet."""
-        at = {len(lasts) - n for n, _ in state.live}
+        at = {len(lasts) - self.depth[item >> self.shift] for item in self.live[state]}
         while len(at) > 1:
             furthest = max(at)
             at.remove(furthest)
-            at.add(furthest - len(lasts[furthest - 1]))
+            at.add(furthest - self.lengths[lasts[furthest - 1]])
         return at.pop()
 
-    def _way_back(self, lasts: list[bytes], at: int) -> list[int]:
+    def _way_back(self, lasts: list[int], at: int) -> list[int]:
         """The tokens of the first ``at`` bytes."""
-        out = []
+        out, lengths = [], self.lengths
         while at:
-            token = lasts[at - 1]
-            out.append(self.ranks[token])
-            at -= len(token)
+            rank = lasts[at - 1]
+            out.append(rank)
+            at -= lengths[rank]
         out.reverse()
         return out
 
