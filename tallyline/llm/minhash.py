@@ -8,7 +8,8 @@ on the full shingle sets.
 Only components are wanted, so a bucket's pairs are never all made:
 
 1. Documents with the same word sequence are one class, stood for by its smallest id.
-2. Each class is compared with the smallest one of each of its buckets.
+2. Each class is compared with the smallest one of its buckets that may reach the threshold, then, where their components
+   still differ, with the smallest ones of its other buckets. So a close copy costs one pair of texts and not one per bucket.
 3. In buckets that still hold several components, each class is compared with two others drawn for the bucket, if
    their components differ.
 4. Classes of buckets that still hold several components are the rest. They are compared by their rarest shingles: two
@@ -30,6 +31,8 @@ from __future__ import annotations
 
 import hashlib
 import math
+import uuid
+from contextlib import contextmanager
 from functools import lru_cache, reduce
 
 import numpy as np
@@ -40,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyline.llm.common import Memo, add_columns, held, worker_path
-from tallyline.session import cut_lineage
+from tallyline.session import cut_lineage, shared_folder
 
 HASHES, ROWS, BITS = 192, 6, 4
 BANDS, PER_LONG = HASHES // ROWS, 64 // BITS
@@ -323,12 +326,34 @@ def components(links: DataFrame) -> DataFrame:
         before = state
 
 
-def _labelled(members: DataFrame, links: DataFrame | None) -> DataFrame:
-    """Members with the component they belong to by the links so far."""
-    if links is None:
-        return members.withColumn("component", F.col("id"))
-    found = members.join(components(links), "id", "left")
-    return found.withColumn("component", F.coalesce("component", "id"))
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels (id, component) after further links (a, b): only the components that the links join are worked on."""
+    ends = [labels.select(F.col("id").alias(x), F.col("component").alias(f"of_{x}")) for x in "ab"]
+    between = links.join(ends[0], "a").join(ends[1], "b").where("of_a <> of_b")
+    new = components(between.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")))
+    new = new.select(F.col("id").alias("component"), F.col("component").alias("smallest"))
+    return cut_lineage(
+        labels.join(new, "component", "left").select("id", F.coalesce("smallest", "component").alias("component"))
+    )
+
+
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose components differ."""
+    ends = [labels.select(F.col("id").alias(x), F.col("component").alias(f"of_{x}")) for x in "ab"]
+    return pairs.join(ends[0], "a").join(ends[1], "b").where("of_a <> of_b").select("a", "b")
+
+
+@contextmanager
+def stored(df: DataFrame):
+    """``df`` as a table in the shared folder, for as long as the block lasts: smaller than a checkpoint, and gone after it."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/texts-{uuid.uuid4().hex}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    try:
+        df.write.parquet(path)
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -346,7 +371,6 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
     members = cut_lineage(every.join(shared, "key"))
     needed = members.select("id").distinct()
     sigs = cut_lineage(classes.select("id", "sig").join(needed, "id", "left_semi"))
-    texts = cut_lineage(docs.join(needed, "id", "left_semi"))
     least = percent / 100 - MARGIN
 
     def likely(pairs: DataFrame) -> DataFrame:
@@ -359,35 +383,48 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
             .select("a", "b")
         )
 
-    first = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))
-    links = cut_lineage(confirmed(likely(first), texts, size, percent))
-
     # Buckets with classes, besides the compared one, of several components.
-    def divided(links: DataFrame) -> DataFrame:
-        found = cut_lineage(_labelled(members, links))
+    def divided(labels: DataFrame) -> DataFrame:
+        found = members.join(labels, "id")
         mixed = (
             found.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
         )
-        return found.join(mixed.select("key"), "key", "left_semi")
+        return cut_lineage(found.join(mixed.select("key"), "key", "left_semi"))
 
     def drawn(seed: int) -> Column:
         return F.min(F.struct(F.xxhash64(F.lit(seed), "id", "key").alias("order"), "id", "component")).alias(f"d{seed}")
 
-    left = divided(links)
-    hubs = left.where("n > 2").groupBy("key").agg(drawn(1), drawn(2))
-    second = (
-        left.join(hubs, "key")
-        .select("id", "component", F.explode(F.array("d1", "d2")).alias("d"))
-        .where("component <> d.component")
-        .select(F.least("id", "d.id").alias("a"), F.greatest("id", "d.id").alias("b"))
-    )
-    links = cut_lineage(links.unionByName(confirmed(likely(second.join(first, ["a", "b"], "left_anti")), texts, size, percent)))
+    with stored(docs.join(needed, "id", "left_semi")) as texts:
+
+        def linked(labels: DataFrame, pairs: DataFrame) -> DataFrame:
+            return joined(labels, cut_lineage(confirmed(pairs, texts, size, percent)))
+
+        labels = needed.withColumn("component", F.col("id"))
+        first = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))
+        near = cut_lineage(likely(first))
+        one = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+        labels = linked(labels, one)
+        labels = linked(labels, _apart(near.join(one, ["a", "b"], "left_anti"), labels))
+
+        left = divided(labels)
+        hubs = left.where("n > 2").groupBy("key").agg(drawn(1), drawn(2))
+        second = (
+            left.join(hubs, "key")
+            .select("id", "component", F.explode(F.array("d1", "d2")).alias("d"))
+            .where("component <> d.component")
+            .select(F.least("id", "d.id").alias("a"), F.greatest("id", "d.id").alias("b"))
+        )
+        labels = linked(labels, likely(second.join(first, ["a", "b"], "left_anti")))
 
-    rest = divided(links).where("n > 2").select("id", "component").distinct()
-    rest = cut_lineage(rest.join(texts, "id"))
-    links = cut_lineage(links.unionByName(confirmed(likely(meeting(rest, size, percent)), texts, size, percent)))
+        rest = divided(labels).where("n > 2").select("id", "component").distinct()
+        with stored(rest.join(texts, "id")) as rest:
+            labels = linked(labels, likely(meeting(rest, size, percent)))
 
-    of_class = _labelled(classes.select("sequence", "id"), links).select("sequence", F.col("component").alias("component_id"))
+    of_class = (
+        classes.select("sequence", "id")
+        .join(labels, "id", "left")
+        .select("sequence", F.coalesce("component", "id").alias("component_id"))
+    )
     return (
         signed.select("id", "n_shingles", "sequence", "text_hash")
         .join(of_class, "sequence", "left")
