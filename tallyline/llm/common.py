@@ -53,14 +53,18 @@ def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
 
 
 def add_columns(
-    df: DataFrame, column: str, fields: list[T.StructField], make: Callable[[pa.RecordBatch], list[pa.Array]]
+    df: DataFrame,
+    column: str,
+    fields: list[T.StructField],
+    make: Callable[[pa.RecordBatch], list[pa.Array]],
+    drop: list[str] | None = None,
 ) -> DataFrame:
     """``df`` with the columns that ``make`` computes from each run of rows; a column of the same name is replaced.
 
-    ``column`` is the text column by which runs are cut.
+    ``column`` is the text column by which runs are cut. Columns to ``drop`` are read and not given out.
     """
     worker_path(df)
-    kept = without(df, [f.name for f in fields])
+    kept = without(df, [*(f.name for f in fields), *(drop or [])])
     schema = T.StructType([df.schema[c] for c in kept] + fields)
     names = [*kept, *(f.name for f in fields)]
 
@@ -184,6 +188,7 @@ def held(by: str, key: tuple, make: Callable[[], object]) -> object:
         _HELD.update(by=by, tables={})
         ranks.cache_clear()
         gc.collect()  # memories refer to their owners
+        pa.default_memory_pool().release_unused()
     if key not in _HELD["tables"]:
         _HELD["tables"][key] = make()
     return _HELD["tables"][key]

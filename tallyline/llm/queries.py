@@ -72,8 +72,7 @@ def op3_fertility_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 def op4_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of every document, and the text that they decode to."""
-    encoded = bpe.encode(_table(spark, folder, "documents").select("doc_id", "text")).drop("text")
-    decoded = bpe.decode(encoded)
+    decoded = bpe.round_trip(_table(spark, folder, "documents").select("doc_id", "text"), keep_text=False)
     return decoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -82,6 +82,23 @@ def test_decoding_gives_the_text_back(spark):
     assert got.where(F.col("decoded") != F.coalesce("text", F.lit(""))).count() == 0
 
 
+def test_round_trip_is_decode_of_encode(spark):
+    docs = clashing(documents(spark), "ids", "decoded")
+    once, twice = bpe.round_trip(docs), bpe.decode(bpe.encode(docs))
+    assert sorted(once.columns) == sorted(twice.columns)
+    assert once.exceptAll(twice.select(once.columns)).isEmpty() and once.count() == twice.count()
+    assert "text" not in bpe.round_trip(docs, keep_text=False).columns
+    assert bpe.round_trip(documents(spark, [])).isEmpty()
+
+
+def test_long_pieces_outlast_forgotten_states(library):
+    machine = bpe.Transducer(ranks(vocabulary(bpe.RANKS)), most_states=50, most_pieces=10)
+    draw = random.Random(7)
+    for n in (20, 400, 5 * bpe.LOOKAHEAD):
+        text = "".join(draw.choice("etaoinshr") for _ in range(n))
+        assert machine.encode(text) == library.encode_ordinary(text)
+
+
 def test_unknown_and_null_ids(spark):
     got = bpe.decode(spark.createDataFrame([([5_000_000],), (None,), ([],)], "ids array<int>")).collect()
     assert [r["decoded"] for r in got] == ["\ufffd", "", ""]
