@@ -66,8 +66,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document that is left, and whether they decode to its text."""
     # Workers that have carried out the other stages have less memory left than in a job of this stage alone.
-    ids = bpe.encode(docs.select("doc_id", "lang", "source", "text"), most_states=100_000, most_pieces=60_000)
-    rows = bpe.decode(ids)
+    rows = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), most_states=100_000, most_pieces=60_000)
     return rows.select(
         "doc_id",
         "lang",
