@@ -38,12 +38,12 @@ from functools import lru_cache, reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyline.llm.common import Memo, add_columns, held, worker_path
-from tallyline.session import cut_lineage, shared_folder
+from tallyline.session import cut_lineage, shared_folder, shuffles_freed
 
 HASHES, ROWS, BITS = 192, 6, 4
 BANDS, PER_LONG = HASHES // ROWS, 64 // BITS
@@ -170,8 +170,9 @@ def estimate(left: Column, right: Column) -> Column:
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach ``percent``."""
+    """The pairs (a, b, and further columns of longs) whose full shingle sets reach ``percent``."""
     worker_path(pairs)
+    columns = pairs.columns
     both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(
         texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a"
     )
@@ -179,7 +180,6 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     def run(batches):
         held, held_text = set(), None
         for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             out = []
             for i, (text_a, text_b) in enumerate(zip(batch.column("text_a"), batch.column("text_b"))):
                 # One pair of texts at a time leaves Arrow's memory.
@@ -188,12 +188,10 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
                 other = shingles(words(text_b.as_py()), size)
                 common = len(held & other)
                 if 100 * common >= percent * (len(held) + len(other) - common):
-                    out.append((a[i], b[i]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x[i] for x in out], pa.int64()) for i in range(2)], ["a", "b"]
-            )
+                    out.append(i)
+            yield batch.select(columns).take(pa.array(out, pa.int64()))
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return both.select(*columns, "text_a", "text_b").mapInArrow(run, ", ".join(f"{c} long" for c in columns))
 
 
 def _least_common(a: np.ndarray | int, b: np.ndarray | int, percent: int) -> np.ndarray | int:
@@ -271,6 +269,11 @@ def first_shingles(texts: DataFrame, counts: np.ndarray, size: int, percent: int
 
 def meeting(rest: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs (a, b) of documents (``id``, ``component``, ``text``) of different components that may reach ``percent``."""
+    return _meeting(rest, size, percent).select("a", "b")
+
+
+def _meeting(rest: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs of ``meeting`` with their components (of_a, of_b)."""
     rows = first_shingles(rest, shingle_counts(rest, size), size, percent)
     key = ["shingle", "class"]
     sizes = rows.groupBy(*key, "component").agg(F.count("*").alias("size"), F.max("asks").alias("asked"), F.min("asks").alias("all_ask"))
@@ -289,58 +292,71 @@ def meeting(rest: DataFrame, size: int, percent: int) -> DataFrame:
         some.join(shared, key)
         .where((F.col("asks") != F.col("its_asks")) & (F.col("component") != F.col("its_component")) & (larger >= smaller) & enough)
         .where("component = largest OR asks")
-        .select(F.least("its_id", "id").alias("a"), F.greatest("its_id", "id").alias("b"))
+        .select(_pair("its_id", "its_component", "id", "component"))
+        .select("pair.*")
         .distinct()
     )
 
 
-def components(links: DataFrame) -> DataFrame:
-    """The smallest vertex that each vertex of the links (a, b) reaches: (id, component), for linked vertices.
+def _pair(id: str, component: str, other: str, its: str) -> Column:
+    """Two documents as ``pair``: a, of_a (its component), b and of_b; a is the smaller."""
+    ends = F.array_sort(F.array(F.struct(F.col(id).alias("id"), F.col(component).alias("of")), F.struct(F.col(other).alias("id"), F.col(its).alias("of"))))
+    return F.struct(ends[0]["id"].alias("a"), ends[0]["of"].alias("of_a"), ends[1]["id"].alias("b"), ends[1]["of"].alias("of_b")).alias("pair")
+
+
+def _counted(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The different edges (u, v), kept, and their state: how many they are, and a sum of their hashes."""
+    seen = Observation()
+    edges = edges.where("u <> v").distinct()
+    kept = cut_lineage(edges.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("hash")))
+    return kept, (seen.get["n"], seen.get["hash"])
+
+
+def _edges(links: DataFrame) -> tuple[DataFrame, tuple]:
+    """Links (a, b) as edges from the larger to the smaller vertex, and their state."""
+    return _counted(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
+
+
+def _stars(edges: DataFrame, state: tuple) -> DataFrame:
+    """The edges turned into one star per component: (id, component), for vertices but the smallest.
 
     Alternating large-star and small-star steps; each keeps a vertex's neighbours as rows, so a vertex of any
-    degree is spread over tasks.
+    degree is spread over tasks. Stars stay as they are, so the steps end when the edges do.
     """
-    edges = cut_lineage(
-        links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    )
     before = None
-    while True:
+    while state != before and state[0]:
         # Large star: a vertex's larger neighbours are joined to the smallest one.
-        around = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        around = edges.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
         least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = around.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = edges.join(least.withColumnRenamed("u", "v"), "v").select("u", F.col("m").alias("v"))
         # Small star: a vertex and its smaller neighbours are joined to the smallest one.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        edges = cut_lineage(
-            large.join(least, "u")
-            .select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
-            .select(F.col("e.v").alias("u"), F.col("e.m").alias("v"))
-            .where("u <> v")
-            .distinct()
-        )
-        state = edges.agg(
-            F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
-        ).first()
-        if state == before:
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
+        small = large.join(least, "u").select(F.inline(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))))
         before = state
+        edges, state = _counted(small.select(F.col("v").alias("u"), F.col("m").alias("v")))
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
+
+
+def components(links: DataFrame) -> DataFrame:
+    """The smallest vertex that each vertex of the links (a, b) reaches: (id, component), for linked vertices."""
+    return _stars(*_edges(links))
 
 
 def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """The labels (id, component) after further links (a, b): only the components that the links join are worked on."""
-    ends = [labels.select(F.col("id").alias(x), F.col("component").alias(f"of_{x}")) for x in "ab"]
-    between = links.join(ends[0], "a").join(ends[1], "b").where("of_a <> of_b")
-    new = components(between.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")))
-    new = new.select(F.col("id").alias("component"), F.col("component").alias("smallest"))
+    """The labels (id, component) after further links (a, b) of components: only the components that the links join are worked on."""
+    edges, state = _edges(links)
+    if not state[0]:
+        return labels
+    new = _stars(edges, state).select(F.col("id").alias("component"), F.col("component").alias("smallest"))
     return cut_lineage(
         labels.join(new, "component", "left").select("id", F.coalesce("smallest", "component").alias("component"))
     )
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose components differ."""
-    ends = [labels.select(F.col("id").alias(x), F.col("component").alias(f"of_{x}")) for x in "ab"]
-    return pairs.join(ends[0], "a").join(ends[1], "b").where("of_a <> of_b").select("a", "b")
+    """The pairs (a, b) whose components (of_a, of_b) differ."""
+    ends = [labels.select(F.col("id").alias(x), F.col("component").alias(f"of_{x}")) for x in "ba"]
+    return pairs.join(ends[0], "b").join(ends[1], "a").where("of_a <> of_b").select("a", "of_a", "b", "of_b")
 
 
 @contextmanager
@@ -359,6 +375,26 @@ def stored(df: DataFrame):
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: ``id``, ``n_shingles``, ``component_id``, ``kept`` (it is its component's smallest id), ``text_hash``."""
     docs = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
+    with shuffles_freed(docs.sparkSession):
+        signed, classes, labels = _labelled(docs, size, percent)
+    of_class = (
+        classes.join(labels, "id", "left").select("sequence", F.coalesce("component", "id").alias("component_id"))
+    )
+    return (
+        signed.join(of_class, "sequence", "left")
+        .select(
+            F.col("id").alias("doc_id"),
+            "n_shingles",
+            F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"),
+            "text_hash",
+        )
+        .withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
+        .select("doc_id", "n_shingles", "component_id", "kept", "text_hash")
+    )
+
+
+def _labelled(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every row (id, n_shingles, sequence, text_hash), the classes (sequence, id) and the components of those that share a bucket (id, component)."""
     signed = cut_lineage(signatures(docs, "text", size).withColumn("text_hash", F.md5(F.coalesce("text", F.lit("")))).drop("text"))
     classes = cut_lineage(
         signed.where("id IS NOT NULL AND n_shingles > 0")
@@ -380,7 +416,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
             .join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
             .join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a")
             .where(estimate(F.col("sig_a"), F.col("sig_b")) >= least)
-            .select("a", "b")
+            .select(*pairs.columns)
         )
 
     # Buckets with classes, besides the compared one, of several components.
@@ -389,7 +425,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
         mixed = (
             found.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
         )
-        return cut_lineage(found.join(mixed.select("key"), "key", "left_semi"))
+        return found.join(mixed.select("key"), "key", "left_semi")
 
     def drawn(seed: int) -> Column:
         return F.min(F.struct(F.xxhash64(F.lit(seed), "id", "key").alias("order"), "id", "component")).alias(f"d{seed}")
@@ -397,43 +433,29 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
     with stored(docs.join(needed, "id", "left_semi")) as texts:
 
         def linked(labels: DataFrame, pairs: DataFrame) -> DataFrame:
-            return joined(labels, cut_lineage(confirmed(pairs, texts, size, percent)))
+            found = confirmed(pairs, texts, size, percent)
+            return joined(labels, found.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")))
 
         labels = needed.withColumn("component", F.col("id"))
         first = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))
         near = cut_lineage(likely(first))
-        one = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-        labels = linked(labels, one)
-        labels = linked(labels, _apart(near.join(one, ["a", "b"], "left_anti"), labels))
+        one = near.groupBy("b").agg(F.min("a").alias("a"))
+        labels = linked(labels, one.select("a", F.col("a").alias("of_a"), "b", F.col("b").alias("of_b")))
+        others = near.join(one.withColumnRenamed("a", "compared"), "b").where("a <> compared").drop("compared")
+        labels = linked(labels, _apart(others, labels))
 
-        left = divided(labels)
+        left = cut_lineage(divided(labels))
         hubs = left.where("n > 2").groupBy("key").agg(drawn(1), drawn(2))
         second = (
             left.join(hubs, "key")
             .select("id", "component", F.explode(F.array("d1", "d2")).alias("d"))
             .where("component <> d.component")
-            .select(F.least("id", "d.id").alias("a"), F.greatest("id", "d.id").alias("b"))
+            .select(_pair("id", "component", "d.id", "d.component"))
+            .select("pair.*")
         )
         labels = linked(labels, likely(second.join(first, ["a", "b"], "left_anti")))
 
         rest = divided(labels).where("n > 2").select("id", "component").distinct()
         with stored(rest.join(texts, "id")) as rest:
-            labels = linked(labels, likely(meeting(rest, size, percent)))
-
-    of_class = (
-        classes.select("sequence", "id")
-        .join(labels, "id", "left")
-        .select("sequence", F.coalesce("component", "id").alias("component_id"))
-    )
-    return (
-        signed.select("id", "n_shingles", "sequence", "text_hash")
-        .join(of_class, "sequence", "left")
-        .select(
-            F.col("id").alias("doc_id"),
-            "n_shingles",
-            F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"),
-            "text_hash",
-        )
-        .withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
-        .select("doc_id", "n_shingles", "component_id", "kept", "text_hash")
-    )
+            labels = linked(labels, likely(_meeting(rest, size, percent)))
+    return signed.select("id", "n_shingles", "sequence", "text_hash"), classes.select("sequence", "id"), labels

@@ -1,11 +1,14 @@
 from __future__ import annotations
 
 import random
+import time
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from tallyline.llm import minhash
+from tallyline.session import FREED
 
 from .rows import AWKWARD, clashing, documents, prose
 
@@ -148,3 +151,44 @@ def test_repeated_ids_are_judged_by_their_texts(spark):
     docs = spark.createDataFrame([(1, text), (1, text), (2, text), (2, "another text of a few words only here")], "doc_id long, text string")
     got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs, size=2).collect())
     assert got == [(1, 1, True), (1, 1, True), (2, 1, False), (2, 2, True)]
+
+
+def test_steps_leave_no_shuffle_files(spark):
+    env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+    folders = [Path(d.getPath()) for d in env.blockManager().diskBlockManager().localDirs()]
+
+    def files():
+        return {f.name for d in folders for f in d.rglob("shuffle_*.data")}
+
+    rows = spark.createDataFrame(near_copies(), "doc_id long, text string").repartition(3)
+    setting, before = spark.conf.get(FREED, None), files()
+    found = minhash.near_duplicates(rows, size=2)
+    until = time.time() + 20
+    while files() - before and time.time() < until:  # they go in the background
+        time.sleep(0.2)
+    assert not files() - before
+    assert spark.conf.get(FREED, None) == setting
+    # The result itself can be carried out again.
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, found.collect()))
+
+
+def test_links_that_join_nothing_cost_no_rounds(spark):
+    context = spark.sparkContext
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 3)], "id long, component long")
+
+    def stages(name, links):
+        context.setJobGroup(name, name)
+        try:
+            got = minhash.joined(labels, spark.createDataFrame(links, "a long, b long"))
+        finally:
+            context._jsc.clearJobGroup()
+        tracker = context.statusTracker()
+        # Jobs are heard of in the background.
+        context._jsc.sc().listenerBus().waitUntilEmpty()
+        made = sum(len(tracker.getJobInfo(j).stageIds) for j in tracker.getJobIdsForGroup(name))
+        return made, {tuple(r) for r in got.collect()}
+
+    none, same = stages("links within a component", [(1, 1)])
+    some, changed = stages("one link", [(1, 3)])
+    assert same == {(1, 1), (2, 1), (3, 3)} and changed == {(1, 1), (2, 1), (3, 1)}
+    assert none <= 3 < some
