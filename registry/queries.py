@@ -179,7 +179,8 @@ _CUSTOMER_MEASURES = {"customer_table": "Total_Profit", "rfm": "RFM_Score"}
 @query("s7_catalogue_results")
 def s7(spark, folder):
     """Every report, one that can't be planned, and one that fails while it runs; both leave the others alone."""
-    relation.publish(cut_lineage(lines(spark, folder)), "s7_orders")
+    stored = cut_lineage(lines(spark, folder), f"{scratch_path(spark, 's7_orders')}-{uuid.uuid4().hex}")
+    relation.publish(stored, "s7_orders")
     broken = {
         "broken": "SELECT no_such_column FROM orders",
         "broken_while_running": "SELECT Category, 1 DIV (SUM(Quantity) - SUM(Quantity)) AS x FROM orders GROUP BY Category",
